@@ -6,12 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from doclattice.llm import quality
 from doclattice.llm.bpe import op3_bpe_encode
 from doclattice.llm.contamination import op5_decontaminate
+from doclattice.llm.secrets import op7_secret_scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_encode": op3_bpe_encode,
     "op5_decontaminate": op5_decontaminate,
+    "op6_quality_rules": quality.op6_quality_rules,
+    "op7_secret_scan": op7_secret_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_quality_rules": quality.ORACLE_SQL,
+}
