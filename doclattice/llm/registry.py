@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from doclattice.llm import quality
 from doclattice.llm.bpe import op3_bpe_encode
 from doclattice.llm.contamination import op5_decontaminate
+from doclattice.llm.pii import op4_pii
 from doclattice.llm.secrets import op7_secret_scan
+from doclattice.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_bpe_encode": op3_bpe_encode,
+    "op4_pii": op4_pii,
     "op5_decontaminate": op5_decontaminate,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
+    "op8_toxicity": op8_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {
