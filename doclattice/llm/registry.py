@@ -11,6 +11,7 @@ from doclattice.llm.bpe import op3_bpe_encode
 from doclattice.llm.contamination import op5_decontaminate
 from doclattice.llm.pii import op4_pii
 from doclattice.llm.secrets import op7_secret_scan
+from doclattice.llm.simhash import op10_simhash
 from doclattice.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
