@@ -12,10 +12,12 @@ from doclattice.llm.contamination import op5_decontaminate
 from doclattice.llm.pii import op4_pii
 from doclattice.llm.secrets import op7_secret_scan
 from doclattice.llm.simhash import op10_simhash
+from doclattice.llm.substrings import op1_substring_dedup
 from doclattice.llm.tokens import op2_token_counts
 from doclattice.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_substring_dedup": op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_pii": op4_pii,
