@@ -180,6 +180,11 @@ def _pattern(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
+
+
 def _encoder(path: str, pattern: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe, split = encoder(path), _pattern(pattern).findall
@@ -201,11 +206,11 @@ def _encoder(path: str, pattern: str, with_ids: bool):
                     s1.append(hashlib.sha256(joined.encode()).hexdigest())
                     s2.append(hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, words))).hexdigest())
                     if with_ids:
-                        seqs.append([int(x) for x in joined.split()])
+                        seqs.append(np.array(joined.split(), np.int32))
             columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.string()), pa.array(s2, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if with_ids:
-                columns, names = [*columns, pa.array(seqs, pa.list_(pa.int32()))], [*names, "ids"]
+                columns, names = [*columns, _lists(seqs)], [*names, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return run

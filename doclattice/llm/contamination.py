@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.common import table, texts
+from doclattice.llm.common import ship, table, texts
 
 WINDOW = 8
 MIN_ITEMS = 2
@@ -121,6 +121,12 @@ class Shard:
         return at
 
 
+def _key(text: str) -> int:
+    """As Spark's xxhash64 of the text."""
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -164,7 +170,7 @@ def _searcher(phrases: Phrases, within: int | None):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(ids, pa.int64()),
-                        pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in docs], pa.int64()),
+                        pa.array([_key(x) for x in docs], pa.int64()),
                         pa.array(shard.n_words, pa.int64()),
                         pa.array([_merged(spans.get(d, [])) for d in range(len(ids))], pa.list_(pa.list_(pa.int64()))),
                         pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.string())),
@@ -185,14 +191,19 @@ def _regroup(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
+    """Items with an id, and the number of blocks they come in."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("item is not null")
+    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
+    return items, 1 + total // BLOCK_BYTES
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int | None = None) -> DataFrame:
     """For each document: its number of words, the word ranges [start, end) that test phrases cover,
     and the ids of the items whose phrases occur. within: proximity matches instead of exact
     phrases; then a range is the position of the phrase's rarest word."""
     docs = texts(docs)
-    items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("item is not null")
-    total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    n_blocks = 1 + total // BLOCK_BYTES
+    items, n_blocks = _items(benchmark)
     out = None
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b)
@@ -207,6 +218,29 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int
     return grouped.select("*", again).drop("again").mapInArrow(_regroup, HITS)
 
 
+def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
+    """The rows of docs in which fewer than min_items items occur, with their columns."""
+    items, n_blocks = _items(benchmark)
+    if n_blocks > 1:
+        found = matches(docs, benchmark, n).filter(F.size("items") >= min_items).select("doc_id", "text_key").distinct()
+        found = found.withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key"})
+        same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_found_key"))
+        return docs.join(found, same, "left_anti")
+    phrases = Phrases([(r.item, r.text) for r in items.collect()], n)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for ids, part in blocks_of(list(range(len(batch))), [t or "" for t in batch.column(at).to_pylist()], SHARD_BYTES):
+                _, hits = _search(Shard(part, phrases), phrases, None)
+                keep += [i for d, i in enumerate(ids) if len(hits.get(d, ())) < min_items]
+            yield batch.take(pa.array(keep, pa.int64()))
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)
+
+
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """Digest columns for each document; contaminated: at least min_items items occur in it."""
     joined = F.array_join("items", ",")

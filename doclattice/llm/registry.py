@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.llm import quality
+from doclattice.llm import lines, quality
 from doclattice.llm.bpe import op3_bpe_encode
 from doclattice.llm.contamination import op5_decontaminate
 from doclattice.llm.pii import op4_pii
@@ -25,9 +25,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
+    "op9_line_dedup": lines.op9_line_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": quality.ORACLE_SQL,
+    "op9_line_dedup": lines.ORACLE_SQL,
 }
