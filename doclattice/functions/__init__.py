@@ -1 +1 @@
-
+"""Value kinds, comparisons, and functions on text."""

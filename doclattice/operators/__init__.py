@@ -1 +1 @@
-
+"""Predicates and ranges as Column expressions."""

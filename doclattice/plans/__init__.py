@@ -1 +1 @@
-
+"""Plan text, plan trees, and their DataFrames."""

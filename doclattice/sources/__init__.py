@@ -1 +1 @@
-
+"""Documents from JSON: shapes, validation, typed rows."""

@@ -1 +1 @@
-
+"""Continuous insertion."""
