@@ -224,7 +224,7 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_i
     if n_blocks > 1:
         found = matches(docs, benchmark, n).filter(F.size("items") >= min_items).select("doc_id", "text_key").distinct()
         found = found.withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key"})
-        same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_found_key"))
+        same = docs["doc_id"].cast("long").eqNullSafe(found["_found_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_found_key"])
         return docs.join(found, same, "left_anti")
     phrases = Phrases([(r.item, r.text) for r in items.collect()], n)
     at = docs.columns.index("text")

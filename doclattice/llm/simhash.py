@@ -305,9 +305,9 @@ def components(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
 def deduplicated(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
     """docs with one document of each group, that of the smallest doc_id, and of its repeated rows
     one; rows whose doc_id is null are kept as they are."""
-    keep = components(docs, plan).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_keep")).distinct()
+    keep = components(docs, plan).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
     ided = docs.filter(F.col("doc_id").isNotNull())
-    chosen = ided.join(keep, F.col("doc_id").cast("long") == F.col("_keep"), "left_semi").dropDuplicates(["doc_id"])
+    chosen = ided.join(keep, ided["doc_id"].cast("long") == keep["_kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
