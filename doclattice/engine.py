@@ -49,11 +49,13 @@ def _leaves(schema: T.StructType, above: str = "", column: str = "") -> dict[str
 
 
 class Engine:
-    """root: a folder for collections that documents are inserted into (a new one if none is given)."""
+    """root: a folder for collections that documents are inserted into. If none is given, it is a new
+    one in the cluster's shared folder (spark.checkpoint.dir), or a local one where that is unset."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        self.root = (root or Path(tempfile.mkdtemp(prefix="doclattice-")).as_uri()).rstrip("/")
+        shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir()).as_uri()
+        self.root = (root or f"{shared.rstrip('/')}/doclattice-{uuid.uuid4().hex}").rstrip("/")
         self.store = Store(spark, self.root)
         self.attached: dict[str, _Attached] = {}
 

@@ -65,7 +65,7 @@ SOURCES = {
 
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     """The tables as collections, with indexes."""
-    out = Engine(spark, f"{sf_dir}/unused")
+    out = Engine(spark)
     read = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet")
     ids = {"orders": "o_orderkey", "customer": "c_custkey", "part": "p_partkey"}
     for name in ("nation", "customer", "orders", "lineitem", "part"):
