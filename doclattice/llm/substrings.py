@@ -41,7 +41,8 @@ LENGTH = 400
 QGRAM = 128
 DEPTH = 100  # of the first buckets; doubled twice
 WIDTH = LENGTH - QGRAM + 1  # q-grams in a window
-CHUNK = 1 << 20  # bytes that are hashed at once
+CHUNK = 1 << 18  # bytes that are hashed at once; what is left of them may come to it
+MOST = 1 << 20  # bytes that a Rolling can have
 HOT = 20_000  # contexts of one q-gram that are gathered at most
 NONE = -(1 << 63)  # stands for a null doc_id
 U = np.uint64
@@ -53,9 +54,9 @@ NAMES = [c.split()[0] for c in ROWS.split(", ")]
 
 
 @functools.cache
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     def up(b: int) -> np.ndarray:
-        out = np.full(n, b, U)
+        out = np.full(MOST, b, U)
         out[0] = 1
         return np.multiply.accumulate(out)
 
@@ -66,8 +67,7 @@ class Rolling:
     """Hashes of any ranges of a byte array, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, x: np.ndarray, base: int):
-        size = 1 << max(10, int(len(x)).bit_length())
-        powers, self.inverse = _powers(base, size)
+        powers, self.inverse = _powers(base)
         self.sums = np.zeros(len(x) + 1, U)
         np.cumsum((x.astype(U) + U(1)) * powers[: len(x)], out=self.sums[1:])
 
@@ -332,8 +332,8 @@ def _contexts(n: int):
                     i = np.flatnonzero(to == p)
                     data = _pack(*[c[i] for c in cols], np.frombuffer(b"".join([parts[k] for k in i.tolist()]), np.uint8))
                     yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int64()), pa.array([False]), pa.array([data], pa.binary())], ["part", "last", "data"])
-            for a in range(0, len(hot), 1000):
-                h, d, t, lo, span, dup, parts = zip(*hot[a : a + 1000], strict=True)
+            for a in range(0, len(hot), 500):
+                h, d, t, lo, span, dup, parts = zip(*hot[a : a + 500], strict=True)
                 x, windows = np.frombuffer(b"".join(parts), np.uint8), np.array(span) + 1
                 start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
                 at = _ranges(start, windows)
@@ -364,8 +364,13 @@ def repeated_windows(x: np.ndarray, spans: np.ndarray) -> np.ndarray:
     start = np.cumsum(size) - size
     # Buckets of DEPTH bytes, at the places that windows lead to.
     at = _ranges(start, spans + 1 + LENGTH - DEPTH)
-    bucket = np.zeros(len(x), np.int64)
-    _, bucket[at] = np.unique(Rolling(x, BASES[2])(at, at + DEPTH), return_inverse=True)
+    bucket, h = np.zeros(len(x), np.int64), []
+    step = MOST // 2 // (WIDTH + LENGTH)
+    for k in range(0, len(spans), step):
+        begin, part = start[k], size[k : k + step]
+        own = _ranges(start[k : k + step] - begin, part - DEPTH + 1)
+        h.append(Rolling(x[begin : begin + part.sum()], BASES[2])(own, own + DEPTH))
+    _, bucket[at] = np.unique(np.concatenate(h), return_inverse=True)
     depth = DEPTH
     while depth < LENGTH:
         at = _ranges(start, spans + 1 + LENGTH - 2 * depth)
