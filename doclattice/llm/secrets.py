@@ -23,10 +23,13 @@ from pyspark.sql import functions as F
 from doclattice.llm.common import table
 
 ASSIGN = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = "AKIA[A-Z0-9]+"
-HEX = "[0-9a-f]+"
+#: Matches of these two are maximal runs, so asking for the least length in the pattern gives the
+#: same as dropping short matches.
+ACCESS = "AKIA[A-Z0-9]{14,}"
+HEX = "[0-9a-f]{16,}"
+BLOCK = 256
 #: kind, pattern, group that is measured, least length; a search that is true if any match can pass
-BASE = (("assign", ASSIGN, 1, 12, ASSIGN), ("access", ACCESS, 0, 18, "AKIA[A-Z0-9]{14}"), ("hex", HEX, 0, 16, "[0-9a-f]{16}"))
+BASE = (("assign", ASSIGN, 1, 12, ASSIGN), ("access", ACCESS, 0, 18, ACCESS), ("hex", HEX, 0, 16, HEX))
 
 WINDOW = 20
 SCALE = 1 << 20
@@ -45,24 +48,37 @@ def _no_spans() -> Column:
     return F.expr("cast(array() as array<struct<kind:string,start:bigint,end:bigint,value:string>>)")
 
 
-def _located(text: Column, pattern: str, kind: str, group: int = 0) -> Column:
-    """Every match, leftmost first and not overlapping: what lies between matches gives the places."""
+def _located(text: Column, pattern: str, kind: str, group: int = 0, least: int = 0) -> Column:
+    """Every match whose group has at least `least` characters, leftmost first and not overlapping.
+    What lies between matches gives the places; they are added up in blocks of BLOCK matches, so that
+    texts with very many matches take little more than linear time."""
     between = F.transform(F.split(text, pattern, -1), lambda p: F.length(p).cast("long"))
-    found = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
+    zipped = F.arrays_zip(between.alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("value"))
     start = F.struct(F.lit(0).cast("long").alias("at"), _no_spans().alias("spans"))
 
     def step(a: Column, m: Column) -> Column:
         begin = a["at"] + m["gap"]
-        end = begin + F.length(m["all"])
+        end = begin + F.coalesce(F.length(m["all"]), F.lit(0))
         span = F.struct(F.lit(kind).alias("kind"), begin.alias("start"), end.alias("end"), m["value"].alias("value"))
-        return F.struct(end.alias("at"), F.concat(a["spans"], F.array(span)).alias("spans"))
+        return F.struct(end.alias("at"), F.when(F.length(m["value"]) >= least, F.concat(a["spans"], F.array(span))).otherwise(a["spans"]).alias("spans"))
 
-    return F.aggregate(F.filter(found, lambda m: m["all"].isNotNull()), start, step, lambda a: a["spans"])
+    def moved(p: Column, by: Column) -> Column:
+        return F.transform(p["spans"], lambda s: F.struct(s["kind"].alias("kind"), (s["start"] + by).alias("start"), (s["end"] + by).alias("end"), s["value"].alias("value")))
+
+    def joined(parts: Column) -> Column:
+        none = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<bigint>)").alias("starts"))
+        starts = F.aggregate(parts, none, lambda a, p: F.struct((a["at"] + p["at"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")), lambda a: a["starts"])
+        return F.flatten(F.zip_with(parts, starts, moved))
+
+    def in_blocks(found: Column) -> Column:
+        blocks = F.sequence(F.lit(0), F.floor((F.size(found) - 1) / BLOCK).cast("int"))
+        return _let(F.transform(blocks, lambda k: F.aggregate(F.slice(found, k * BLOCK + 1, BLOCK), start, step)), joined)
+
+    return _let(zipped, in_blocks)
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int, least: int, search: str) -> Column:
-    long_enough = F.filter(_located(text, pattern, kind, group), lambda s: F.length(s["value"]) >= least)
-    return F.when(text.rlike(search), long_enough).otherwise(_no_spans())
+    return F.when(text.rlike(search), _located(text, pattern, kind, group, least)).otherwise(_no_spans())
 
 
 def _entropy_span(candidate: Column, alphabet: str, bits: float) -> Column:
@@ -144,7 +160,7 @@ def brute_force(text: str | None) -> tuple:
     import re
 
     text = text or ""
-    base = [(m.start(), k, kind, m.end()) for k, (kind, p, g, least, _) in enumerate(BASE) for m in re.finditer(p, text) if len(m[g]) >= least]
+    base = [(m.start(), k, kind, m.end()) for k, (kind, p, g, least) in enumerate((BASE[0][:4], ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))) for m in re.finditer(p, text) if len(m[g]) >= least]
     extra = []
     for k, (kind, alphabet, bits) in enumerate(CLASSES):
         most = math.floor((math.log2(WINDOW) - bits) * WINDOW * SCALE)
