@@ -12,6 +12,11 @@ cells by shifted comparison, large ones by looking every member's neighbours up
 and only a spanning forest of the links of each batch leaves a task. Components come from
 alternating large-star and small-star steps on the remaining links.
 
+`deduplicated` links texts whose sets of shingles have a Jaccard similarity of at least `least`. A
+fingerprint only estimates that, so the sets themselves are compared there: texts that agree in all
+minima of some band are candidates, and every pair of a cell of candidates that isn't joined yet is
+verified on the sets. A pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands.
+
 Nulls: a null text has no words; texts without words have fingerprint zero and link like any other.
 Repeated rows are each answered, and a null doc_id is never a component's id unless it is alone.
 Empty tables give no rows. Further columns are not read by `components`; `deduplicated` keeps them.
@@ -36,6 +41,8 @@ BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 U = np.uint64
 #: The bits of a byte, each in a byte of its own.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(U).ravel()
+#: Spreads the bits of a hash upwards; odd.
+MULTIPLIER = U(0x9E3779B97F4A7C15)
 #: Members up to which a cell is compared pair by pair.
 SMALL_CELL = 256
 
@@ -57,10 +64,20 @@ class Plan:
         return 64 * self.words // self.bands
 
 
-#: The contract of op10, and near copies for pipelines: five words and similarity 0.8. There the
-#: angle between shingle sets of Jaccard 0.8 is 0.476, that is 39 of 256 bits.
+@dataclass(frozen=True)
+class Near:
+    """shingle: words; bands of `rows` minima each; least: Jaccard similarity of a link."""
+
+    shingle: int = 5
+    bands: int = 32
+    rows: int = 5
+    least: float = 0.8
+
+
+#: The contract of op10, and near copies for pipelines: five words and similarity 0.8. A pair of just
+#: that similarity is a candidate with probability 0.999997.
 EXACT = Plan()
-NEAR = Plan(shingle=5, words=4, bands=8, segment=4, radius=2, most=42)
+NEAR = Near()
 
 
 def shingle_hashes(text: str, shingle: int) -> np.ndarray:
@@ -291,21 +308,141 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def components(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id that can be reached over links."""
-    marked = stored(fingerprints(docs, plan))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = connected(links(distinct, plan))
+def _labelled(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of marked (doc_id, fp), by links between its distinct fps."""
+    roots = connected(links)
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
     least = named.groupBy("root").agg(F.min("first").alias("component_id"))
     label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
     return marked.join(label, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, plan: Plan = NEAR) -> DataFrame:
+def components(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
+    """doc_id, fp and component_id: the smallest doc_id that can be reached over links."""
+    marked = stored(fingerprints(docs, plan))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return _labelled(marked, distinct, links(distinct, plan))
+
+
+def _set(text: str, shingle: int) -> np.ndarray:
+    return np.unique(shingle_hashes(text, shingle))
+
+
+def _name(found: np.ndarray) -> bytes:
+    """The name of a set of hashes: equal sets alone have equal names."""
+    return xxhash.xxh3_128_digest(found.tobytes())
+
+
+def band_keys(found: np.ndarray, near: Near, salt: np.ndarray) -> np.ndarray:
+    """A hash for each band of the minima of a set that isn't empty."""
+    least = np.full(len(salt), U(2**64 - 1))
+    for a in range(0, len(found), 128):
+        least = np.minimum(least, ((found[a : a + 128, None] ^ salt) * MULTIPLIER).min(axis=0))
+    rows = np.ascontiguousarray(least.reshape(near.bands, near.rows))
+    return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(near.bands)], U)
+
+
+def salts(near: Near) -> np.ndarray:
+    """What each permutation xors hashes with before they are multiplied."""
+    return np.random.default_rng(42).integers(0, 2**64, near.bands * near.rows, U, endpoint=False)
+
+
+def sketches(docs: DataFrame, near: Near) -> DataFrame:
+    """doc_id, fp, the name of its set of shingles, and its cells, one a band; no words: no cells."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt = salts(near)
+        for batch in batches:
+            sets = [_set(t.as_py(), near.shingle) for t in batch.column(1)]
+            cells = [band_keys(x, near, salt).view(np.int64).tolist() if len(x) else [] for x in sets]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "fp", "cells"])
+
+    return texts(docs).mapInArrow(run, "doc_id long, fp binary, cells array<long>")
+
+
+def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
+    """fp and its set of shingles as bytes, for each row of docs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 512):
+                sets = [_set(t.as_py(), near.shingle) for t in batch.column(1).slice(a, 512)]
+                yield pa.RecordBatch.from_arrays([pa.array(map(_name, sets), pa.binary()), pa.array([x.tobytes() for x in sets], pa.binary())], ["fp", "shingles"])
+
+    return texts(docs).mapInArrow(run, "fp binary, shingles binary")
+
+
+def _similar(names: list[bytes], sets: list[np.ndarray], least: float, forest: Forest) -> None:
+    """Link the members of a cell whose sets are similar. Trees grow from a member at a time; each
+    is compared with all members that are in no tree yet, so no similar pair stays apart."""
+    size = np.array([len(x) for x in sets])
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1].ravel()
+    mark = np.zeros(int(ids.max()) + 1, bool)
+    todo, flat, queue = np.arange(1, len(sets)), ids[at[1] :], [0]
+    while len(todo):
+        if not queue:
+            queue, flat, todo = [int(todo[0])], flat[size[todo[0]] :], todo[1:]
+            continue
+        p = queue.pop()
+        mark[ids[at[p] : at[p + 1]]] = True
+        n = size[todo]
+        shared = np.add.reduceat(mark[flat], np.cumsum(n) - n, dtype=np.int64)
+        mark[ids[at[p] : at[p + 1]]] = False
+        good = shared >= least * (n + size[p] - shared) - 1e-9
+        if good.any():
+            for j in todo[good].tolist():
+                forest.link((names[p],), (names[j],))
+                queue.append(j)
+            flat, todo = flat[np.repeat(~good, n)], todo[~good]
+
+
+def _verified(near: Near):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forest = Forest()
+        rows = ((c, f, s) for batch in batches for c, f, s in zip(*(x.to_pylist() for x in batch.columns), strict=True))
+        for _, members in itertools.groupby(rows, key=lambda x: x[0]):
+            cell = {f: s for _, f, s in members}
+            if len(cell) > 1:
+                _similar(list(cell), [np.frombuffer(s, U) for s in cell.values()], near.least, forest)
+            if len(forest.up) > 200_000:
+                yield found(forest)
+                forest = Forest()
+        yield found(forest)
+
+    def found(forest: Forest) -> pa.RecordBatch:
+        links = forest.links()
+        return pa.RecordBatch.from_arrays([pa.array([x[i][0] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def similar_links(docs: DataFrame, distinct: DataFrame, near: Near) -> DataFrame:
+    """Links (a, b) between names of shingle sets, that hold every component of similar sets together.
+    Cells with the same members are verified once."""
+    cells = distinct.select("fp", F.explode("cells").alias("cell"))
+    groups = cells.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("s")).filter("n > 1")
+    chosen = groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell")
+    live = stored(cells.join(chosen, "cell"))
+    ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select(F.col("first").alias("_first")).distinct())
+    few = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    dealt = live.join(shingle_sets(few, near), "fp").select("cell", "fp", "shingles")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(_verified(near), "a binary, b binary")
+
+
+def near_components(docs: DataFrame, near: Near = NEAR) -> DataFrame:
+    """doc_id, fp (the name of the set of shingles) and component_id: the smallest doc_id that can
+    be reached over pairs of sets whose Jaccard similarity is at least near.least."""
+    marked = stored(sketches(docs, near))
+    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("cells").alias("cells"))
+    return _labelled(marked.select("doc_id", "fp"), distinct.select("fp", "first"), similar_links(docs, distinct, near))
+
+
+def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     """docs with one document of each group, that of the smallest doc_id, and of its repeated rows
     one; rows whose doc_id is null are kept as they are."""
-    keep = components(docs, plan).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
+    keep = near_components(docs, near).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
     ided = docs.filter(F.col("doc_id").isNotNull())
     chosen = ided.join(keep, ided["doc_id"].cast("long") == keep["_kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
     return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -417,6 +417,52 @@ def test_near_copies(spark):
     assert got == sorted([(False, 10 * g) for g in range(25)] + [(False, 10 * g + 5) for g in range(25)] + [(False, 999), (True, 0)])
 
 
+def jaccard(a, b):
+    a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_near_copies_by_brute_force(spark):
+    """Of pairs of similarity 0.7 to 0.9 those from 0.8 on are joined, and no others."""
+    r = random.Random(17)
+    word = lambda: "".join(r.choice("aeinorsthlmd") for _ in range(r.randint(3, 9)))
+    rows, joined = [], set()
+    for g in range(240):
+        w = [word() for _ in range(r.choice([60, 300, 900]))]
+        tail = round(len(w) * (1 - 2 * (j := 0.7 + 0.2 * g / 239) / (1 + j)))
+        pair = " ".join(w), " ".join(w[: len(w) - tail] + [word() for _ in range(tail)])
+        rows += [(2 * g, pair[0]), (2 * g + 1, pair[1])]
+        if jaccard(*pair) >= 0.8:
+            joined.add(2 * g + 1)
+    w = [word() for _ in range(400)]  # a chain, of which the ends are not similar
+    rows += [(1000 + k, " ".join(w[30 * k : 30 * k + 300])) for k in range(4)]
+    joined |= {1001, 1002, 1003}
+    kept = {x.doc_id for x in simhash.deduplicated(frame(spark, rows)).collect()}
+    assert {d for d, _ in rows} - kept == joined
+    assert 80 < len(joined) < 160
+
+
+def test_similar_members_of_a_cell():
+    r = np.random.default_rng(4)
+    sets = []
+    for _ in range(12):
+        base = r.choice(5000, 60, replace=False)
+        for _ in range(12):
+            sets.append(np.unique(np.concatenate([base[: r.integers(45, 61)], r.choice(5000, r.integers(0, 12))])).astype(np.uint64))
+    names = [bytes([i // 256, i % 256]) for i in range(len(sets))]
+    forest = simhash.Forest()
+    simhash._similar(names, sets, 0.8, forest)
+    label = list(range(len(sets)))
+    as_sets = [set(x.tolist()) for x in sets]
+    for _ in sets:
+        for i, a in enumerate(as_sets):
+            for j, b in enumerate(as_sets):
+                if label[j] > label[i] and 5 * len(a & b) >= 4 * len(a | b):
+                    label[j] = label[i]
+    assert [forest.root((n,))[0] for n in names] == [names[x] for x in label]
+    assert 12 < len(set(label)) < len(sets)
+
+
 # the pipeline
 
 
