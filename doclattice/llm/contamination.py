@@ -74,10 +74,11 @@ class Phrases:
 
 
 class Shard:
-    """Positional postings of the known terms over a block of documents."""
+    """Positional postings of the known terms over a block of documents, which are set so far apart
+    that neither phrases nor words `within` a distance reach from one into the next."""
 
-    def __init__(self, docs: list[str], phrases: Phrases):
-        get, gap = phrases.terms.get, phrases.longest + 1
+    def __init__(self, docs: list[str], phrases: Phrases, within: int | None = None):
+        get, gap = phrases.terms.get, max(phrases.longest, within or 0) + 1
         self.base, self.n_words, parts, at = [], [], [], 0
         filler = [-1] * gap
         for text in docs:
@@ -165,7 +166,7 @@ def _searcher(phrases: Phrases, within: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for ids, docs in blocks_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), SHARD_BYTES):
-                shard = Shard(docs, phrases)
+                shard = Shard(docs, phrases, within)
                 spans, items = _search(shard, phrases, within)
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -213,6 +213,14 @@ def test_proximity(spark):
     assert got == {1: ["i"], 2: [], 3: []}
 
 
+def test_proximity_ends_with_the_document(spark):
+    bench = spark.createDataFrame([("i", "alpha beta gamma")], "item_id string, text string")
+    docs = frame(spark, [(1, "alpha"), (2, "beta x"), (3, "gamma"), (4, "beta alpha"), (5, "gamma " + "x " * 40 + "alpha beta")], parts=1)
+    for within in (10, 41, 100):
+        got = {r.doc_id: list(r["items"]) for r in contamination.matches(docs, bench, within=within).collect()}
+        assert got == {1: [], 2: [], 3: [], 4: [], 5: ["i"] if within > 41 else []}
+
+
 # 6, 9
 
 
