@@ -1,8 +1,8 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task gathers the distinct pre-tokens of its slice of the corpus, puts their bytes into one array
-of linked symbols, and keeps an inverted index from merge rank to the positions of the pairs that
-have it. Ranks are popped in order; each merge is applied at all its positions at once and touches
+A task gathers the distinct pre-tokens of an Arrow batch (cut after SLICE_TOKENS pre-tokens) that its
+worker hasn't replayed yet, puts their bytes into one array of linked symbols, and keeps an inverted
+index, for this replay, from merge rank to the positions of the pairs that have it. Ranks are popped in order; each merge is applied at all its positions at once and touches
 only the two neighbouring pairs. Pre-tokens that were replayed before come from a bounded cache.
 No shuffle: what leaves a task is one row for each document.
 
