@@ -1,21 +1,29 @@
 """Personal data: fixed patterns, and a character-level bidirectional LSTM with CRF transitions.
 
 Base kinds come from patterns and checks; those spans always stay. The network (numpy only) is
-trained on the driver from labelled spans: the base spans in at most TRAIN_DOCS documents. Texts are
-cut into overlapping windows; each is decoded by Viterbi, and where windows overlap a character gets
-the tag of the window whose middle is nearest, so that one global tagging comes out, from which
-spans are read. All four kinds need a digit or an @, so a window without one is all outside.
-Spans that the network finds apart from base spans are added, if they have a digit or @ and, for
-cards, a valid check digit.
-
-Nulls: a null text is empty. Places are in code points, ends exclusive. Repeated rows are each
-answered, empty tables give no rows (and an untrained network, which is not used), further columns
-are not read.
+trained on the driver from labelled spans in contexts from at most TRAIN_DOCS documents: the base
+spans that are there, and spans that are written into the contexts, half of them in ways that the
+patterns don't know (a spelled or bracketed `at` and `dot`, spaces around the dots of an address,
+dots or slashes between the digits of a card, telephone numbers without a plus), besides numbers
+that are no personal data. Texts are cut into overlapping windows; each is decoded by Viterbi, and
+where windows overlap a character gets the tag of the window whose middle is nearest, so that one
+global tagging comes out, from which spans are read.
+
+Addresses, cards and telephone numbers have digits, and emails an @, a bracketed `at` or a spelled
+`dot`: windows without any of these signs (SIGN) are all outside and not decoded. Spans that the
+network finds apart from base spans are added if they can be what they are said to be: an address
+has four numbers up to 255, a card a valid check digit, a telephone number 10 to 15 digits, an email
+its two signs.
+
+Nulls: a null text is empty. Places are in code points, ends exclusive. Long runs of any characters
+take linear time. Repeated rows are each answered, empty tables give no rows (and an untrained
+network, which is not used), further columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from collections.abc import Iterator
 
@@ -27,19 +35,22 @@ from pyspark.sql import functions as F
 from doclattice.llm.common import table, texts
 
 KINDS = ("email", "ip", "card", "phone")
-PATTERNS = {
-    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
-    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
-    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+RUNS = {
+    "local": re.compile(r"[A-Za-z0-9._%+-]+"),
+    "domain": re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"),
+    "numbers": re.compile(r"[0-9]++(?:\.[0-9]++)*+"),
+    "card": re.compile(r"[0-9](?:[\x20-]?[0-9])++"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
 TRIGGER = re.compile("[0-9@]")
+#: What a window has that is worth decoding.
+SIGN = re.compile(r"[0-9@]|[\[({<]\x20?at\x20?[\])}>]|\bdot\b", re.IGNORECASE | re.ASCII)
 
-#: Bounds of what the driver gathers to fit the network.
+#: Bounds of what the driver gathers to fit the network: of a longer text a piece is taken.
 TRAIN_LOOKED = 9600
 TRAIN_DOCS = 600
-TRAIN_CHARS = 20_000
-TRAIN_WINDOWS = 1200
+TRAIN_CHARS = 4_000
+TRAIN_WINDOWS = 3600
 
 LENGTH = 96
 STRIDE = 48
@@ -62,23 +73,48 @@ def _digits(s: str) -> str:
 
 def valid(kind: str, s: str) -> bool:
     if kind == "ip":
-        return all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in s.split("."))
+        return all(len(x := p.lstrip("0")) <= 3 and int(x or "0") <= 255 for p in s.split("."))
     if kind == "card":
         return 14 <= len(d := _digits(s)) <= 19 and luhn(d)
     return kind != "phone" or 10 <= len(_digits(s)) <= 15
 
 
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Of each run of local characters that an @ ends, what no earlier match has taken, with the
+    domain behind the @. No run is searched twice."""
+    end = 0
+    for m in RUNS["local"].finditer(text) if "@" in text else ():
+        start = max(m.start(), end)
+        if start < m.end() and text[m.end() : m.end() + 1] == "@" and (d := RUNS["domain"].match(text, m.end() + 1)):
+            end = d.end()
+            yield start, end
+
+
+def _addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Each four numbers in turn of a run of numbers with dots between them."""
+    for m in RUNS["numbers"].finditer(text):
+        at = m.start()
+        numbers = m[0].split(".")
+        for i in range(0, len(numbers) - 3, 4):
+            size = sum(map(len, numbers[i : i + 4])) + 3
+            yield at, at + size
+            at += size + 1
+
+
+def _matches(kind: str, text: str) -> Iterator[tuple[int, int]]:
+    """Matches of a kind's pattern, leftmost first, each in time linear in the text."""
+    if kind == "email":
+        return _emails(text)
+    if kind == "ip":
+        return _addresses(text)
+    return (m.span() for m in RUNS[kind].finditer(text))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind's number, end), in order."""
     if not TRIGGER.search(text):
         return []
-    return sorted((m.start(), k, m.end()) for k, kind in enumerate(KINDS) for m in _matches(kind, text) if valid(kind, m[0]))
-
-
-def _matches(kind: str, text: str) -> Iterator[re.Match]:
-    """Matches, leftmost first. Emails are sought at each @ alone, as their pattern looks at every
-    character run twice otherwise."""
-    return PATTERNS[kind].finditer(text) if kind != "email" or "@" in text else iter(())
+    return sorted((a, k, b) for k, kind in enumerate(KINDS) for a, b in _matches(kind, text) if valid(kind, text[a:b]))
 
 
 def encoded(text: str) -> np.ndarray:
@@ -87,14 +123,14 @@ def encoded(text: str) -> np.ndarray:
 
 
 def window_starts(text: str) -> list[int]:
-    """Starts of the windows that hold a digit or @."""
+    """Starts of the windows that touch a sign."""
     last = max(0, -(-(len(text) - LENGTH) // STRIDE))
     found: set[int] = set()
-    for m in TRIGGER.finditer(text):
-        k = m.start() // STRIDE
-        found.update(j for j in (k - 1, k) if 0 <= j <= last)
-        if k > last:
-            found.add(last)
+    for m in SIGN.finditer(text):
+        for k in range(m.start() // STRIDE, (m.end() - 1) // STRIDE + 1):
+            found.update(j for j in (k - 1, k) if 0 <= j <= last)
+            if k > last:
+                found.add(last)
     return [j * STRIDE for j in sorted(found)]
 
 
@@ -196,10 +232,10 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
     return np.squeeze(top, axis) + np.log(np.exp(x - top).sum(axis=axis))
 
 
-def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 240, rate: float = 0.02, seed: int = 7) -> Network | None:
-    """examples: text and its labelled spans (start, kind's number, end)."""
+def fit(labelled: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 600, rate: float = 0.02, seed: int = 7) -> Network | None:
+    """labelled: text and its spans (start, kind's number, end)."""
     ids, tags = [], []
-    for text, spans in examples:
+    for text, spans in labelled:
         code, tag = encoded(text), np.zeros(len(text), np.int64)
         for a, k, b in spans:
             tag[a:b], tag[a] = 2 + 2 * k, 1 + 2 * k
@@ -209,7 +245,7 @@ def fit(examples: list[tuple[str, list[tuple[int, int, int]]]], steps: int = 240
     if not ids:
         return None
     r = np.random.default_rng(seed)
-    chosen = r.permutation(len(ids))[:TRAIN_WINDOWS]
+    chosen = r.permutation(len(ids))[: 2 * TRAIN_WINDOWS]
     x, y = np.array(ids)[chosen], np.array(tags)[chosen]
     net = Network(seed)
     m = {k: np.zeros_like(v) for k, v in net.w.items()}
@@ -265,32 +301,134 @@ def model_spans(net: Network, docs: list[str]) -> list[list[tuple[int, int, int]
     return out
 
 
+AT_SIGN = re.compile(r"@|[\[({<]\x20?at\x20?[\])}>]|\x20at\x20", re.IGNORECASE)
+DOT_SIGN = re.compile(r"\.|[\[({<]\x20?dot\x20?[\])}>]|\x20dot\x20", re.IGNORECASE)
+
+
+SHAPES = {"card": re.compile(r"[0-9][\x20./_0-9-]+[0-9]"), "phone": re.compile(r"[+(0-9][\x20()./0-9-]+[0-9]")}
+
+
+def plausible(kind: str, s: str) -> bool:
+    """Whether a span in any notation can be of its kind."""
+    if len(s) > LENGTH:
+        return False
+    if kind == "email":
+        at = AT_SIGN.search(s, 1)
+        dot = at and DOT_SIGN.search(s, at.end() + 1)
+        return bool(dot) and dot.end() < len(s)
+    if kind == "ip":
+        numbers = re.findall("[0-9]+", s)
+        return len(numbers) == 4 and all(len(n) <= 3 and int(n) <= 255 for n in numbers)
+    return SHAPES[kind].fullmatch(s) is not None and valid(kind, s)
+
+
 def added(text: str, base: list[tuple[int, int, int]], found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Those of the network's spans that stand apart from base spans and can be what they are said to be."""
-    apart = [s for s in found if all(s[2] <= a or b <= s[0] for a, _, b in base)]
-    return [(a, k, b) for a, k, b in apart if b - a >= 6 and TRIGGER.search(text, a, b) and (KINDS[k] != "card" or valid("card", text[a:b]))]
+    """Those of the network's spans that stand apart from base spans, cut no number in two and can be
+    what they are said to be."""
+    out, i = [], 0
+    for a, k, b in found:  # both lists are in order
+        while i < len(base) and base[i][0] < b and base[i][2] <= a:
+            i += 1
+        near = base[max(0, i - len(KINDS)) : i + len(KINDS) + 1]
+        broken = a and text[a - 1].isdigit() and text[a].isdigit() or text[b - 1].isdigit() and text[b : b + 1].isdigit()
+        if not broken and all(b <= x or y <= a for x, _, y in near) and plausible(KINDS[k], text[a:b]):
+            out.append((a, k, b))
+    return out
 
 
 def listed(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def trained(docs: DataFrame) -> Network | None:
-    """A network from the base spans of a bounded sample. About TRAIN_LOOKED documents are looked at,
-    by a hash of their ids; those with a digit or @ that have the smallest hashes are taken."""
+def _email(r: random.Random, usual: bool) -> str:
+    word = lambda n: "".join(r.choice("abcdefghijklmnoprstuvwxyz") for _ in range(r.randint(2, n)))
+    name = word(8) + r.choice(["", ".", "_", "-", "+"]).join(["", word(6)]) + r.choice(["", str(r.randint(1, 99))])
+    at, dot = ("@", ".") if usual else r.choice([(" at ", " dot "), (" [at] ", " [dot] "), ("[at]", "."), (" (at) ", "."), ("(at)", "(dot)"), (" @ ", "."), ("@", " dot ")])
+    return name + at + word(9) + dot + r.choice(["com", "org", "net", "de", "fr", "es", "io"])
+
+
+def _ip(r: random.Random, usual: bool) -> str:
+    dot = "." if usual else r.choice([" . ", ". ", " .", "[.]", "(.)", " dot "])
+    return dot.join(str(r.randint(0, 255)) for _ in range(4))
+
+
+def _card(r: random.Random, usual: bool) -> str:
+    n = r.choice([14, 15, 16, 16, 16, 16, 19])
+    digits = r.choice("3456") + "".join(r.choice("0123456789") for _ in range(n - 2))
+    digits += next(d for d in "0123456789" if luhn(digits + d))
+    sep = r.choice(["", " ", "-"]) if usual else r.choice([".", "/", "  ", " - ", "_"])
+    return sep.join(digits[i : i + 4] for i in range(0, n, 4))
+
+
+def _phone(r: random.Random, usual: bool) -> str:
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    if usual:
+        sep = r.choice([" ", "-", ".", ""])
+        return f"+{r.randint(1, 99)}" + r.choice([" ", sep, " ("]).join(["", d(3)]) + sep + d(3) + sep + d(4)
+    sep = r.choice([" ", "-", "."])
+    return r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"({d(3)}){sep}{d(3)}{sep}{d(4)}", f"{d(3)}{sep}{d(3)}{sep}{d(4)}", f"00{r.randint(1, 99)}{sep}{d(3)}{sep}{d(3)}{sep}{d(4)}", f"0{d(2)}/{d(8)}"])
+
+
+def _other(r: random.Random) -> str:
+    """Numbers and words that are no personal data."""
+    n = lambda a, b: str(r.randint(a, b))
+    return r.choice(
+        [
+            lambda: f"{n(1900, 2099)}-{r.randint(1, 12):02}-{r.randint(1, 28):02}", lambda: f"{n(1, 28)}.{n(1, 12)}.{n(1900, 2099)}", lambda: f"{n(0, 23)}:{r.randint(0, 59):02}",
+            lambda: f"{n(0, 20)}.{n(0, 20)}.{n(0, 99)}", lambda: n(0, 99_999), lambda: n(10**9, 10**19), lambda: f"{n(1, 999)},{r.randint(0, 999):03}.{r.randint(0, 99):02}", lambda: f"{n(1, 999)} at {n(1, 99)}",
+            lambda: f"{n(1, 9)}.{n(0, 9)}", lambda: f"{n(1, 99)} % of {n(1, 9999)}", lambda: f"the dot at {n(1, 9)}", lambda: f"{n(300, 999)}.{n(300, 999)}.{n(1, 999)}.{n(1, 999)}", lambda: f"@{n(1, 99)}", lambda: "".join(r.choice("0123456789abcdef") for _ in range(r.choice([8, 16, 32]))),
+        ]
+    )()
+
+
+MAKERS = (_email, _ip, _card, _phone)
+
+
+def examples(contexts: list[str], n: int, seed: int = 7, usual: float = 0.5) -> list[tuple[str, list[tuple[int, int, int]]]]:
+    """n pieces of contexts with a labelled span, or what is none, written into each. usual: the
+    share of spans that the patterns know."""
+    r, out = random.Random(seed), []
+    for _ in range(n if contexts else 0):
+        text = r.choice(contexts)
+        at = r.randint(0, max(0, len(text) - 160))
+        piece = TRIGGER.sub("", text[at : at + 160])
+        cut = r.randint(0, len(piece))
+        if r.random() < 0.8 and " " in piece[cut:]:
+            cut = piece.index(" ", cut) + 1
+        head, tail = piece[:cut] + r.choice(["", "", "", ": ", "(", '"']), r.choice([" ", " ", ", ", ". ", "\n", ")"]) + piece[cut:]
+        if r.random() < 0.3:
+            out.append((head + _other(r) + tail, []))
+            continue
+        k = r.randrange(len(KINDS))
+        span = MAKERS[k](r, r.random() < usual)
+        out.append((head + span + tail, [(len(head), k, len(head) + len(span))]))
+    return out
+
+
+def contexts(docs: DataFrame, seed: int = 42) -> list[str]:
+    """Texts, or pieces of TRAIN_CHARS characters of longer ones, of at most TRAIN_DOCS documents.
+    About TRAIN_LOOKED documents are looked at, by a hash of their ids; the smallest hashes are taken."""
     total = docs.count()  # from the files' footers
-    h = F.xxhash64("doc_id")
+    h = F.xxhash64(F.col("doc_id"), F.lit(seed))
     some = F.pmod(h, F.lit(1 << 30)) <= (1 << 30) * TRAIN_LOOKED // max(TRAIN_LOOKED, total)
-    able = texts(docs).filter(some & F.col("doc_id").isNotNull() & F.col("text").rlike("[0-9@]") & (F.length("text") <= TRAIN_CHARS))
-    rows = able.orderBy(h, "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()
-    return fit([(r.text, base_spans(r.text)) for r in rows])
+    start = 1 + F.pmod(F.xxhash64("text", F.lit(seed)), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)))
+    able = texts(docs).filter(some & F.col("doc_id").isNotNull() & (F.length("text") > 0))
+    picked = able.select(h.alias("h"), "doc_id", F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS)).alias("text"))
+    return [r.text for r in picked.orderBy("h", "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS).collect()]
+
+
+def trained(docs: DataFrame) -> Network | None:
+    """A network from base spans and written spans in a bounded sample of contexts."""
+    found = contexts(docs)
+    own = [(t, s) for t in found if (s := base_spans(t))]
+    return fit(own + examples(found, TRAIN_WINDOWS)) if found else None
 
 
-REPORT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+REPORT = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long"
 
 
 def report(docs: DataFrame, net: Network | None) -> DataFrame:
-    """Digest columns for each document."""
+    """Digest columns for each document; n_spans: of all kinds, with those that the network adds."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -301,8 +439,8 @@ def report(docs: DataFrame, net: Network | None) -> DataFrame:
                 found = model_spans(net, docs) if net else [[] for _ in docs]
                 counts = [pa.array([sum(s[1] == k for s in b) for b in base], pa.int64()) for k in range(len(KINDS))]
                 sha = [hashlib.sha256(listed(b).encode()).hexdigest() for b in base]
-                every = [listed(b + added(t, b, f)) for t, b, f in zip(docs, base, found, strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha), pa.array(every, pa.string())], [c.split()[0] for c in REPORT.split(", ")])
+                every = [b + added(t, b, f) for t, b, f in zip(docs, base, found, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *counts, pa.array(sha), pa.array(map(listed, every), pa.string()), pa.array(map(len, every), pa.int64())], [c.split()[0] for c in REPORT.split(", ")])
 
     return texts(docs).mapInArrow(run, REPORT)
 

@@ -127,9 +127,44 @@ def test_replay_of_many_words_together():
 # 4
 
 
+PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+
+def pii_reference(text):
+    """The contract's base spans by its own patterns, as (start, kind, end)."""
+    out = []
+    for k, (kind, p) in enumerate(PII.items()):
+        for m in re.finditer(p, text):
+            d = [int(c) for c in m[0] if c in "0123456789"]
+            doubled = [sum(divmod(2 * x, 10)) if i % 2 else x for i, x in enumerate(d[::-1])]
+            if {"email": True, "ip": all(int(x) <= 255 for x in m[0].split(".")) if kind == "ip" else True, "card": 14 <= len(d) <= 19 and sum(doubled) % 10 == 0, "phone": 10 <= len(d) <= 15}[kind]:
+                out.append((m.start(), k, m.end()))
+    return sorted(out)
+
+
 def test_pii_base():
     text = "é mail a.b@c.de, 1.2.3.4 and 300.1.1.1, 4111 1111 1111 1111, 4111 1111 1111 1112, +1 (246) 555-1219; +12 3"
     assert [(pii.KINDS[k], text[a:b]) for a, k, b in pii.base_spans(text)] == [("email", "a.b@c.de"), ("ip", "1.2.3.4"), ("card", "4111 1111 1111 1111"), ("phone", "+1 (246) 555-1219")]
+    r, n = random.Random(1), 0
+    for _ in range(20_000):
+        letters = r.choice(["a@.-1", "1.2 .3", "0123456789 -", "+1 ()2-.3", "ab@c._%+-1 .", "12.", "@a.", "é٣1.@"])
+        t = "".join(r.choice(letters) for _ in range(r.randint(0, 60)))
+        assert pii.base_spans(t) == pii_reference(t)
+        n += len(pii_reference(t))
+    assert n > 1000
+
+
+@pytest.mark.parametrize("unit", ["1", "a", "+", "+1", "@", "a@", "1.", "+(", "a.", "a@b-", "x@y."])
+def test_pii_base_of_long_runs(unit):
+    """Each takes a fraction of a second; patterns that look at a run again take minutes."""
+    text = unit * (1_000_000 // len(unit)) + " x@y.zz"
+    assert pii.base_spans(text)[-1][1:] == (0, len(text))
+
+
+def test_pii_base_of_zeros(spark):
+    text = "0" * 5000 + ".1.1.1"
+    assert pii.base_spans(text) == [(0, 1, 5006)]
+    assert pii.report(frame(spark, [(1, text)]), None).first().n_ip == 1
 
 
 def test_network_gradient():
@@ -156,12 +191,24 @@ def pii_texts(seed, n):
 
 
 def test_network_learns_spans():
-    net = pii.fit([(t, pii.base_spans(t)) for t in pii_texts(1, 300)])
-    texts = pii_texts(2, 100)
-    found = pii.model_spans(net, texts)
-    gold = [pii.base_spans(t) for t in texts]
-    right = sum(len(set(f) & set(g)) for f, g in zip(found, gold))
-    assert right >= 0.8 * sum(map(len, gold)) and right >= 0.8 * sum(map(len, found))
+    """Held-out contexts, spans and notations; the spans that the patterns know and those that they don't."""
+    net = pii.fit(pii.examples(pii_texts(1, 300), 3000))
+    for usual in (1, 0):
+        labelled = pii.examples(pii_texts(2, 300), 600, seed=5, usual=usual)
+        found = [pii.added(t, [], s) for (t, _), s in zip(labelled, pii.model_spans(net, [t for t, _ in labelled]))]
+        right = sum(len(set(f) & set(g)) for f, (_, g) in zip(found, labelled))
+        assert right >= 0.8 * sum(len(g) for _, g in labelled) and right >= 0.9 * sum(map(len, found))
+        if not usual:
+            assert sum(pii_reference(t) == [] for t, g in labelled if g) > 0.5 * sum(1 for _, g in labelled if g)
+
+
+def test_added_spans_are_apart_and_whole():
+    text = "call 246 555 1219 or +1 (246) 555-1219, 4111.1111.1111.1111 1234567890123"
+    base = pii.base_spans(text)
+    assert [text[a:b] for a, _, b in base] == ["+1 (246) 555-1219"]
+    at = lambda k, s: (text.index(s), k, text.index(s) + len(s))
+    found = [at(3, "246 555 1219"), at(3, "246) 555-1219"), at(2, "4111.1111.1111.1111"), at(3, "234567890123")]
+    assert pii.added(text, base, found) == [found[0], found[2]]
 
 
 def test_windows_cover_triggers():
@@ -177,12 +224,26 @@ def test_pii_report(spark):
     got = pii.report(frame(spark, rows), None).collect()
     expected = []
     for d, t in rows:
-        b = pii.base_spans(t or "")
-        expected.append((d, *[sum(s[1] == k for s in b) for k in range(4)], hashlib.sha256(pii.listed(b).encode()).hexdigest(), pii.listed(b)))
+        b = pii_reference(t or "")
+        joined = ",".join(f"{list(PII)[k]}:{x}:{y}" for x, k, y in b)
+        expected.append((d, *[sum(s[1] == k for s in b) for k in range(4)], hashlib.sha256(joined.encode()).hexdigest(), joined, len(b)))
     same(got, expected)
     assert pii.trained(empty(spark)) is None and pii.report(empty(spark), None).count() == 0
 
 
+def test_pii_network_over_documents(spark):
+    """What the network adds is in spans, and base spans stay; long texts are decoded to their end."""
+    texts = pii_texts(1, 200)
+    docs = frame(spark, [(i, t) for i, t in enumerate(texts)])
+    net = pii.trained(docs)
+    rows = {1: "thoris tens there name [at] shore [dot] org treat", 2: "thoris " * 20_000 + "rest +49 (246) 555-1219 thoris", 3: None, 4: "toast at the dot these", None: "resto 10.0.0.1 there"}
+    for r in pii.report(frame(spark, list(rows.items())), net).collect():
+        text = rows[r.doc_id] or ""
+        listed = r.spans.split(",") if r.spans else []
+        assert r.n_spans == len(listed) == (1 if r.doc_id in (1, 2, None) else 0)
+        assert all(f"{list(PII)[k]}:{a}:{b}" in listed for a, k, b in pii_reference(text))
+
+
 # 5
 
 
