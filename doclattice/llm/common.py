@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
+import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,12 +17,30 @@ ROOT = str(Path(__file__).resolve().parents[2])
 _SCRATCH: list[tuple[SparkSession, str]] = []
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, so that a folder of this machine will do."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def ship(spark: SparkSession) -> None:
-    """Let Python workers import this package even if the driver got it through sys.path only."""
-    env = spark.sparkContext.environment
-    known = env.get("PYTHONPATH", "").split(os.pathsep)
+    """Let Python workers import this package: from this machine's path where workers run here, from
+    an archive that Spark sends to them elsewhere. Once for each application."""
+    sc = spark.sparkContext
+    if sc.environment.get("DOCLATTICE_SHIPPED") == sc.applicationId:
+        return
+    known = sc.environment.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in known:
-        env["PYTHONPATH"] = os.pathsep.join([x for x in known if x] + [ROOT])
+        sc.environment["PYTHONPATH"] = os.pathsep.join([x for x in known if x] + [ROOT])
+    if not is_local(spark):
+        folder = tempfile.mkdtemp()  # the driver serves the archive from here until it ends
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        path = Path(folder, f"doclattice-{uuid.uuid4().hex}.zip")
+        with zipfile.ZipFile(path, "w") as archive:
+            for p in sorted(Path(ROOT, "doclattice").rglob("*.py")):
+                archive.write(p, p.relative_to(ROOT))
+        sc.addPyFile(str(path))
+    sc.environment["DOCLATTICE_SHIPPED"] = sc.applicationId
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,9 +62,12 @@ def partitions(spark: SparkSession) -> int:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); a folder of our own where none is set."""
+    """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a folder of this machine
+    in local mode; on a cluster that is an error, as executors wouldn't share it."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not is_local(spark):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = Path(tempfile.gettempdir(), "doclattice-scratch").as_uri()
         spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
