@@ -1,12 +1,15 @@
 """Quality rules with adaptive thresholds; DataFrame functions only.
 
-Each document gets counts from its whole text. Three of them become integer ratios (per 1000), and
-a mergeable quantile sketch of each ratio is kept for each language and source: a histogram with
+Each document gets counts from its whole text. Four ratios of them are integers (per 1000), and a
+mergeable quantile sketch of each ratio is kept for each language and source: a histogram with
 log-linear buckets (the seven highest bits of a value stay, so quantiles are exact within 1/64).
-Sketches merge by adding counts, need no order and come out the same in any run. A document is
-rejected where a ratio leaves the fence median +- max(width * (q75 - q25), slack) of its group.
-Groups of fewer than MIN_DOCS documents use the merged sketch of their language, and languages of
-fewer that of all documents.
+Sketches merge by adding counts, need no order and come out the same in any run.
+
+The sketch that judges a group is its own blended with that of its language, which weighs as much as
+PRIOR documents: a small group follows its language, a large one itself, with no switch between. Its
+quartiles alone make the fences: a document is rejected where a ratio's bucket lies over
+q50 + WIDTH * (q75 - q50) or, for ratios that are bad on both sides, under q50 - WIDTH * (q50 - q25).
+Where q75 (or q25) is q50, the group is too uniform for a threshold on that side and has none.
 
 Nulls: a null text has no words and fails; null languages and sources count as empty strings. Only
 documents that pass the fixed base rule are in the sketches. Repeated rows count each; empty tables
@@ -26,13 +29,21 @@ from doclattice.llm.common import stored, table
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-MIN_DOCS = 200
-#: ratio, width in interquartile ranges, slack in the ratio's unit, whether low values are also bad
-FENCES = (
-    ("chars_per_word", 8, 1500, True),
-    ("symbols_per_word", 8, 200, False),
-    ("dup_lines", 8, 600, False),
+#: Characters of a short word, what the language's sketch weighs in documents, and the fences' width.
+SHORT = 3
+PRIOR = 100
+WIDTH = 8
+#: ratio, its counts (per 1000), whether low values are also bad
+RATIOS = (
+    ("chars_per_word", "word_chars", "n_words", True),
+    ("short_words", "n_short", "n_words", True),
+    ("symbols_per_word", "n_symbols", "n_words", False),
+    ("dup_lines", "n_dup_lines", "n_lines", False),
 )
+#: Groups of language and source whose thresholds are broadcast at most (some 200 bytes each), and
+#: the parts into which larger tables of thresholds are dealt for each group.
+BROADCAST_GROUPS = 100_000
+SALTS = 32
 
 
 def _let(value: Column, body) -> Column:
@@ -65,7 +76,7 @@ def _repeat_words(words: Column, width: int = 5) -> Column:
 
 
 def counts(docs: DataFrame) -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed."""
+    """docs with n_words, word_chars, n_short, n_symbols, n_lines, n_dup_lines, n_repeat_words, base_failed."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     words = F.array_remove(F.split(text, SPACE), "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, BLANKS, "") != "")
@@ -75,6 +86,7 @@ def counts(docs: DataFrame) -> DataFrame:
             lines,
             lambda ls: F.struct(
                 F.size(w).cast("long").alias("n_words"),
+                F.size(F.filter(w, lambda x: F.length(x) <= SHORT)).cast("long").alias("n_short"),
                 F.size(ls).cast("long").alias("n_lines"),
                 (F.size(ls) - F.size(F.array_distinct(ls))).cast("long").alias("n_dup_lines"),
                 _repeat_words(w).alias("n_repeat_words"),
@@ -87,6 +99,7 @@ def counts(docs: DataFrame) -> DataFrame:
         n.alias("n_words"),
         F.length(F.translate(text, BLANKS, "")).cast("long").alias("word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        F.col("m.n_short").alias("n_short"),
         F.col("m.n_lines").alias("n_lines"),
         F.col("m.n_dup_lines").alias("n_dup_lines"),
         F.col("m.n_repeat_words").alias("n_repeat_words"),
@@ -96,7 +109,7 @@ def counts(docs: DataFrame) -> DataFrame:
 
 def _ratios() -> dict[str, Column]:
     per = lambda a, b: F.when(F.col(b) > 0, F.floor(F.col(a) * 1000 / F.col(b))).otherwise(F.lit(0)).cast("long")
-    return {"chars_per_word": per("word_chars", "n_words"), "symbols_per_word": per("n_symbols", "n_words"), "dup_lines": per("n_dup_lines", "n_lines")}
+    return {k: per(a, b) for k, a, b, _ in RATIOS}
 
 
 def _bucket(v: Column) -> Column:
@@ -113,41 +126,42 @@ def sketches(measured: DataFrame) -> DataFrame:
     return rows.groupBy("lang", "source", "ratio", "bucket").agg(F.count("*").alias("n"))
 
 
-def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """q25, q50, q75 of each merged sketch with at least MIN_DOCS documents (any, where keys are none)."""
-    merged = sketch.groupBy(*keys, "ratio", "bucket").agg(F.sum("n").alias("n"))
-    group = Window.partitionBy(*keys, "ratio")
+def thresholds(sketch: DataFrame) -> DataFrame:
+    """A row for each language and source: low_<ratio> and high_<ratio>, null where there is none."""
+    big = lambda c: F.col(c).cast("decimal(19,0)")
+    lang = sketch.groupBy("lang", "ratio", "bucket").agg(F.sum("n").alias("n_lang"))
+    total = lang.groupBy("lang", "ratio").agg(F.sum("n_lang").alias("all_lang"))
+    groups = sketch.select("lang", "source", "ratio").distinct()
+    every = groups.join(lang, ["lang", "ratio"]).join(total, ["lang", "ratio"]).join(sketch, ["lang", "source", "ratio", "bucket"], "left")
+    n = F.coalesce(big("n"), F.lit(0)) * big("all_lang") + PRIOR * big("n_lang")
+    group = Window.partitionBy("lang", "source", "ratio")
     up = group.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = merged.withColumn("cum", F.sum("n").over(up)).withColumn("total", F.sum("n").over(group))
+    ranked = every.withColumn("n", n.cast("decimal(38,0)")).withColumn("cum", F.sum("n").over(up)).withColumn("total", F.sum("n").over(group))
     q = [F.min(F.when(F.col("cum") * 4 >= F.col("total") * k, F.col("bucket"))).alias(f"q{25 * k}") for k in (1, 2, 3)]
-    out = ranked.groupBy(*keys, "ratio").agg(F.max("total").alias("docs"), *q)
-    return out.filter(F.col("docs") >= MIN_DOCS) if keys else out
-
-
-def thresholds(sketch: DataFrame) -> DataFrame:
-    """A row for each language and source: low_<ratio> and high_<ratio>."""
-    own = _quantiles(sketch, ["lang", "source"])
-    lang = _quantiles(sketch, ["lang"])
-    whole = _quantiles(sketch, [])
-    fence = reduce(lambda a, f: a.when(F.col("ratio") == f[0], F.greatest(f[1] * (F.col("q75") - F.col("q25")), F.lit(f[2]))), FENCES, F)
-    low = reduce(lambda a, f: a.when(F.col("ratio") == f[0], F.lit(f[3])), FENCES, F)
-    levels = []
-    for k, df in enumerate((own, lang, whole)):
-        q = df.withColumn("fence", fence).select(*[c for c in ("lang", "source") if c in df.columns], "ratio", F.when(low, F.col("q50") - F.col("fence")).otherwise(F.lit(-1)).cast("long").alias(f"low{k}"), (F.col("q50") + F.col("fence")).cast("long").alias(f"high{k}"))
-        levels.append(q)
-    every = sketch.select("lang", "source", "ratio").distinct()
-    all3 = every.join(levels[0], ["lang", "source", "ratio"], "left").join(levels[1], ["lang", "ratio"], "left").join(levels[2], ["ratio"], "left")
-    pick = lambda name: F.coalesce(*[F.col(f"{name}{k}") for k in range(3)])
-    one = lambda name, ratio: F.max(F.when(F.col("ratio") == ratio, pick(name))).alias(f"{name}_{ratio}")
-    return all3.groupBy("lang", "source").agg(*[one(name, f[0]) for f in FENCES for name in ("low", "high")])
+    quartiles = ranked.groupBy("lang", "source", "ratio").agg(*q)
+    sides = []
+    for k, _, _, low in RATIOS:
+        mine = F.col("ratio") == k
+        sides.append(F.max(F.when(mine & F.lit(low) & (F.col("q25") < F.col("q50")), F.col("q50") - WIDTH * (F.col("q50") - F.col("q25")))).alias(f"low_{k}"))
+        sides.append(F.max(F.when(mine & (F.col("q75") > F.col("q50")), F.col("q50") + WIDTH * (F.col("q75") - F.col("q50")))).alias(f"high_{k}"))
+    return quartiles.groupBy("lang", "source").agg(*sides)
 
 
 def _judged(measured: DataFrame, limits: DataFrame) -> DataFrame:
-    """measured (with lang and source that aren't null) and kept."""
-    limits = limits.withColumnRenamed("lang", "_lang").withColumnRenamed("source", "_source")
-    joined = measured.join(limits, (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source")), "left")
-    inside = reduce(lambda a, b: a & b, [F.coalesce(v.between(F.col(f"low_{k}"), F.col(f"high_{k}")), F.lit(True)) for k, v in _ratios().items()])
-    return joined.withColumn("kept", ~F.col("base_failed") & inside)
+    """measured (with lang and source that aren't null) and kept. The thresholds are broadcast if they
+    are few; else the rows of a group are dealt to SALTS parts, so that none gets a hot source whole."""
+    limits = stored(limits).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    same = (F.col("lang") == F.col("_lang")) & (F.col("source") == F.col("_source"))
+    if limits.count() <= BROADCAST_GROUPS:
+        joined = measured.join(F.broadcast(limits), same, "left")
+    else:
+        salted = limits.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = measured.withColumn("_salt", F.pmod(F.xxhash64(*MEASURES), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same & (F.col("_salt") == F.col("_part")), "left")
+    within = []
+    for k, v in _ratios().items():
+        within += [F.coalesce(_bucket(v) >= F.col(f"low_{k}"), F.lit(True)), F.coalesce(_bucket(v) <= F.col(f"high_{k}"), F.lit(True))]
+    return joined.withColumn("kept", ~F.col("base_failed") & reduce(lambda a, b: a & b, within))
 
 
 def _plain(docs: DataFrame) -> DataFrame:
@@ -179,15 +193,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts(table(spark, sf_dir, "documents"))
 
 
+_RATIO_SQL = ", ".join(f"case when {b} > 0 then {a} * 1000 // {b} else 0 end as {k}" for k, a, b, _ in RATIOS)
+_BUCKET_SQL = "{0} - {0} % (1::bigint << greatest(length(bin({0})) - 7, 0))"
 _FENCE_SQL = ", ".join(
-    f"max(case when ratio = '{k}' then coalesce({', '.join(f'case when {str(low).lower()} then q{i}.q50 - greatest({w} * (q{i}.q75 - q{i}.q25), {s}) else -1 end' for i in range(3))}) end) as low_{k}, "
-    f"max(case when ratio = '{k}' then coalesce({', '.join(f'q{i}.q50 + greatest({w} * (q{i}.q75 - q{i}.q25), {s})' for i in range(3))}) end) as high_{k}"
-    for k, w, s, low in FENCES
+    f"max(case when ratio = '{k}' and {str(low).lower()} and q25 < q50 then q50 - {WIDTH} * (q50 - q25) end) as low_{k}, max(case when ratio = '{k}' and q75 > q50 then q50 + {WIDTH} * (q75 - q50) end) as high_{k}"
+    for k, _, _, low in RATIOS
 )
-_Q_SQL = """q{i} as (select {keys} ratio, max(total) as docs, min(case when cum * 4 >= total then bucket end) as q25,
-  min(case when cum * 4 >= total * 2 then bucket end) as q50, min(case when cum * 4 >= total * 3 then bucket end) as q75
-  from (select {keys} ratio, bucket, sum(n) over (partition by {keys} ratio order by bucket rows unbounded preceding) as cum, sum(n) over (partition by {keys} ratio) as total
-    from (select {keys} ratio, bucket, sum(n) as n from sketch group by {keys} ratio, bucket)) group by {keys} ratio {having})"""
 ORACLE_SQL = rf"""
 with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text, coalesce(lang, '') as lang, coalesce(source, '') as source from documents),
 w as (select *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '') as words, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) as lines from d),
@@ -195,21 +206,21 @@ win as (select k, i, array_to_string(words[i:i + 4], ' ') as win from (select k,
 rep as (select k, count(distinct j) as n from (select k, unnest(range(i, i + 5)) as j from (select k, i, count(*) over (partition by k, win) as c from win) where c > 1) group by k),
 m as (select w.k, doc_id, lang, source, cast(len(words) as bigint) as n_words,
   cast(coalesce(list_sum(list_transform(words, lambda x: length(x))), 0) as bigint) as word_chars,
+  cast(len(list_filter(words, lambda x: length(x) <= {SHORT})) as bigint) as n_short,
   cast(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) as bigint) as n_symbols,
   cast(len(lines) as bigint) as n_lines, cast(len(lines) - len(list_distinct(lines)) as bigint) as n_dup_lines,
   cast(coalesce(rep.n, 0) as bigint) as n_repeat_words from w left join rep using (k)),
-b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
-  case when n_words > 0 then word_chars * 1000 // n_words else 0 end as chars_per_word,
-  case when n_words > 0 then n_symbols * 1000 // n_words else 0 end as symbols_per_word,
-  case when n_lines > 0 then n_dup_lines * 1000 // n_lines else 0 end as dup_lines from m),
-v as (select lang, source, unnest(['chars_per_word', 'symbols_per_word', 'dup_lines']) as ratio, unnest([chars_per_word, symbols_per_word, dup_lines]) as v from b where not base_failed),
-sketch as (select lang, source, ratio, v - v % (1::bigint << greatest(length(bin(v)) - 7, 0)) as bucket, count(*) as n from v group by all),
-{_Q_SQL.format(i=0, keys="lang, source,", having=f"having max(total) >= {MIN_DOCS}")},
-{_Q_SQL.format(i=1, keys="lang,", having=f"having max(total) >= {MIN_DOCS}")},
-{_Q_SQL.format(i=2, keys="", having="")},
-t as (select s.lang, s.source, {_FENCE_SQL} from (select distinct lang, source, ratio from sketch) s
-  left join q0 using (lang, source, ratio) left join q1 using (lang, ratio) left join q2 using (ratio) group by s.lang, s.source)
+b as (select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed, {_RATIO_SQL} from m),
+v as (select lang, source, unnest([{", ".join(f"'{k}'" for k, *_ in RATIOS)}]) as ratio, unnest([{", ".join(k for k, *_ in RATIOS)}]) as v from b where not base_failed),
+sketch as (select lang, source, ratio, {_BUCKET_SQL.format("v")} as bucket, count(*)::hugeint as n from v group by all),
+whole as (select lang, ratio, bucket, n_lang, sum(n_lang) over (partition by lang, ratio)::hugeint as all_lang from (select lang, ratio, bucket, sum(n)::hugeint as n_lang from sketch group by all)),
+blend as (select g.lang, g.source, g.ratio, whole.bucket, coalesce(s.n, 0) * all_lang + {PRIOR} * n_lang as n from (select distinct lang, source, ratio from sketch) g
+  join whole using (lang, ratio) left join sketch s on s.lang = g.lang and s.source = g.source and s.ratio = g.ratio and s.bucket = whole.bucket),
+ranked as (select *, sum(n) over (partition by lang, source, ratio order by bucket rows unbounded preceding) as cum, sum(n) over (partition by lang, source, ratio) as total from blend),
+q as (select lang, source, ratio, min(case when cum * 4 >= total then bucket end) as q25, min(case when cum * 4 >= total * 2 then bucket end) as q50,
+  min(case when cum * 4 >= total * 3 then bucket end) as q75 from ranked group by all),
+t as (select lang, source, {_FENCE_SQL} from q group by lang, source)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and {" and ".join(f"coalesce({k} between low_{k} and high_{k}, true)" for k, *_ in FENCES)} as kept
+  not base_failed and {" and ".join(f"coalesce({_BUCKET_SQL.format(k)} >= low_{k}, true) and coalesce({_BUCKET_SQL.format(k)} <= high_{k}, true)" for k, *_ in RATIOS)} as kept
 from b left join t using (lang, source)
 """

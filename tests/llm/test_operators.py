@@ -308,7 +308,7 @@ def test_quality(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
     expected = sql(rows, quality.ORACLE_SQL)
     same(quality.verdicts(docs).collect(), expected)
-    wide = docs.selectExpr("*", "1 as n_words", "2 as kept", "3 as m", "4 as low_dup_lines", "5 as ratio")
+    wide = docs.selectExpr("*", "1 as n_words", "2 as kept", "3 as m", "4 as low_dup_lines", "5 as ratio", "6 as n_short", "7 as _salt", "8 as _lang", "9 as n")
     kept = quality.filtered(wide)
     assert kept.columns == wide.columns
     same([(r.doc_id,) for r in kept.collect()], [(e[0],) for e in expected if e[-1]])
@@ -323,6 +323,37 @@ def test_sketches_merge(spark):
     same(merged.collect(), quality.sketches(whole).collect())
 
 
+def test_quality_large_number_of_groups(spark, monkeypatch):
+    docs = spark.createDataFrame(prose(4, 300), "doc_id long, text string, lang string, source string")
+    expected = quality.verdicts(docs).collect()
+    monkeypatch.setattr(quality, "BROADCAST_GROUPS", 1)
+    same(quality.verdicts(docs).collect(), expected)
+
+
+def test_quality_follows_its_group(spark):
+    """Fences come from quartiles alone: another spread of a source gives another verdict on the same
+    text, and the threshold of a small source is close to that of its language."""
+    r = random.Random(8)
+
+    def docs(source, sizes, n, first):
+        return [(first + i, " ".join("".join(r.choice("abcdefghij") for _ in range(r.choice(sizes))) for _ in range(60)), "en", source) for i in range(n)]
+
+    odd = (9000, " ".join("".join(r.choice("abcdefghij") for _ in range((3, 12, 12)[i % 3])) for i in range(60)))
+    plain = [*docs("short", (3, 4, 5), 400, 0), *docs("wide", (1, 5, 20), 400, 1000), *docs("small", (3, 4, 5), 5, 2000)]
+    rows = [*plain, *((odd[0] + k, odd[1], "en", s) for k, s in enumerate(("short", "wide", "small")))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {x.doc_id: x.kept for x in quality.verdicts(df).collect()}
+    assert [kept[9000 + k] for k in range(2)] == [False, True]
+    assert sum(kept[d] for d, *_ in plain) > 0.97 * len(plain)
+    limits = {x.source: x for x in quality.thresholds(quality.sketches(quality.counts(df))).collect()}
+    assert limits["short"].high_chars_per_word < limits["wide"].high_chars_per_word
+    assert limits["short"].high_chars_per_word < limits["small"].high_chars_per_word  # follows the language
+    assert limits["short"].high_dup_lines is None  # all are alike there
+    shifted = [*docs("short", (1, 5, 20), 400, 0), *rows[400:]]
+    df = spark.createDataFrame(shifted, "doc_id long, text string, lang string, source string")
+    assert {x.doc_id: x.kept for x in quality.verdicts(df).collect()}[9000]
+
+
 def test_lines(spark):
     r = random.Random(7)
     pool = [" ".join(r.choice("abcdefgh") for _ in range(r.choice([1, 3, 5, 30, 60]))) for _ in range(25)] + ["", "  ", "\x0b"]
@@ -479,11 +510,25 @@ def test_near_copies(spark):
             rows.append((10 * g + k, " ".join(v)))
         rows.append((10 * g + 5, " ".join(word() for _ in range(300))))
     rows += [(None, rows[0][1]), (7, rows[0][1]), (7, rows[0][1]), (999, None)]
+    rows += [(10, " ".join(word() for _ in range(50)))]  # shares its doc_id with an unlike document
     docs = frame(spark, rows)
     out = simhash.deduplicated(docs)
     assert out.columns == docs.columns
     got = sorted((x.doc_id is None, x.doc_id or 0) for x in out.collect())
-    assert got == sorted([(False, 10 * g) for g in range(25)] + [(False, 10 * g + 5) for g in range(25)] + [(False, 999), (True, 0)])
+    assert got == sorted([(False, 10)] + [(False, 10 * g) for g in range(25)] + [(False, 10 * g + 5) for g in range(25)] + [(False, 999), (True, 0)])
+
+
+def test_hot_groups_are_split(spark, monkeypatch):
+    """Keys with many rows, and a hub with many links, take the broadcast way; results are the same."""
+    rows = [(i, "a b c") for i in range(2600)] + [(3000 + i, f"a b {i}") for i in range(50)]
+    fps = {d: simhash_reference(t) for d, t in rows}
+    expected = near_components(fps, 2)
+    got = {r.doc_id: r.component_id for r in simhash.components(frame(spark, rows)).collect()}
+    assert got == expected
+    edges = spark.createDataFrame([(bytes([1, 0, 0]), bytes([2, i // 256, i % 256])) for i in range(1500)] + [(bytes([9]), bytes([10])), (bytes([10]), bytes([11]))], "a binary, b binary")
+    monkeypatch.setattr(simhash, "partitions", lambda _: 1)
+    roots = {bytes(r.node): bytes(r.root) for r in simhash.connected(edges).collect()}
+    assert roots == {bytes([2, i // 256, i % 256]): bytes([1, 0, 0]) for i in range(1500)} | {bytes([10]): bytes([9]), bytes([11]): bytes([9])}
 
 
 def jaccard(a, b):
