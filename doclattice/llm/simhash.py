@@ -32,7 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from doclattice.llm.common import partitions, stored, table, texts
@@ -288,40 +288,53 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return dealt.mapInArrow(_linked(plan), "a binary, b binary")
 
 
+def counted(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
+    """big joined with small, which has each key once, with the number `copies` of its rows in big. Keys
+    with a large share of big's `rows` rows are at most 4 for each partition; they are broadcast, so
+    that no task gets all rows of one."""
+    bound = max(1000, rows // (4 * partitions(big.sparkSession)))
+    hot = small.filter(F.col("copies") > bound)
+    others = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small, key)
+    return big.join(F.broadcast(hot), key).unionByName(others).drop("copies")
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): large-star and small-star steps until nothing
-    changes. Steps shuffle the links alone; each round is written to the shared folder."""
+    changes. Steps shuffle the links alone, and split the hubs'; each round is written to the shared folder."""
     pairs = lambda df: df.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     edges = stored(pairs(edges))
-    mark = None if edges.head(1) else ()
-    while mark != ():
+    sums = (F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")))
+    mark = edges.agg(*sums).first()
+    while mark[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = pairs(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("copies")).select("a", F.least("a", "m").alias("m"), "copies")
+        large = counted(both.filter("b > a"), least, "a", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = stored(pairs(large))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
+        small = counted(large, least, "a", mark[0])
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         edges = stored(pairs(small))
-        now = edges.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-        mark = () if now == mark else now
+        now = edges.agg(*sums).first()
+        if now == mark:
+            break
+        mark = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
-def _labelled(marked: DataFrame, distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id of marked (doc_id, fp), by links between its distinct fps."""
+def _rooted(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """distinct with the root of each fp."""
     roots = connected(links)
-    named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "first")
-    least = named.groupBy("root").agg(F.min("first").alias("component_id"))
-    label = named.select("fp", "root").join(least, "root").select("fp", "component_id")
-    return marked.join(label, "fp").select("doc_id", "fp", "component_id")
+    return distinct.join(roots, distinct.fp == roots.node, "left").withColumn("root", F.coalesce("root", "fp")).drop("node")
 
 
 def components(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id that can be reached over links."""
     marked = stored(fingerprints(docs, plan))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    return _labelled(marked, distinct, links(distinct, plan))
+    distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
+    named = stored(_rooted(distinct, links(distinct, plan)))
+    least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
+    label = stored(counted(named, least, "root", named.count()).select("fp", "component_id", F.col("n").alias("copies")))
+    return counted(marked, label, "fp", marked.count()).select("doc_id", "fp", "component_id")
 
 
 def _set(text: str, shingle: int) -> np.ndarray:
@@ -348,16 +361,21 @@ def salts(near: Near) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, fp, the name of its set of shingles, and its cells, one a band; no words: no cells."""
+    """doc_id, key (a hash of the text), fp, the name of its set of shingles, and its cells, one a
+    band; no words: no cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = salts(near)
         for batch in batches:
             sets = [_set(t.as_py(), near.shingle) for t in batch.column(1)]
             cells = [band_keys(x, near, salt).view(np.int64).tolist() if len(x) else [] for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "fp", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "cells"])
+
+    return texts(docs, _key().alias("key")).mapInArrow(run, "doc_id long, key long, fp binary, cells array<long>")
+
 
-    return texts(docs).mapInArrow(run, "doc_id long, fp binary, cells array<long>")
+def _key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
 
 def shingle_sets(docs: DataFrame, near: Near) -> DataFrame:
@@ -424,28 +442,35 @@ def similar_links(docs: DataFrame, distinct: DataFrame, near: Near) -> DataFrame
     groups = cells.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("s")).filter("n > 1")
     chosen = groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell")
     live = stored(cells.join(chosen, "cell"))
-    ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select(F.col("first").alias("_first")).distinct())
-    few = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select("first.*").withColumnsRenamed({"doc_id": "_id", "key": "_key"}).distinct())
+    few = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_semi")
+    few = few.dropDuplicates(["doc_id", "text"])
     dealt = live.join(shingle_sets(few, near), "fp").select("cell", "fp", "shingles")
     dealt = dealt.repartition(partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_verified(near), "a binary, b binary")
 
 
-def near_components(docs: DataFrame, near: Near = NEAR) -> DataFrame:
-    """doc_id, fp (the name of the set of shingles) and component_id: the smallest doc_id that can
-    be reached over pairs of sets whose Jaccard similarity is at least near.least."""
+def kept_keys(docs: DataFrame, near: Near = NEAR) -> DataFrame:
+    """_id and _key (a hash of the text) of one document of each group, the one with the smallest doc_id
+    and then key. A group is what can be reached over pairs of sets whose Jaccard similarity is at
+    least near.least. Documents without an id stand after the others."""
     marked = stored(sketches(docs, near))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.first("cells").alias("cells"))
-    return _labelled(marked.select("doc_id", "fp"), distinct.select("fp", "first"), similar_links(docs, distinct, near))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    distinct = stored(marked.groupBy("fp").agg(F.min(place).alias("first"), F.first("cells").alias("cells")))
+    named = _rooted(distinct.drop("cells"), similar_links(docs, distinct, near))
+    one = named.groupBy("root").agg(F.min("first").alias("first"))
+    return one.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
 
 
 def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id, and of its repeated rows
-    one; rows whose doc_id is null are kept as they are."""
-    keep = near_components(docs, near).filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("_kept_doc_id")).distinct()
-    ided = docs.filter(F.col("doc_id").isNotNull())
-    chosen = ided.join(keep, ided["doc_id"].cast("long") == keep["_kept_doc_id"], "left_semi").dropDuplicates(["doc_id"])
-    return chosen.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """docs with one document of each group, that of the smallest doc_id. Rows that share a doc_id are
+    judged by their texts: unlike ones are groups of their own and stay, of like ones the one whose
+    text has the smallest hash stays, and of rows with the same doc_id and text one. Rows whose doc_id
+    is null are kept as they are."""
+    keep = stored(kept_keys(docs, near).filter(F.col("_id").isNotNull()))
+    ided = docs.filter(F.col("doc_id").isNotNull()).withColumn("_near_id", F.col("doc_id").cast("long")).withColumn("_near_key", _key())
+    chosen = ided.join(keep, (F.col("_near_id") == F.col("_id")) & (F.col("_near_key") == F.col("_key")), "left_semi").dropDuplicates(["_near_id", "_near_key"])
+    return chosen.drop("_near_id", "_near_key").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
