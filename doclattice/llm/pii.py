@@ -47,7 +47,7 @@ TRIGGER = re.compile("[0-9@]")
 SIGN = re.compile(r"[0-9@]|[\[({<]\x20?at\x20?[\])}>]|\bdot\b", re.IGNORECASE | re.ASCII)
 
 #: Bounds of what the driver gathers to fit the network: of a longer text a piece is taken.
-TRAIN_LOOKED = 9600
+TRAIN_LOOKED = 1200
 TRAIN_DOCS = 600
 TRAIN_CHARS = 4_000
 TRAIN_WINDOWS = 3600
