@@ -61,6 +61,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def counted(big: DataFrame, small: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """big joined with small, which has each of the keys once, with the number `copies` of its rows in
+    big. Keys with a large share of big's `rows` rows are at most 4 for each partition; those are
+    broadcast, so that no task gets all rows of one. Both are read more than once."""
+    bound = max(64, rows // (4 * partitions(big.sparkSession)))
+    hot = small.filter(F.col("copies") > bound)
+    others = big.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(small, keys)
+    return big.join(F.broadcast(hot), keys).unionByName(others).drop("copies")
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (spark.checkpoint.dir). Where none is set, a folder of this machine
     in local mode; on a cluster that is an error, as executors wouldn't share it."""

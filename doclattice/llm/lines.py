@@ -1,15 +1,17 @@
-"""Line dedup: maximal runs of lines that occurred before are deleted.
+"""Line dedup: runs of lines that occurred before are deleted.
 
 The corpus is a sequence of line ids for each document; lines without a word are left out of it (and
-stay in the text). Suffixes get names by distributed prefix doubling: the name at depth 2d is that
-of the pair of names, at depth d, of the suffix and of the suffix d lines on, and equals the first
-place at which that prefix occurs. Suffixes whose name is theirs alone are dropped before each
-doubling. Suffixes with a common name are an interval whose common prefix reaches the depth: all its
-places but the first are later copies.
-
-A run counts from 4 lines on, or with 1 or 2 lines if they have MIN_WORDS words: each suffix is
-looked at with the shortest such prefix, which depends on its content alone. Later copies that
-overlap or touch make up maximal runs. "Before" is by doc_id, then by place.
+stay in the text). Suffixes get ranks by distributed prefix doubling: the rank at depth 2d is that of
+the pair of ranks, at depth d, of the suffix and of the suffix d lines on. Suffixes whose rank is
+theirs alone are dropped before each step, so what is left at a depth are the intervals of the suffix
+array whose longest common prefix reaches that depth, each with its first place. Depths between two
+powers of two come from two ranks that overlap.
+
+Every place of an interval but the first is a later copy of so many lines. A copy counts from
+MIN_LINES lines on, or with fewer if they have MIN_WORDS words. Later copies that overlap or touch
+make up the maximal runs, which are deleted whole. Doubling ends at MIN_LINES: a longer common prefix
+is covered by its windows of MIN_LINES lines, all of which are in intervals of that depth, so greater
+depths would delete nothing more. "Before" is by doc_id, then by place.
 
 Nulls: a null text is empty; a null doc_id comes after all others. Repeated rows (same doc_id and
 text) are one document with several copies, all treated alike. Empty tables give no rows.
@@ -18,15 +20,19 @@ text) are one document with several copies, all treated alike. Empty tables give
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doclattice.llm.common import stored, table
+from doclattice.llm.common import counted, ship, stored, table
 
-DEPTHS = (1, 2, 4)
+MIN_LINES = 4
 MIN_WORDS = 50
 SPACE = r"[\x20\x09-\x0D]+"
 BLANKS = " \t\r\v\f"
@@ -51,39 +57,74 @@ def _has_word(line: Column) -> Column:
     return F.translate(line, BLANKS, "") != ""
 
 
-def _shortest(w: Column) -> Column:
-    """For each place the lines of the shortest run that counts, from the lines' numbers of words;
-    null where the text ends before."""
-    n = F.size(w)
-    one = lambda x, i: F.when(x >= MIN_WORDS, 1).when((i + 2 <= n) & (x + F.get(w, i + 1) >= MIN_WORDS), 2).when(i + 4 <= n, 4)
-    return F.transform(w, one)
+def _least(words: np.ndarray) -> np.ndarray:
+    """For each line of a text, the fewest lines from there on that count; none: MIN_LINES."""
+    out = np.full(len(words), MIN_LINES, np.int32)
+    total = np.concatenate([[0], np.cumsum(words)])
+    for n in range(MIN_LINES - 1, 0, -1):
+        if len(words) >= n:
+            enough = total[n:] - total[:-n] >= MIN_WORDS
+            out[: len(enough)][enough] = n
+    return out
 
 
 def suffixes(docs: DataFrame) -> DataFrame:
-    """doc, h, at, the line's id (a, b) and n, the lines of the shortest run from here that counts."""
-    lines = F.filter(F.split(_text(), "\n"), _has_word)
-    words = lambda x: F.transform(x, lambda v: F.size(F.array_remove(F.split(v, SPACE), "")))
-    parts = _let(lines, lambda x: F.arrays_zip(F.transform(x, lambda v: F.xxhash64(v)).alias("a"), F.transform(x, lambda v: F.hash(v)).alias("b"), _let(words(x), _shortest).alias("n")))
-    return docs.select(*_keys(), F.posexplode(parts).alias("at", "x")).select(*PLACE, "x.a", "x.b", "x.n")
-
-
-def _named(df: DataFrame, by: list[str]) -> DataFrame:
-    """Of those rows whose prefix occurs at more than one place: place, n, and name, the first place."""
-    first = df.groupBy(*by).agg(F.min(F.struct(*PLACE)).alias("name"), F.max(F.struct(*PLACE)).alias("last")).filter("name <> last").drop("last")
-    return df.join(first, by).select(*PLACE, "n", "name")
+    """doc, h, at, the line's id (a, b) and n, the fewest lines from here on that count."""
+
+    def rows(doc: int, h: int, text: str) -> tuple[np.ndarray, ...] | None:
+        found = [(x, n) for x in text.encode().split(b"\n") if (n := len(x.split()))]  # bytes split at the six blanks
+        if not found:
+            return None
+        ids = np.frombuffer(b"".join([xxhash.xxh3_128_digest(x) for x, _ in found]), np.int64).reshape(-1, 2)
+        k = len(found)
+        return np.full(k, doc), np.full(k, h), np.arange(k, dtype=np.int32), ids[:, 0], ids[:, 1], _least(np.array([n for _, n in found]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 512):
+                got = [r for x in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True) if (r := rows(*x)) is not None]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], [*PLACE, "a", "b", "n"])
+
+    ship(docs.sparkSession)
+    return docs.select(*_keys(), _text().alias("text")).mapInArrow(run, "doc long, h long, at int, a long, b long, n int")
+
+
+def _ranked(df: DataFrame, once: bool = True) -> DataFrame:
+    """Of those rows whose prefix, told by (a, b), occurs at more than one place: place, n, rank (in the
+    order of a and b) and later, whether another place comes before. once: no place comes twice."""
+    df = stored(df)
+    groups = df.groupBy("a", "b").agg(F.min(F.struct(*PLACE)).alias("first"), F.max(F.struct(*PLACE)).alias("last"), F.count("*").alias("copies"))
+    repeated = stored(groups.filter("first <> last").drop("last"))
+    ranks = stored(repeated.orderBy("a", "b").withColumn("rank", F.monotonically_increasing_id()))
+    later = (F.col("first") != F.struct(*PLACE)).alias("later")
+    live = counted(df, ranks, ["a", "b"], df.count()).select(*PLACE, "n", "rank", later)
+    return stored(live if once else live.dropDuplicates(PLACE))
+
+
+def _follows(live: DataFrame, ahead: int) -> DataFrame:
+    """live with the rank `ahead` lines on. If the lines between are repeated together, so is each of
+    their places, and the wanted one is so many rows on."""
+    w = Window.partitionBy("doc", "h").orderBy("at")
+    found = live.withColumn("next", F.lead("rank", ahead).over(w)).withColumn("there", F.lead("at", ahead).over(w))
+    return found.filter(F.col("there") == F.col("at") + ahead).select(*PLACE, "n", F.col("rank").alias("a"), F.col("next").alias("b"))
 
 
 def later_copies(docs: DataFrame) -> DataFrame:
-    """doc, h and the ranges [at, end) of lines that are later copies; they may overlap."""
-    live = stored(_named(suffixes(docs), ["a", "b"]).dropDuplicates(PLACE))
-    found = []
-    for depth in DEPTHS:
-        if depth > 1:
-            half = depth // 2
-            ahead = live.select("doc", "h", (F.col("at") - half).alias("at"), F.col("name").alias("b"))
-            live = stored(_named(live.withColumnRenamed("name", "a").join(ahead, PLACE), ["a", "b"]))
-        copies = live.filter((F.col("n") == depth) & (F.col("name") != F.struct(*PLACE)))
-        found.append(copies.select("doc", "h", "at", (F.col("at") + depth).alias("end")))
+    """doc, h and the ranges [at, end) of lines that are later copies and count; they may overlap."""
+    level = _ranked(suffixes(docs), once=False)
+    depth, found = 1, []
+
+    def copies(live: DataFrame, lines: int) -> None:
+        counts = F.lit(True) if lines >= MIN_LINES else F.col("n") <= lines
+        found.append(live.filter(F.col("later") & counts).select("doc", "h", "at", (F.col("at") + lines).alias("end")))
+
+    copies(level, depth)
+    while depth < MIN_LINES:
+        for lines in range(depth + 1, min(2 * depth, MIN_LINES) + 1):
+            live = _ranked(_follows(level, lines - depth))
+            copies(live, lines)
+        level, depth = live, lines
     return reduce(DataFrame.unionByName, found)
 
 
@@ -140,14 +181,22 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
 
 
+def _windows_sql(lines: int) -> str:
+    line = ["line"] + [f"l{k}" for k in range(2, lines + 1)]
+    words = " + ".join(["w"] + [f"w{k}" for k in range(2, lines + 1)])
+    counts = "true" if lines >= MIN_LINES else f"{words} >= {MIN_WORDS}"
+    return f"select doc_id, seq, {lines} as n, concat_ws(chr(10), {', '.join(line)}) as run from n where {line[-1]} is not null and {counts}"
+
+
+_LEADS = ", ".join(f"lead(line, {k - 1}) over d as l{k}, lead(w, {k - 1}) over d as w{k}" for k in range(2, MIN_LINES + 1))
+#: Windows of 1 to MIN_LINES lines that count; each but the first of its kind is a later copy.
 ORACLE_SQL = rf"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as pos from documents),
 s as (select *, row_number() over (partition by doc_id order by pos) as seq, len(list_filter(string_split_regex(line, '[\x20\x09-\x0D]+'), lambda x: x <> '')) as w
   from l where regexp_matches(line, '[^\x20\x09-\x0D]')),
-n as (select *, lead(line, 1) over d as l2, lead(line, 2) over d as l3, lead(line, 3) over d as l4, lead(w) over d as w2 from s window d as (partition by doc_id order by pos)),
-c as (select doc_id, seq, case when w >= {MIN_WORDS} then 1 when w + w2 >= {MIN_WORDS} then 2 when l4 is not null then 4 end as n,
-  case when w >= {MIN_WORDS} then line when w + w2 >= {MIN_WORDS} then concat_ws(chr(10), line, l2) when l4 is not null then concat_ws(chr(10), line, l2, l3, l4) end as run from n),
-r as (select doc_id, seq, n from (select *, row_number() over (partition by n, run order by doc_id, seq) as k from c where n is not null) where k > 1),
+n as (select *, {_LEADS} from s window d as (partition by doc_id order by pos)),
+c as ({" union all ".join(map(_windows_sql, range(1, MIN_LINES + 1)))}),
+r as (select doc_id, seq, n from (select *, row_number() over (partition by n, run order by doc_id, seq) as k from c) where k > 1),
 g as (select distinct doc_id, unnest(range(seq, seq + n)) as seq from r),
 t as (select l.doc_id, l.pos, l.line, s.seq, g.seq is not null as gone from l left join s using (doc_id, pos) left join g on g.doc_id = s.doc_id and g.seq = s.seq),
 i as (select doc_id, count(*) as n_runs from (select doc_id, seq - row_number() over (partition by doc_id order by seq) as island from g group by doc_id, seq) group by doc_id, island),

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm.common import partitions, stored, table, texts
+from doclattice.llm.common import counted, partitions, stored, table, texts
 
 BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 U = np.uint64
@@ -288,16 +288,6 @@ def links(distinct: DataFrame, plan: Plan) -> DataFrame:
     return dealt.mapInArrow(_linked(plan), "a binary, b binary")
 
 
-def counted(big: DataFrame, small: DataFrame, key: str, rows: int) -> DataFrame:
-    """big joined with small, which has each key once, with the number `copies` of its rows in big. Keys
-    with a large share of big's `rows` rows are at most 4 for each partition; they are broadcast, so
-    that no task gets all rows of one."""
-    bound = max(1000, rows // (4 * partitions(big.sparkSession)))
-    hot = small.filter(F.col("copies") > bound)
-    others = big.join(F.broadcast(hot.select(key)), key, "left_anti").join(small, key)
-    return big.join(F.broadcast(hot), key).unionByName(others).drop("copies")
-
-
 def connected(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): large-star and small-star steps until nothing
     changes. Steps shuffle the links alone, and split the hubs'; each round is written to the shared folder."""
@@ -308,10 +298,10 @@ def connected(edges: DataFrame) -> DataFrame:
     while mark[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m"), F.count_if(F.col("b") > F.col("a")).alias("copies")).select("a", F.least("a", "m").alias("m"), "copies")
-        large = counted(both.filter("b > a"), least, "a", mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = counted(both.filter("b > a"), least, ["a"], mark[0]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stored(pairs(large))
         least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("copies"))
-        small = counted(large, least, "a", mark[0])
+        small = counted(large, least, ["a"], mark[0])
         small = small.select(F.explode(F.array(F.struct("b", "m"), F.struct(F.col("a").alias("b"), "m"))).alias("e")).select(F.col("e.b").alias("a"), F.col("e.m").alias("b"))
         edges = stored(pairs(small))
         now = edges.agg(*sums).first()
@@ -333,8 +323,8 @@ def components(docs: DataFrame, plan: Plan = EXACT) -> DataFrame:
     distinct = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")))
     named = stored(_rooted(distinct, links(distinct, plan)))
     least = named.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("copies"))
-    label = stored(counted(named, least, "root", named.count()).select("fp", "component_id", F.col("n").alias("copies")))
-    return counted(marked, label, "fp", marked.count()).select("doc_id", "fp", "component_id")
+    label = stored(counted(named, least, ["root"], named.count()).select("fp", "component_id", F.col("n").alias("copies")))
+    return counted(marked, label, ["fp"], marked.count()).select("doc_id", "fp", "component_id")
 
 
 def _set(text: str, shingle: int) -> np.ndarray:
@@ -443,9 +433,8 @@ def similar_links(docs: DataFrame, distinct: DataFrame, near: Near) -> DataFrame
     chosen = groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell")
     live = stored(cells.join(chosen, "cell"))
     ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select("first.*").withColumnsRenamed({"doc_id": "_id", "key": "_key"}).distinct())
-    few = docs.select("doc_id", "text").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_semi")
-    few = few.dropDuplicates(["doc_id", "text"])
-    dealt = live.join(shingle_sets(few, near), "fp").select("cell", "fp", "shingles")
+    few = docs.select("doc_id", "text").hint("merge").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_semi")
+    dealt = live.hint("merge").join(shingle_sets(few, near).dropDuplicates(["fp"]), "fp").select("cell", "fp", "shingles")
     dealt = dealt.repartition(partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(_verified(near), "a binary, b binary")
 
@@ -469,7 +458,7 @@ def deduplicated(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     is null are kept as they are."""
     keep = stored(kept_keys(docs, near).filter(F.col("_id").isNotNull()))
     ided = docs.filter(F.col("doc_id").isNotNull()).withColumn("_near_id", F.col("doc_id").cast("long")).withColumn("_near_key", _key())
-    chosen = ided.join(keep, (F.col("_near_id") == F.col("_id")) & (F.col("_near_key") == F.col("_key")), "left_semi").dropDuplicates(["_near_id", "_near_key"])
+    chosen = ided.hint("merge").join(keep, (F.col("_near_id") == F.col("_id")) & (F.col("_near_key") == F.col("_key")), "left_semi").dropDuplicates(["_near_id", "_near_key"])
     return chosen.drop("_near_id", "_near_key").unionByName(docs.filter(F.col("doc_id").isNull()))
 
 
