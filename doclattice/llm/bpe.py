@@ -1,10 +1,15 @@
 """Byte-level BPE encoding and decoding by corpus-level merge replay.
 
-A task gathers the distinct pre-tokens of an Arrow batch (cut after SLICE_TOKENS pre-tokens) that its
-worker hasn't replayed yet, puts their bytes into one array of linked symbols, and keeps an inverted
-index, for this replay, from merge rank to the positions of the pairs that have it. Ranks are popped in order; each merge is applied at all its positions at once and touches
-only the two neighbouring pairs. Pre-tokens that were replayed before come from a bounded cache.
-No shuffle: what leaves a task is one row for each document.
+1. Documents are read in blocks. A block keeps the sequence of its documents' pre-tokens, as numbers,
+   and asks for the ids of its distinct ones: they are dealt by hash.
+2. A task gets its share of the corpus's distinct pre-tokens from all blocks and replays the merges on
+   all of them together, each once: their bytes lie in one array of linked symbols, and an inverted
+   index holds, for each rank, the positions of the pairs that have it. Ranks are popped in order; a
+   merge is applied at all its positions at once and touches only the two neighbouring pairs.
+3. The answers meet the sequences of their blocks; ids are put in the documents' order and decoded.
+
+What a task holds of step 2 is its share of the vocabulary; the requests that wait for a replay are
+bounded by WAITING. Step 1 is written to the shared folder, and read by steps 2 and 3.
 
 Nulls: a null text is empty (no ids). Very long texts are encoded whole. Repeated rows are each
 answered, an empty table gives no rows, further columns are not read.
@@ -16,7 +21,6 @@ import base64
 import functools
 import gc
 import hashlib
-import itertools
 from array import array
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
@@ -26,16 +30,21 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import regex
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.common import table, texts
+from doclattice.llm.common import partitions, stored, table, texts
+from doclattice.llm.tokens import _pack, _ranges, _unpack
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
-#: Known pre-tokens after which a worker starts anew, and pre-tokens of documents held at once.
-CACHE_WORDS = 500_000
-SLICE_TOKENS = 6_000_000
+#: Documents and pre-tokens of a block (a longer document is a block of its own).
+BLOCK_DOCS = 16_384
+BLOCK_TOKENS = 4_000_000
+#: Pre-tokens asked for, by all blocks together, after which a task replays those that are new.
+WAITING = 4_000_000
 
 NONE = np.iinfo(np.int64).max
 
@@ -53,15 +62,6 @@ class Replay:
         # Every pair of tokens that makes a token, by the key first << 32 | second.
         pairs = sorted((ranks[a] << 32 | ranks[b], r) for t, r in ranks.items() for i in range(1, len(t)) if (a := t[:i]) in ranks and (b := t[i:]) in ranks)
         self.keys, self.makes = np.array(pairs, np.int64).T.copy()
-        self.word_id: dict[str, int] = defaultdict()
-        self.forget()
-
-    def forget(self) -> None:
-        self.word_id.clear()
-        self.word_id.default_factory = self.word_id.__len__
-        self.text: list[str] = []  # of each known pre-token: its ids, joined by a space
-        self.count: list[int] = []
-        self.decoded: list[bytes] = []
 
     def pair(self, a: np.ndarray | int, b: np.ndarray | int) -> np.ndarray:
         """Rank of the token that each pair makes, NONE where there is none (or where a or b is an end)."""
@@ -152,20 +152,6 @@ class Replay:
             out[todo[j]] = self.one(words[todo[j]])
         return out  # type: ignore[return-value]
 
-    def learn(self) -> None:
-        """Encode and decode the pre-tokens that word_id has got since the last call."""
-        new = [w.encode() for w in itertools.islice(self.word_id, len(self.text), None)]
-        was = gc.isenabled()
-        gc.disable()  # millions of live lists and no cycles
-        try:
-            ids = self.replay(new)
-            self.text.extend([" ".join(map(self.digits.__getitem__, x)) for x in ids])
-            self.count.extend(map(len, ids))
-            self.decoded.extend(map(self.decode, ids))
-        finally:
-            if was:
-                gc.enable()
-
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.bytes.__getitem__, ids))
 
@@ -185,33 +171,153 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
 
 
-def _encoder(path: str, pattern: str, with_ids: bool):
+def _planes(x: np.ndarray) -> list[np.ndarray]:
+    """Numbers as four arrays of bytes, which compress well where small ones abound."""
+    return [(x >> k & 255).astype("u1") for k in (0, 8, 16, 24)]
+
+
+def _blocks(pattern: str, n_parts: int):
+    """Rows (part, block, data). part -1: ids and sequences of the block's documents; else a request."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe, split = encoder(path), _pattern(pattern).findall
+        split = _pattern(pattern).findall
+        task, n = TaskContext.get().partitionId(), 0
         for batch in batches:
-            n, s1, s2, seqs, i = [], [], [], [], 0
-            docs = batch.column(1)
+            ids, docs, i = batch.column(0), batch.column(1), 0
             while i < len(docs):
-                if len(bpe.text) > CACHE_WORDS:
-                    bpe.forget()
-                cut, size = [], 0
-                while i < len(docs) and size < SLICE_TOKENS:
-                    cut.append(array("i", map(bpe.word_id.__getitem__, split(docs[i].as_py()))))
-                    size += len(cut[-1])
+                block, n = task << 32 | n, n + 1
+                words: dict[str, int] = defaultdict()
+                words.default_factory = words.__len__
+                first, got, size = i, [], 0
+                while i < len(docs) and len(got) < BLOCK_DOCS and size < BLOCK_TOKENS:
+                    got.append(array("i", map(words.__getitem__, split(docs[i].as_py()))))
+                    size += len(got[-1])
                     i += 1
-                bpe.learn()
-                for words in cut:
-                    joined = " ".join(map(bpe.text.__getitem__, words))
-                    n.append(sum(map(bpe.count.__getitem__, words)))
-                    s1.append(hashlib.sha256(joined.encode()).hexdigest())
-                    s2.append(hashlib.sha256(b"".join(map(bpe.decoded.__getitem__, words))).hexdigest())
+                flat = np.concatenate([np.frombuffer(x, np.int32) for x in got if len(x)] or [np.zeros(0, np.int32)])
+                common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for common ones
+                number = np.empty(len(words), np.int32)
+                number[common] = np.arange(len(words), dtype=np.int32)
+                own = ids.slice(first, i - first)
+                sizes = np.array([len(x) for x in got], "<i8")
+                meta = _pack(np.array(own.fill_null(0), "<i8"), np.array(own.is_null()).astype("u1"), sizes, *_planes(number[flat]))
+                raw = [w.encode() for w in words]
+                to = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(n_parts)
+                rows = [(-1, meta)]
+                for p in np.unique(to).tolist():
+                    mine = np.flatnonzero(to == p)
+                    part = [raw[k] for k in mine.tolist()]
+                    rows.append((int(p), _pack(number[mine].astype("<u4"), np.array([len(w) for w in part], "<u4"), np.frombuffer(b"".join(part), "u1"))))
+                parts, data = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
+
+    return run
+
+
+class Known:
+    """Ids of the pre-tokens that a task has replayed, each once."""
+
+    def __init__(self, bpe: Replay):
+        self.bpe, self.number, self.ids, self.end = bpe, {}, array("i"), array("q", [0])
+
+    def learn(self, words: list[bytes]) -> None:
+        was = gc.isenabled()
+        gc.disable()  # millions of live lists and no cycles
+        try:
+            for w, ids in zip(words, self.bpe.replay(words), strict=True):
+                self.number[w] = len(self.number)
+                self.ids.extend(ids)
+                self.end.append(len(self.ids))
+        finally:
+            if was:
+                gc.enable()
+
+    def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each has, and all of them, one after the other."""
+        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        end = np.frombuffer(self.end, np.int64)
+        size = end[k + 1] - end[k]
+        return size, np.frombuffer(self.ids, np.int32)[_ranges(end[k], size)] if len(self.ids) else np.zeros(0, np.int32)
+
+
+ANSWERS = "block long, meta boolean, data binary"
+
+
+def _replayed(path: str):
+    """Answers (numbers in the block, sizes and ids) to the requests of a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Known(encoder(path))
+        held: list[tuple[int, np.ndarray, list[bytes]]] = []
+        fresh: dict[bytes, None] = {}
+        waiting = 0
+
+        def answered() -> pa.RecordBatch:
+            known.learn(list(fresh))
+            data = []
+            for _, number, words in held:
+                size, ids = known(words)
+                data.append(_pack(number, size.astype("<u4"), ids.astype("<i4")))
+            return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([False] * len(held), pa.bool_()), pa.array(data, pa.binary())], ["block", "meta", "data"])
+
+        for batch in batches:
+            for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                number, size, raw = _unpack(data, "<u4", "<u4", "u1")
+                ends, text = np.cumsum(size, dtype=np.int64).tolist(), raw.tobytes()
+                words = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+                held.append((block, number, words))
+                fresh.update((w, None) for w in words if w not in known.number)
+                waiting += len(words)
+                if waiting > WAITING:
+                    yield answered()
+                    held, fresh, waiting = [], {}, 0
+        yield answered()
+
+    return run
+
+
+def _encoded(path: str, with_ids: bool):
+    """Rows of one block follow each other, its documents first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bpe = encoder(path)
+        meta, answers = None, []
+
+        def done() -> Iterator[pa.RecordBatch]:
+            doc, null, sizes, *planes = meta
+            number, size, ids = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.zeros(0, np.int64),) * 3
+            at = np.zeros(len(number) + 1, np.int64)
+            length = np.zeros(len(number), np.int64)
+            start = np.cumsum(size, dtype=np.int64) - size
+            at[number], length[number] = start, size
+            ends = np.cumsum(sizes).tolist()
+            for i in range(0, len(doc), 1024):
+                n, s1, s2, seqs = [], [], [], []
+                for a, b in zip([0, *ends][i : i + 1024], ends[i : i + 1024], strict=False):
+                    w = sum(x[a:b].astype(np.int64) << 8 * k for k, x in enumerate(planes))
+                    seq = ids[_ranges(at[w], length[w])] if b > a else np.zeros(0, np.int32)
+                    listed = seq.tolist()
+                    n.append(len(listed))
+                    s1.append(hashlib.sha256(" ".join(map(bpe.digits.__getitem__, listed)).encode()).hexdigest())
+                    s2.append(hashlib.sha256(bpe.decode(listed)).hexdigest())
                     if with_ids:
-                        seqs.append(np.array(joined.split(), np.int32))
-            columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.string()), pa.array(s2, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                columns, names = [*columns, _lists(seqs)], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                        seqs.append(seq.astype(np.int32))
+                own = slice(i, i + len(n))
+                columns = [pa.array(doc[own], pa.int64(), mask=null[own].astype(bool)), pa.array(n, pa.int64()), pa.array(s1, pa.string()), pa.array(s2, pa.string())]
+                names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+                if with_ids:
+                    columns, names = [*columns, _lists(seqs)], [*names, "ids"]
+                yield pa.RecordBatch.from_arrays(columns, names)
+
+        for batch in batches:
+            for is_meta, data in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if is_meta:
+                    if meta is not None:
+                        yield from done()
+                    meta, answers = _unpack(data, "<i8", "u1", "<i8", "u1", "u1", "u1", "u1"), []
+                else:
+                    answers.append(_unpack(data, "<u4", "<u4", "<i4"))
+        if meta is not None:
+            yield from done()
 
     return run
 
@@ -219,8 +325,14 @@ def _encoder(path: str, pattern: str, with_ids: bool):
 def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, with_ids: bool = True) -> DataFrame:
     """For each document: n_tokens, the hashes of its ids and of their decoding, and the ids."""
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    run = _encoder(path or public_tokenizers.path(VOCABULARY), pattern, with_ids)
-    return texts(docs).mapInArrow(run, schema)
+    where = path or public_tokenizers.path(VOCABULARY)
+    n = partitions(docs.sparkSession)
+    blocks = stored(texts(docs).mapInArrow(_blocks(pattern, 4 * n), "part int, block long, data binary"))
+    asked = blocks.filter("part >= 0").repartition(n, "part").select("block", "data")
+    answers = asked.mapInArrow(_replayed(where), ANSWERS)
+    own = blocks.filter("part < 0").select("block", F.lit(True).alias("meta"), "data")
+    met = own.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", F.desc("meta"))
+    return met.mapInArrow(_encoded(where, with_ids), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
