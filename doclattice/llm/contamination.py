@@ -1,10 +1,15 @@
-"""Benchmark decontamination by a document-partitioned positional inverted index.
+"""Benchmark decontamination by a distributed positional inverted index.
 
-Each shard (a block of documents) holds, for every word of the benchmark, the sorted list of its
-token positions. A test phrase is found by taking the list of its rarest word and intersecting it
-with the offset-adjusted lists of the other words, from rare to common, until it is empty or all
-words are met. As phrases never cross documents, shards are searched where they are built, without
-a shuffle. The benchmark goes to the shards in blocks of a bounded size.
+`index` reads the corpus once and stores, in the shared folder, a row for each shard (a block of
+documents): the sorted list of token positions of each word, and where its documents lie. A test
+phrase is found by taking the list of its rarest word and intersecting it with the offset-adjusted
+lists of the other words, from rare to common, until it is empty or all words are met; proximity
+matches likewise, with every other word at most so many words away in the same document. As matches
+never cross documents, shards are searched where they lie, without a shuffle, by each block of the
+benchmark (of a bounded size) in turn; texts aren't read again.
+
+Words that are not in the benchmark are left out of the lists if its vocabulary is small enough to be
+sent to the tasks (VOCABULARY_BYTES); otherwise all words have lists.
 
 Nulls: a null text has no words; items whose id is null are left out. Empty tables give no rows
 (documents) or no hits (benchmark). Repeated rows are each answered; items that repeat an id count
@@ -13,8 +18,9 @@ as one item. Further columns are not read.
 
 from __future__ import annotations
 
-import hashlib
 import re
+from array import array
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +30,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.common import ship, table, texts
+from doclattice.llm.common import stored, table, texts
+from doclattice.llm.tokens import _pack, _unpack
 
 WINDOW = 8
 MIN_ITEMS = 2
 SHARD_BYTES = 4 << 20
 #: The driver holds, and each task gets, at most about this many bytes of benchmark at once.
 BLOCK_BYTES = 8 << 20
+#: Words of a benchmark up to this many bytes are sent to the tasks that make an index.
+VOCABULARY_BYTES = 16 << 20
+#: Found documents (16 bytes each) that are broadcast at most.
+BROADCAST_DOCS = 500_000
 
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 
@@ -73,28 +84,56 @@ class Phrases:
         self.padded = np.array([np.pad(w, (0, self.longest - len(w)), mode="wrap") for w in self.words], np.int64).reshape(-1, self.longest)
 
 
+def _built(wanted: frozenset[bytes] | None):
+    """A row for each shard: its documents, and its words with their positions. A place without a word
+    lies between two documents, so that no phrase reaches from one into the next."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, docs in blocks_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), SHARD_BYTES):
+                number: dict[bytes, int] = defaultdict()
+                number.default_factory = number.__len__
+                found = [array("i", map(number.__getitem__, words(text))) for text in docs]
+                size = np.array([len(w) for w in found], "<i8")
+                base = np.cumsum(size + 1) - (size + 1)
+                flat = np.concatenate([np.frombuffer(w, np.int32) for w in found if len(w)] or [np.zeros(0, np.int32)])
+                at = np.arange(len(flat)) + np.repeat(np.arange(len(size)), size)
+                if wanted is not None:
+                    known = np.fromiter((w in wanted for w in number), bool, len(number))
+                    at, flat = at[known[flat]], flat[known[flat]]
+                terms, count = np.unique(flat, return_counts=True)
+                listed = list(number)
+                raw = [listed[t] for t in terms.tolist()]
+                null = np.array([i is None for i in ids], "u1")
+                own = _pack(np.array([i or 0 for i in ids], "<i8"), null, np.array([_key(x) for x in docs], "<i8"), size, base.astype("<i8"))
+                lists = _pack(np.array([len(w) for w in raw], "<u4"), np.frombuffer(b"".join(raw), "u1"), count.astype("<u4"), at[np.argsort(flat, kind="stable")].astype("<u4"))
+                yield pa.RecordBatch.from_arrays([pa.array([own], pa.binary()), pa.array([lists], pa.binary())], ["docs", "lists"])
+
+    return run
+
+
+def index(docs: DataFrame, wanted: frozenset[bytes] | None = None) -> DataFrame:
+    """The stored index of docs; wanted: the only words that have lists."""
+    return stored(texts(docs).mapInArrow(_built(wanted), "docs binary, lists binary"))
+
+
 class Shard:
-    """Positional postings of the known terms over a block of documents, which are set so far apart
-    that neither phrases nor words `within` a distance reach from one into the next."""
-
-    def __init__(self, docs: list[str], phrases: Phrases, within: int | None = None):
-        get, gap = phrases.terms.get, max(phrases.longest, within or 0) + 1
-        self.base, self.n_words, parts, at = [], [], [], 0
-        filler = [-1] * gap
-        for text in docs:
-            w = words(text)
-            self.base.append(at)
-            self.n_words.append(len(w))
-            parts.append(np.array([get(x, -1) for x in w] + filler, np.int64))
-            at += len(w) + gap
-        ids = np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        known = np.flatnonzero(ids >= 0)
-        self.positions = known[np.argsort(ids[known], kind="stable")]
-        self.count = np.bincount(ids[known], minlength=len(phrases.terms))
-        self.start = np.concatenate([[0], np.cumsum(self.count)])
+    """Lists of a shard's positions, for the terms of a block of phrases."""
+
+    def __init__(self, docs: bytes, lists: bytes, phrases: Phrases):
+        self.ids, self.null, self.key, self.n_words, self.base = _unpack(docs, "<i8", "u1", "<i8", "<i8", "<i8")
+        size, raw, count, self.positions = _unpack(lists, "<u4", "u1", "<u4", "<u4")
+        self.positions = self.positions.astype(np.int64)
+        ends, raw = np.cumsum(size, dtype=np.int64).tolist(), raw.tobytes()
+        first = np.cumsum(count, dtype=np.int64) - count
+        self.count, self.start = np.zeros(len(phrases.terms), np.int64), np.zeros(len(phrases.terms), np.int64)
+        get = phrases.terms.get
+        term = np.fromiter((get(raw[a:b], -1) for a, b in zip([0, *ends], ends, strict=False)), np.int64, len(ends))
+        known = term >= 0
+        self.count[term[known]], self.start[term[known]] = count[known], first[known]
 
     def postings(self, term: int) -> np.ndarray:
-        return self.positions[self.start[term] : self.start[term + 1]]
+        return self.positions[self.start[term] : self.start[term] + self.count[term]]
 
     def phrase(self, phrase: np.ndarray) -> np.ndarray:
         """Positions at which the phrase starts."""
@@ -117,8 +156,10 @@ class Shard:
             if not len(at):
                 break
             other = self.postings(phrase[k])
-            i = np.searchsorted(other, at - within)
-            at = at[(i < len(other)) & (other[np.minimum(i, len(other) - 1)] <= at + within)]
+            doc = np.searchsorted(self.base, at, side="right") - 1
+            low, high = np.maximum(at - within, self.base[doc]), np.minimum(at + within, self.base[doc] + self.n_words[doc] - 1)
+            i = np.searchsorted(other, low)
+            at = at[(i < len(other)) & (other[np.minimum(i, len(other) - 1)] <= high)]
         return at
 
 
@@ -141,12 +182,15 @@ def _merged(spans: list[tuple[int, int]]) -> list[list[int]]:
 def _search(shard: Shard, phrases: Phrases, within: int | None) -> tuple[dict, dict]:
     spans: dict[int, list] = {}
     items: dict[int, set] = {}
-    base = np.array(shard.base)
     for j in np.flatnonzero((shard.count[phrases.padded] > 0).all(axis=1)) if len(phrases.words) else ():
         p = phrases.words[j]
         at = shard.phrase(p) if within is None else shard.near(p, within)
-        for a, d in zip(at.tolist(), (np.searchsorted(base, at, side="right") - 1).tolist(), strict=True):
-            spans.setdefault(d, []).append((a - shard.base[d], a - shard.base[d] + (len(p) if within is None else 1)))
+        if not len(at):
+            continue
+        docs = np.searchsorted(shard.base, at, side="right") - 1
+        begin = at - shard.base[docs]
+        for a, d in zip(begin.tolist(), docs.tolist(), strict=True):
+            spans.setdefault(d, []).append((a, a + (len(p) if within is None else 1)))
             items.setdefault(d, set()).update(phrases.items[j])
     return spans, items
 
@@ -165,16 +209,17 @@ def blocks_of(ids: list, docs: list[str], most: int) -> Iterator[tuple[list, lis
 def _searcher(phrases: Phrases, within: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, docs in blocks_of(batch.column(0).to_pylist(), batch.column(1).to_pylist(), SHARD_BYTES):
-                shard = Shard(docs, phrases, within)
+            for docs, lists in zip(*batch.columns, strict=True):
+                shard = Shard(docs.as_py(), lists.as_py(), phrases)
                 spans, items = _search(shard, phrases, within)
+                every = range(len(shard.ids))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(ids, pa.int64()),
-                        pa.array([_key(x) for x in docs], pa.int64()),
+                        pa.array(shard.ids, pa.int64(), mask=shard.null.astype(bool)),
+                        pa.array(shard.key, pa.int64()),
                         pa.array(shard.n_words, pa.int64()),
-                        pa.array([_merged(spans.get(d, [])) for d in range(len(ids))], pa.list_(pa.list_(pa.int64()))),
-                        pa.array([sorted(items.get(d, ())) for d in range(len(ids))], pa.list_(pa.string())),
+                        pa.array([_merged(spans.get(d, [])) for d in every], pa.list_(pa.list_(pa.int64()))),
+                        pa.array([sorted(items.get(d, ())) for d in every], pa.list_(pa.string())),
                     ],
                     HITS.names,
                 )
@@ -193,23 +238,31 @@ def _regroup(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Items with an id, and the number of blocks they come in."""
+    """Items with an id, and their bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("item is not null")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
-    return items, 1 + total // BLOCK_BYTES
+    return items, total
+
+
+def _vocabulary(items: DataFrame, total: int) -> frozenset[bytes] | None:
+    """The benchmark's words, gathered from its texts, or none if they may take too many bytes."""
+    if total > VOCABULARY_BYTES:
+        return None
+    return frozenset(w for r in items.select("text").distinct().toLocalIterator() for w in words(r.text))
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int | None = None) -> DataFrame:
     """For each document: its number of words, the word ranges [start, end) that test phrases cover,
     and the ids of the items whose phrases occur. within: proximity matches instead of exact
     phrases; then a range is the position of the phrase's rarest word."""
-    docs = texts(docs)
-    items, n_blocks = _items(benchmark)
+    items, total = _items(benchmark)
+    n_blocks = 1 + total // BLOCK_BYTES
+    stored_index = index(docs, _vocabulary(items, total))
     out = None
     for b in range(n_blocks):
         block = items if n_blocks == 1 else items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)) == b)
         phrases = Phrases([(r.item, r.text) for r in block.collect()], n)
-        found = docs.mapInArrow(_searcher(phrases, within), HITS)
+        found = stored_index.mapInArrow(_searcher(phrases, within), HITS)
         out = found if out is None else out.unionByName(found)
     if n_blocks == 1:
         return out
@@ -221,25 +274,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """The rows of docs in which fewer than min_items items occur, with their columns."""
-    items, n_blocks = _items(benchmark)
-    if n_blocks > 1:
-        found = matches(docs, benchmark, n).filter(F.size("items") >= min_items).select("doc_id", "text_key").distinct()
-        found = found.withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key"})
-        same = docs["doc_id"].cast("long").eqNullSafe(found["_found_id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == found["_found_key"])
-        return docs.join(found, same, "left_anti")
-    phrases = Phrases([(r.item, r.text) for r in items.collect()], n)
-    at = docs.columns.index("text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for ids, part in blocks_of(list(range(len(batch))), [t or "" for t in batch.column(at).to_pylist()], SHARD_BYTES):
-                _, hits = _search(Shard(part, phrases), phrases, None)
-                keep += [i for d, i in enumerate(ids) if len(hits.get(d, ())) < min_items]
-            yield batch.take(pa.array(keep, pa.int64()))
-
-    ship(docs.sparkSession)
-    return docs.mapInArrow(run, docs.schema)
+    found = matches(docs, benchmark, n).filter(F.size("items") >= min_items).select("doc_id", "text_key").distinct()
+    found = stored(found.withColumnsRenamed({"doc_id": "_found_id", "text_key": "_found_key"}))
+    if found.count() <= BROADCAST_DOCS:
+        found = F.broadcast(found)
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_found_id")) & (F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))) == F.col("_found_key"))
+    return docs.join(found, same, "left_anti")
 
 
 def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
@@ -257,21 +297,3 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: in
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-
-
-def brute_force(docs: list[tuple[int, str | None]], items: list[tuple[str, str | None]], n: int = WINDOW) -> list[tuple]:
-    """The same rows by comparing every window at every place; for tests."""
-    out = []
-    for doc, text in docs:
-        w, hit, ids = words(text), set(), set()
-        for item, t in items:
-            if item is None:
-                continue
-            for p in windows(t, n):
-                for i in range(len(w) - len(p) + 1):
-                    if tuple(w[i : i + len(p)]) == p:
-                        hit.update(range(i, i + len(p)))
-                        ids.add(str(item))
-        joined = ",".join(sorted(ids))
-        out.append((doc, len(w), len(hit), len(ids), hashlib.sha256(joined.encode()).hexdigest(), len(ids) >= MIN_ITEMS))
-    return out
