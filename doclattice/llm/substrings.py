@@ -1,8 +1,10 @@
 """Removal of long repeated byte strings by a sparse suffix array with bucket-pointer refinement.
 
-A byte goes if a LENGTH-byte string that covers it also starts anywhere else in the corpus.
+A byte goes if a 400-byte string that covers it also starts anywhere else in the corpus. Passages of
+over 50 words that also start elsewhere are found beside that, in the same passes, by the same steps
+over the texts' words instead of their bytes (UNITS); they are counted and nothing is removed for them.
 
-1. Each window of LENGTH bytes has an anchor: the leftmost of its smallest q-gram hashes. Equal
+1. Each window of 400 bytes (or 51 words) has an anchor: the leftmost of its smallest q-gram hashes. Equal
    windows have their anchors at the same place, so only suffixes near anchors are sorted. An anchor
    owns a run of consecutive windows; together they span its context.
 2. Anchors fall into initial buckets by their q-gram. Anchors that are alone in a bucket are done;
@@ -10,14 +12,14 @@ A byte goes if a LENGTH-byte string that covers it also starts anywhere else in
    ones within a task before the shuffle. What is left are contexts that differ near the q-gram.
 3. Of these the bytes are fetched (one of each set of equal ones), and the bucket of each position
    is refined by sorting on the bucket of the position one depth further: from 100 bytes to 200, and
-   with the refined buckets again to 400. Windows that share a bucket then are repeated.
+   with the refined buckets again to 400 (words: 13, 26, 51). Windows that share a bucket then are repeated.
    A q-gram with more than HOT contexts isn't gathered: its windows are dealt by their own hashes.
 
-Buckets of 100 bytes and contexts are named by hashes (64 bits beside the q-gram's 64; hot windows
+Words, buckets of the first depth and contexts are named by hashes (64 bits beside the q-gram's 64; hot windows
 by 128). Texts travel as compressed packs with many documents each.
 
 Nulls: a null text is empty; null ids are answered as such. Repeated rows are documents of their
-own, so that a repeated long text goes as a whole. Texts under LENGTH bytes lose nothing. Empty
+own, so that a repeated long text goes as a whole. Texts under 400 bytes lose nothing. Empty
 tables give no rows; further columns are not read.
 """
 
@@ -27,6 +29,7 @@ import functools
 import hashlib
 from collections import defaultdict
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -38,11 +41,27 @@ from doclattice.llm.common import partitions, stored, table, texts
 from doclattice.llm.tokens import _pack, _ranges, _unpack
 
 LENGTH = 400
-QGRAM = 128
-DEPTH = 100  # of the first buckets; doubled twice
-WIDTH = LENGTH - QGRAM + 1  # q-grams in a window
-CHUNK = 1 << 18  # bytes that are hashed at once; what is left of them may come to it
-MOST = 1 << 20  # bytes that a Rolling can have
+
+
+@dataclass(frozen=True)
+class Unit:
+    """What windows are made of: symbols in a window, in its q-grams and in the first buckets."""
+
+    length: int
+    qgram: int
+    depth: int
+    kind: str
+
+    @property
+    def width(self) -> int:
+        """q-grams in a window."""
+        return self.length - self.qgram + 1
+
+
+BYTES, WORDS = 0, 1
+UNITS = (Unit(LENGTH, 128, 100, "u1"), Unit(51, 8, 13, "<u8"))
+CHUNK = 1 << 18  # symbols that are hashed at once; what is left of them may come to it
+MOST = 1 << 20  # symbols that a Rolling can have
 HOT = 20_000  # contexts of one q-gram that are gathered at most
 NONE = -(1 << 63)  # stands for a null doc_id
 U = np.uint64
@@ -64,7 +83,7 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Rolling:
-    """Hashes of any ranges of a byte array, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any ranges of an array, from prefix sums of a polynomial modulo 2**64."""
 
     def __init__(self, x: np.ndarray, base: int):
         powers, self.inverse = _powers(base)
@@ -79,32 +98,70 @@ class Rolling:
         return z
 
 
-def anchors(x: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
+def word_hashes(raw: bytes) -> np.ndarray:
+    """A hash of each word of a text."""
+    if len(raw) > MOST:  # in pieces that end before a blank
+        out, a = [], 0
+        while a < len(raw):
+            b = a + MOST
+            while b < len(raw) and (cut := max(raw.rfind(b" ", a + 1, b), raw.rfind(b"\n", a + 1, b))) < 0:
+                b += MOST
+            b = len(raw) if b >= len(raw) else cut
+            out.append(_word_hashes(raw[a:b]))
+            a = b
+        return np.concatenate(out)
+    return _word_hashes(raw)
+
+
+@functools.cache
+def _places() -> np.ndarray:
+    return _powers(BASES[2])[0][: 1 << 16]
+
+
+def _word_hashes(raw: bytes) -> np.ndarray:
+    x = np.frombuffer(raw, np.uint8)
+    solid = (x != 32) & ((x < 9) | (x > 13))
+    edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
+    start, size = edge[::2], edge[1::2] - edge[::2]
+    if not len(start):
+        return np.zeros(0, U)
+    at = _ranges(start, size)
+    z = np.add.reduceat((x[at].astype(U) + U(1)) * _places()[at - np.repeat(start, size) & 0xFFFF], np.cumsum(size) - size)
+    z ^= size.astype(U) * U(BASES[0])
+    z ^= z >> U(31)
+    return z * U(0xD6E8FEB86659FD93)
+
+
+def symbols(raw: bytes, unit: int) -> np.ndarray:
+    return word_hashes(raw) if unit else np.frombuffer(raw, np.uint8)
+
+
+def anchors(x: np.ndarray, ends: np.ndarray, unit: Unit) -> tuple[np.ndarray, ...]:
     """Of texts that lie one after the other in x: h, f, first and last owned window of each anchor.
     ends: where texts end."""
-    n = len(x) - LENGTH + 1
+    n = len(x) - unit.length + 1
     if n < 1:
         return (np.zeros(0, U),) * 2 + (np.zeros(0, np.int64),) * 2
-    grams = np.arange(len(x) - QGRAM + 1)
+    grams = np.arange(len(x) - unit.qgram + 1)
     rolling = Rolling(x, BASES[0])
-    h = rolling(grams, grams + QGRAM)
+    h = rolling(grams, grams + unit.qgram)
     key = (h & U(0xFFFFFFFF00000000)) | grams.astype(U)
-    padded = np.full(-(-len(key) // WIDTH) * WIDTH, U(2**64 - 1))
+    padded = np.full(-(-len(key) // unit.width) * unit.width, U(2**64 - 1))
     padded[: len(key)] = key
-    rows = padded.reshape(-1, WIDTH)
+    rows = padded.reshape(-1, unit.width)
     ahead = np.minimum.accumulate(rows, axis=1).ravel()
     behind = np.minimum.accumulate(rows[:, ::-1], axis=1)[:, ::-1].ravel()
-    best = (np.minimum(behind[:n], ahead[WIDTH - 1 : WIDTH - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
+    best = (np.minimum(behind[:n], ahead[unit.width - 1 : unit.width - 1 + n]) & U(0xFFFFFFFF)).astype(np.int64)
     inside = np.ones(n + 1, bool)
     inside[n] = False
     for e in ends.tolist():
-        inside[max(0, e - LENGTH + 1) : e] = False
+        inside[max(0, e - unit.length + 1) : e] = False
     new = inside[:n].copy()
     new[1:] &= (best[1:] != best[:-1]) | ~inside[: n - 1]
     first = np.flatnonzero(new)
     last_of = inside[:n] & (np.append(new[1:], True) | ~inside[1:])
     last = np.flatnonzero(last_of)
-    f = Rolling(x, BASES[1])(first, last + LENGTH) ^ (last - first).astype(U)
+    f = Rolling(x, BASES[1])(first, last + unit.length) ^ (last - first).astype(U)
     return h[best[first]], f, first, last
 
 
@@ -122,6 +179,19 @@ def _merged(group: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.n
     return group[at], start[at], end[np.append(at[1:], len(start)) - 1]
 
 
+def _at(lo, unit, span, dup) -> np.ndarray:
+    """Place, unit, windows beside the first, and whether it is known to be repeated, in one number."""
+    return lo << 13 | unit << 12 | span << 1 | dup
+
+
+def _from_at(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, unit and span."""
+    return at >> 13, at >> 12 & 1, at >> 1 & 0x7FF
+
+
+LENGTHS = np.array([u.length for u in UNITS])
+
+
 def _rows(kind: int, h, f, doc, text, at) -> pa.RecordBatch:
     n = len(doc)
     cols = [np.full(n, kind, np.int8), *(np.broadcast_to(np.asarray(v), n) for v in (h, f, doc, text, at))]
@@ -134,21 +204,23 @@ def _key(batch: pa.RecordBatch) -> tuple[np.ndarray, list[bytes], np.ndarray]:
     return doc, raw, np.fromiter(map(xxhash.xxh64_intdigest, raw), U, len(raw)).view(np.int64)
 
 
-def _chunks(raw: list[bytes], most: int) -> Iterator[tuple[list[tuple[int, int]], bytes, np.ndarray]]:
-    """Pieces (row, offset in its text), their joined bytes and ends. Long texts come in pieces that
+def _chunks(raw: list[bytes], most: int, unit: int) -> Iterator[tuple[list[tuple[int, int]], np.ndarray, np.ndarray]]:
+    """Pieces (row, offset in its text), their joined symbols and ends. Long texts come in pieces that
     overlap so that each window is in one of them."""
     pieces, parts, size = [], [], 0
-    for i, t in enumerate(raw):
-        for a in range(0, len(t) - LENGTH + 1, most):
-            piece = t[a : a + most + LENGTH - 1]
+    length = UNITS[unit].length
+    for i, text in enumerate(raw):
+        t = symbols(text, unit)
+        for a in range(0, len(t) - length + 1, most):
+            piece = t[a : a + most + length - 1]
             pieces.append((i, a))
             parts.append(piece)
             size += len(piece)
             if size >= most:
-                yield pieces, b"".join(parts), np.cumsum([len(p) for p in parts])
+                yield pieces, np.concatenate(parts), np.cumsum([len(p) for p in parts])
                 pieces, parts, size = [], [], 0
     if parts:
-        yield pieces, b"".join(parts), np.cumsum([len(p) for p in parts])
+        yield pieces, np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
 def _bucketed(chunk: int):
@@ -157,27 +229,31 @@ def _bucketed(chunk: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             doc, raw, text = _key(batch)
-            found = []
-            for pieces, joined, ends in _chunks(raw, chunk):
-                h, f, first, last = anchors(np.frombuffer(joined, np.uint8), ends)
-                row, offset = np.array(pieces).T
-                k = np.searchsorted(ends, first, side="right")
-                begin = np.append(0, ends[:-1])
-                found.append((h, f, row[k], first - begin[k] + offset[k], last - first))
-            if not found:
-                continue
-            h, f, row, lo, span = (np.concatenate(c) for c in zip(*found, strict=True))
-            order = np.lexsort((lo, row, f, h))
-            hs, fs = h[order], f[order]
-            new = np.append(True, (hs[1:] != hs[:-1]) | (fs[1:] != fs[:-1]))
-            size = np.diff(np.append(np.flatnonzero(new), len(hs)))
-            twice = np.repeat(size > 1, size)
-            one = order[new]
-            yield _rows(CLASS, h[one], f[one], doc[row[one]], text[row[one]], lo[one] << 12 | span[one] << 1 | (size > 1))
-            known = np.sort(order[twice])
-            known = known[np.lexsort((lo[known], row[known]))]
-            r, a, b = _merged(row[known], lo[known], lo[known] + span[known] + LENGTH)
-            yield _rows(COVER, 0, b, doc[r], text[r], a)
+            for unit in (BYTES, WORDS):
+                yield from bucketed(doc, raw, text, unit)
+
+    def bucketed(doc: np.ndarray, raw: list[bytes], text: np.ndarray, unit: int) -> Iterator[pa.RecordBatch]:
+        found = []
+        for pieces, joined, ends in _chunks(raw, chunk, unit):
+            h, f, first, last = anchors(joined, ends, UNITS[unit])
+            row, offset = np.array(pieces).T
+            k = np.searchsorted(ends, first, side="right")
+            begin = np.append(0, ends[:-1])
+            found.append((h, f, row[k], first - begin[k] + offset[k], last - first))
+        if not found:
+            return
+        h, f, row, lo, span = (np.concatenate(c) for c in zip(*found, strict=True))
+        order = np.lexsort((lo, row, f, h))
+        hs, fs = h[order], f[order]
+        new = np.append(True, (hs[1:] != hs[:-1]) | (fs[1:] != fs[:-1]))[: len(hs)]
+        size = np.diff(np.append(np.flatnonzero(new), len(hs)))
+        twice = np.repeat(size > 1, size)
+        one = order[new]
+        yield _rows(CLASS, h[one], f[one], doc[row[one]], text[row[one]], _at(lo[one], unit, span[one], size > 1))
+        known = np.sort(order[twice])
+        known = known[np.lexsort((lo[known], row[known]))]
+        r, a, b = _merged(row[known], lo[known], lo[known] + span[known] + UNITS[unit].length)
+        yield _rows(COVER, unit, b, doc[r], text[r], a)
 
     return run
 
@@ -200,8 +276,8 @@ def _settled(hot: int):
             size = np.diff(np.append(start, len(h)))
             dup = (size > 1) | (np.add.reduceat(at & 1, start) > 0)
             whole = np.repeat(size > 1, size) & (at & 1 == 0)
-            lo, span = at >> 12, at >> 1 & 0x7FF
-            yield _rows(COVER, 0, (lo + span + LENGTH)[whole], doc[whole], text[whole], lo[whole])
+            lo, unit, span = _from_at(at)
+            yield _rows(COVER, unit[whole], (lo + span + LENGTHS[unit])[whole], doc[whole], text[whole], lo[whole])
             bucket = np.cumsum(np.append(True, h[start][1:] != h[start][:-1])) - 1
             classes = np.bincount(bucket)
             many = classes[bucket]
@@ -316,35 +392,45 @@ def _contexts(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for by, docs in _documents(batches):
-            plain, hot = [], []
+            plain: tuple[list, list] = ([], [])
+            hot: tuple[list, list] = ([], [])
             for d, t, raw in docs:
                 if (found := by.get((d, t))) is None:
                     continue
+                texts = [None, None]
                 for h, f, at in zip(*(c.tolist() for c in found), strict=True):
-                    lo, span = at >> 12, at >> 1 & 0x7FF
-                    context = raw[lo : lo + span + LENGTH]
-                    (hot if f else plain).append((h, d, t, lo, span, at & 1, context))
-            if plain:
-                h, d, t, lo, span, dup, parts = zip(*plain, strict=True)
-                to = np.array(h, np.int64).view(U) % U(n)
-                cols = [np.array(c, np.int64) for c in (d, t, lo, span, dup)]
-                for p in np.unique(to).tolist():
-                    i = np.flatnonzero(to == p)
-                    data = _pack(*[c[i] for c in cols], np.frombuffer(b"".join([parts[k] for k in i.tolist()]), np.uint8))
-                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int64()), pa.array([False]), pa.array([data], pa.binary())], ["part", "last", "data"])
-            for a in range(0, len(hot), 500):
-                h, d, t, lo, span, dup, parts = zip(*hot[a : a + 500], strict=True)
-                x, windows = np.frombuffer(b"".join(parts), np.uint8), np.array(span) + 1
-                start = np.cumsum(windows + LENGTH - 1) - (windows + LENGTH - 1)
-                at = _ranges(start, windows)
-                w = [Rolling(x, b)(at, at + LENGTH) for b in BASES[:2]]
-                cols = [np.repeat(np.array(c, np.int64), windows) for c in (d, t, dup)]
-                s = np.repeat(np.array(lo, np.int64), windows) + at - np.repeat(start, windows)
-                to = w[0] % U(n)
-                for p in np.unique(to).tolist():
-                    i = np.flatnonzero(to == p)
-                    data = _pack(*[c[i] for c in cols], s[i], w[0][i], w[1][i])
-                    yield pa.RecordBatch.from_arrays([pa.array([int(p)], pa.int64()), pa.array([True]), pa.array([data], pa.binary())], ["part", "last", "data"])
+                    lo, unit, span = _from_at(at)
+                    if texts[unit] is None:
+                        texts[unit] = symbols(raw, unit)
+                    context = texts[unit][lo : lo + span + UNITS[unit].length]
+                    (hot if f else plain)[unit].append((h, d, t, lo, span, at & 1, context))
+            for unit in (BYTES, WORDS):
+                if plain[unit]:
+                    h, d, t, lo, span, dup, parts = zip(*plain[unit], strict=True)
+                    to = np.array(h, np.int64).view(U) % U(n)
+                    cols = [np.array(c, np.int64) for c in (d, t, lo, span, dup)]
+                    for p in np.unique(to).tolist():
+                        i = np.flatnonzero(to == p)
+                        yield packed(2 * int(p) + unit, False, *[c[i] for c in cols], np.concatenate([parts[k] for k in i.tolist()]))
+                for a in range(0, len(hot[unit]), 500):
+                    yield from windows(hot[unit][a : a + 500], unit)
+
+    def windows(some: list, unit: int) -> Iterator[pa.RecordBatch]:
+        h, d, t, lo, span, dup, parts = zip(*some, strict=True)
+        length = UNITS[unit].length
+        x, count = np.concatenate(parts), np.array(span) + 1
+        start = np.cumsum(count + length - 1) - (count + length - 1)
+        at = _ranges(start, count)
+        w = [Rolling(x, b)(at, at + length) for b in BASES[:2]]
+        cols = [np.repeat(np.array(c, np.int64), count) for c in (d, t, dup)]
+        s = np.repeat(np.array(lo, np.int64), count) + at - np.repeat(start, count)
+        to = w[0] % U(n)
+        for p in np.unique(to).tolist():
+            i = np.flatnonzero(to == p)
+            yield packed(2 * int(p) + unit, True, *[c[i] for c in cols], s[i], w[0][i], w[1][i])
+
+    def packed(part: int, last: bool, *cols: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([last]), pa.array([_pack(*cols)], pa.binary())], ["part", "last", "data"])
 
     return run
 
@@ -358,24 +444,25 @@ def refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(x: np.ndarray, spans: np.ndarray) -> np.ndarray:
-    """Whether each window of the contexts in x (of span + LENGTH bytes each) is there twice."""
-    size = spans + LENGTH
+def repeated_windows(x: np.ndarray, spans: np.ndarray, unit: Unit) -> np.ndarray:
+    """Whether each window of the contexts in x (of span + length symbols each) is there twice."""
+    size = spans + unit.length
     start = np.cumsum(size) - size
-    # Buckets of DEPTH bytes, at the places that windows lead to.
-    at = _ranges(start, spans + 1 + LENGTH - DEPTH)
+    # Buckets of the first depth, at the places that windows lead to.
+    at = _ranges(start, spans + 1 + unit.length - unit.depth)
     bucket, h = np.zeros(len(x), np.int64), []
-    step = MOST // 2 // (WIDTH + LENGTH)
+    step = MOST // 2 // (unit.width + unit.length)
     for k in range(0, len(spans), step):
         begin, part = start[k], size[k : k + step]
-        own = _ranges(start[k : k + step] - begin, part - DEPTH + 1)
-        h.append(Rolling(x[begin : begin + part.sum()], BASES[2])(own, own + DEPTH))
+        own = _ranges(start[k : k + step] - begin, part - unit.depth + 1)
+        h.append(Rolling(x[begin : begin + part.sum()], BASES[2])(own, own + unit.depth))
     _, bucket[at] = np.unique(np.concatenate(h), return_inverse=True)
-    depth = DEPTH
-    while depth < LENGTH:
-        at = _ranges(start, spans + 1 + LENGTH - 2 * depth)
-        bucket[at] = refined(bucket[at], bucket[at + depth])
-        depth *= 2
+    depth = unit.depth
+    while depth < unit.length:
+        further = min(depth, unit.length - depth)
+        at = _ranges(start, spans + 1 + unit.length - depth - further)
+        bucket[at] = refined(bucket[at], bucket[at + further])
+        depth += further
     windows = bucket[_ranges(start, spans + 1)]
     return np.bincount(windows)[windows] > 1
 
@@ -383,30 +470,31 @@ def repeated_windows(x: np.ndarray, spans: np.ndarray) -> np.ndarray:
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeated windows of the contexts that meet in a part, as ranges of their documents."""
 
-    def plain(packs: list) -> pa.RecordBatch:
+    def plain(packs: list, unit: int) -> pa.RecordBatch:
         doc, text, lo, span, dup, x = (np.concatenate(c) for c in zip(*packs, strict=True))
-        hit = repeated_windows(x, span)
+        hit = repeated_windows(x, span, UNITS[unit])
         context = np.repeat(np.arange(len(span)), span + 1)
         at = np.repeat(lo, span + 1) + _ranges(np.zeros(len(span), np.int64), span + 1)
         hit &= dup[context] == 0
-        c, a, b = _merged(context[hit], at[hit], at[hit] + LENGTH)
-        return _rows(COVER, 0, b, doc[c], text[c], a)
+        c, a, b = _merged(context[hit], at[hit], at[hit] + UNITS[unit].length)
+        return _rows(COVER, unit, b, doc[c], text[c], a)
 
-    def hot(packs: list) -> pa.RecordBatch:
+    def hot(packs: list, unit: int) -> pa.RecordBatch:
         doc, text, dup, s, w0, w1 = (np.concatenate(c) for c in zip(*packs, strict=True))
         name = refined(w0.view(np.int64), w1.view(np.int64))
         hit = np.flatnonzero((np.bincount(name)[name] > 1) & (dup == 0))
         hit = hit[np.lexsort((s[hit], text[hit], doc[hit]))]
         same = np.cumsum(np.append(False, (doc[hit][1:] != doc[hit][:-1]) | (text[hit][1:] != text[hit][:-1])))[: len(hit)]
-        _, a, b = _merged(same, s[hit], s[hit] + LENGTH)
-        at = np.flatnonzero(np.append(True, (same[1:] != same[:-1]) | (s[hit][1:] > s[hit][:-1] + LENGTH)))[: len(a)] if len(hit) else hit
-        return _rows(COVER, 0, b, doc[hit][at], text[hit][at], a)
+        length = UNITS[unit].length
+        _, a, b = _merged(same, s[hit], s[hit] + length)
+        at = np.flatnonzero(np.append(True, (same[1:] != same[:-1]) | (s[hit][1:] > s[hit][:-1] + length)))[: len(a)] if len(hit) else hit
+        return _rows(COVER, unit, b, doc[hit][at], text[hit][at], a)
 
     held: dict[tuple[int, bool], list] = defaultdict(list)
 
     def flush() -> Iterator[pa.RecordBatch]:
-        for (_, is_hot), packs in held.items():
-            yield (hot if is_hot else plain)(packs)
+        for (p, is_hot), packs in held.items():
+            yield (hot if is_hot else plain)(packs, p & 1)
         held.clear()
 
     part = None
@@ -415,12 +503,15 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if p != part:
                 yield from flush()
                 part = p
-            held[p, last].append(_unpack(data, *(["<i8"] * 4 + ["<u8"] * 2 if last else ["<i8"] * 5 + ["u1"])))
+            held[p, last].append(_unpack(data, *(["<i8"] * 4 + ["<u8"] * 2 if last else ["<i8"] * 5 + [UNITS[p & 1].kind])))
     yield from flush()
 
 
 def covers(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """Removed ranges [at, f) of each document (doc, text hash); they may overlap."""
+    """Repeated ranges [at, f) of each document (doc, text hash), in the units that h tells; they may
+    overlap."""
+    if hot < 1:
+        raise ValueError("hot is at least 1")
     n = partitions(docs.sparkSession)
     rows = docs.mapInArrow(_bucketed(chunk), ROWS)
     dealt = rows.repartition(n, F.when(F.col("kind") == CLASS, F.col("h")).otherwise(F.col("text"))).sortWithinPartitions("kind", "h", "f")
@@ -430,36 +521,45 @@ def covers(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     return told.filter(F.col("kind") == COVER).unionByName(looked)
 
 
-REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+REPORT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_passages long"
 
 
-def _cut(raw: bytes, found: list[np.ndarray] | None) -> tuple[list[list[int]], bytes]:
+def _spans(found: list[np.ndarray] | None, unit: int) -> list[list[int]]:
+    """Ranges in the unit, joined where they touch."""
     spans: list[list[int]] = []
     if found is not None:
-        for a, b in zip(found[2].tolist(), found[1].tolist(), strict=True):
+        mine = found[0] == unit
+        for a, b in zip(found[2][mine].tolist(), found[1][mine].tolist(), strict=True):
             if spans and a <= spans[-1][1]:
                 spans[-1][1] = max(spans[-1][1], b)
             else:
                 spans.append([a, b])
+    return spans
+
+
+def _cut(raw: bytes, spans: list[list[int]]) -> bytes:
     kept, at = [], 0
     for a, b in spans:
         kept.append(raw[at:a])
         at = b
-    return spans, b"".join([*kept, raw[at:]])
+    return b"".join([*kept, raw[at:]])
 
 
 def _reported(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for by, docs in _documents(batches):
         out = []
         for d, t, raw in docs:
-            spans, kept = _cut(raw, by.get((d, t)))
-            out.append((None if d == NONE else d, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), [pa.int64()] * 4 + [pa.string()], strict=True)], [c.split()[0] for c in REPORT.split(", ")])
+            found = by.get((d, t))
+            spans = _spans(found, BYTES)
+            kept = _cut(raw, spans)
+            out.append((None if d == NONE else d, len(raw), len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest(), len(_spans(found, WORDS))))
+        kinds = [pa.int64()] * 4 + [pa.string(), pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], [c.split()[0] for c in REPORT.split(", ")])
 
 
 def _kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for by, docs in _documents(batches):
-        out = [(None if d == NONE else d, _cut(raw, by.get((d, t)))[1]) for d, t, raw in docs]
+        out = [(None if d == NONE else d, _cut(raw, _spans(by.get((d, t)), BYTES))) for d, t, raw in docs]
         ids, kept = zip(*out, strict=True)
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], ["doc_id", "kept"])
 
@@ -471,28 +571,11 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 
 
 def report(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
-    """Digest columns for each document."""
+    """Digest columns for each document; n_passages: maximal runs of words that 51-word windows cover
+    which also start elsewhere."""
     docs = texts(docs)
     return _met(covers(docs, hot, chunk), docs, _reported, REPORT)
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
-
-
-def brute_force(docs: list[tuple[int, str | None]]) -> list[tuple]:
-    """The same rows from a table of every window; for tests."""
-    raw = [(d, (t or "").encode()) for d, t in docs]
-    seen: dict[bytes, int] = defaultdict(int)
-    for _, t in raw:
-        for i in range(len(t) - LENGTH + 1):
-            seen[t[i : i + LENGTH]] += 1
-    out = []
-    for d, t in raw:
-        gone = np.zeros(len(t) + 1, bool)
-        for i in range(len(t) - LENGTH + 1):
-            if seen[t[i : i + LENGTH]] > 1:
-                gone[i : i + LENGTH] = True
-        kept = bytes(b for b, g in zip(t, gone, strict=False) if not g)
-        out.append((d, len(t), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest()))
-    return out
