@@ -3,7 +3,7 @@
 A sentence has a logistic score from its distinct words and word beginnings; a document's score is the noisy-or of its
 sentences, 1 - prod(1 - p). Only document labels are known: the weights are trained on the bag
 likelihood, by Adam in numpy on the driver, from at most TRAIN_DOCS labelled documents (those with
-the smallest hash of their id) and the at most FEATURES features that depend most clearly on the label. Sentences that carry a document's score
+the smallest hash of their id; of a longer text a piece of TRAIN_CHARS characters) and the at most FEATURES features that depend most clearly on the label. Sentences that carry a document's score
 can then be located.
 
 Nulls: a null text has no sentences, as an empty one, and scores 0. Labels that are null or belong
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from doclattice.llm.common import table, texts
 
-#: Bounds of what the driver gathers to fit the model: labelled rows; longer texts aren't among them.
+#: Bounds of what the driver gathers to fit the model: labelled rows, and characters of each.
 TRAIN_DOCS = 6000
 TRAIN_CHARS = 20_000
 FEATURES = 3000
@@ -133,7 +133,9 @@ def trained(docs: DataFrame, labels: DataFrame) -> Model:
     """A model from the labelled documents that aren't held out."""
     known = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id").cast("long"))).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TRAIN_DOCS)
-    rows = texts(docs).filter(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "toxic")
+    start = 1 + F.pmod(F.xxhash64("text"), F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1)))
+    piece = F.substring(F.col("text"), start.cast("int"), F.lit(TRAIN_CHARS)).alias("text")
+    rows = texts(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", piece, "toxic")
     got = sorted((r.doc_id, r.text, int(r.toxic)) for r in rows.toLocalIterator())
     return fit([(text, int(y > 0)) for _, text, y in got])
 
