@@ -6,6 +6,7 @@ import json
 import tempfile
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclattice.catalog import Catalog, Collection, Index, Store
-from doclattice.errors import BadRequest, ValidationError
+from doclattice.errors import BadRequest, EngineError, ValidationError, failures
 from doclattice.functions.kinds import SQL_TYPE, STRING, kind_of_type
 from doclattice.functions.text import byte_prefix, parse_doc_id
-from doclattice.plans.compiler import compiled
-from doclattice.plans.nodes import IndexScan, Scan, parse_plan
+from doclattice.plans.compiler import branches, compiled
+from doclattice.plans.nodes import Filter, IndexScan, Plan, parse_plan
 from doclattice.sources.ingest import numbered, validated
 
 
@@ -50,11 +51,17 @@ def _leaves(schema: T.StructType, above: str = "", column: str = "") -> dict[str
 
 class Engine:
     """root: a folder for collections that documents are inserted into. If none is given, it is a new
-    one in the cluster's shared folder (spark.checkpoint.dir), or a local one where that is unset."""
+    one in the cluster's shared folder (spark.checkpoint.dir); in local mode, where that is unset, one
+    of this machine."""
 
     def __init__(self, spark: SparkSession, root: str | None = None):
         self.spark = spark
-        shared = spark.conf.get("spark.checkpoint.dir", None) or Path(tempfile.gettempdir()).as_uri()
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not (root or shared):
+            master = spark.sparkContext.master
+            if master != "local" and not master.startswith("local["):
+                raise EngineError("on a cluster a root is needed, or a shared folder in spark.checkpoint.dir")
+            shared = Path(tempfile.gettempdir()).as_uri()
         self.root = (root or f"{shared.rstrip('/')}/doclattice-{uuid.uuid4().hex}").rstrip("/")
         self.store = Store(spark, self.root)
         self.attached: dict[str, _Attached] = {}
@@ -113,45 +120,84 @@ class Engine:
             docs = self._stored(db, name, coll).filter(F.col("__batch") >= entry.batches)
             rows = self._entries(docs, entry, lambda p: (F.col(coll.column(p)), coll.fields[p]))
             keys = [f"k{i}" for i in range(len(entry.fields))]
-            rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "__id").write.mode("append").parquet(self._index_path(db, name, index))
+            folder = f"{self._index_path(db, name, index)}/{uuid.uuid4().hex}"
+            rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "__id").write.parquet(folder)
+            entry.folders.append(folder)
         entry.batches, entry.ready = coll.batches, True
         self._save(catalog, 1)
 
     # -- writing -------------------------------------------------------------------------------
 
-    def insert(self, db: str, name: str, docs: DataFrame | list, order: str | None = None, strict: bool = False) -> Inserted:
+    def insert(self, db: str, name: str, docs: DataFrame | list, order: str | None = None, strict: bool = False, stream: tuple[str, int] | None = None) -> Inserted:
         """Add documents: a DataFrame with a column json, or a list of JSON texts or values. They are
         judged in the order of `order`, a column of distinct numbers (else in that of the rows).
-        strict: raise ValidationError if any is rejected, and add none."""
+        strict: raise ValidationError if any is rejected, and add none.
+        stream: a name and the number of a micro-batch; one that is in the catalog isn't added again,
+        and what it gave is returned.
+        The documents are there once the catalog that lists their folder is saved; a writer that comes
+        second gets SchemaConflict, and its folder is removed."""
         catalog = self.catalog
         coll = catalog.collection(db, name)
+        if stream and stream[0] in coll.streams and coll.streams[stream[0]][0] >= stream[1]:
+            number, folder = coll.streams[stream[0]]
+            inserted = self._inserted(folder)
+            return inserted if number == stream[1] else Inserted(inserted.ids.limit(0), inserted.rejected.limit(0))
         if isinstance(docs, list):
             texts = [(i, d if isinstance(d, str) else json.dumps(d)) for i, d in enumerate(docs)]
             docs, order = self.spark.createDataFrame(texts, "place long, json string"), "place"
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"  # numbers given once, whatever is read again
-        numbered(docs, order).write.parquet(staged)
-        rows = self.spark.read.parquet(staged)
-        batch = validated(rows, coll, catalog.version, coll.batches)
-        if strict and (bad := batch.rejected.orderBy("place").first()):
-            raise ValidationError(bad["reason"])
-        path = f"{self._path(db, name)}/{coll.batches}"
-        batch.accepted.write.mode("overwrite").parquet(path)
-        coll.fields, coll.batches = batch.fields, coll.batches + 1
-        self._save(catalog, batch.changes + (batch.changes == 0))
+        folder = f"{self._path(db, name)}/{uuid.uuid4().hex}"
+        saved = False
+        try:
+            numbered(docs, order).write.parquet(staged)
+            rows = self.spark.read.parquet(staged)
+            batch = validated(rows, coll, catalog.version, coll.batches)
+            if strict and (bad := batch.rejected.orderBy("place").first()):
+                raise ValidationError(bad["reason"])
+            batch.accepted.write.parquet(f"{folder}/accepted")
+            batch.rejected.write.parquet(f"{folder}/rejected")
+            coll.fields = batch.fields
+            coll.folders.append(folder)
+            if stream:
+                coll.streams[stream[0]] = (stream[1], folder)
+            self._save(catalog, batch.changes + (batch.changes == 0))
+            saved = True
+        finally:
+            self._remove(staged)
+            if not saved:
+                self._remove(folder)
         for index, entry in coll.indexes.items():
             if entry.ready:
                 self.refresh_index(db, name, index)
-        return Inserted(self.spark.read.parquet(path).select("__id", F.col("__place").alias("place")), batch.rejected)
+        return self._inserted(folder)
+
+    def _inserted(self, folder: str) -> Inserted:
+        read = self.spark.read
+        return Inserted(read.parquet(f"{folder}/accepted").select("__id", F.col("__place").alias("place")), read.parquet(f"{folder}/rejected"))
+
+    def compact(self, db: str, name: str) -> None:
+        """Put the documents of many small batches into one folder; plans list fewer files then. The
+        older folders stay for readers that have begun; remove them when those are done."""
+        catalog = self.catalog
+        coll = catalog.collection(db, name)
+        if coll.batches < 2:
+            return
+        folder = f"{self._path(db, name)}/{uuid.uuid4().hex}"
+        self._stored(db, name, coll).write.parquet(f"{folder}/accepted")
+        # Batch numbers stay in the rows; later batches go on from them.
+        coll.folders = [folder] * coll.batches
+        self._save(catalog, 1)
 
     def update(self, *_args, **_kwargs) -> None:
         raise NotImplementedError("documents can't be changed")
 
     # -- reading -------------------------------------------------------------------------------
 
-    def query(self, db: str, name: str, plan: str | None = None, limit: int | None = None, query: str | None = None, ordered: bool = True, tables: bool = False) -> DataFrame:
+    def query(self, db: str, name: str, plan: str | None = None, limit: int | None = None, query: str | None = None, ordered: bool = True, tables: bool = False, as_json: bool = False) -> DataFrame:
         """The documents of a plan. limit: at most so many, the first in the plan's order (insertion
-        or index keys) unless ordered is false. tables: index scans read the index's own table.
-        query: a bare predicate is not supported."""
+        or index keys; a union's branches in turn) unless ordered is false. tables: index scans read
+        the index's own table. as_json: __id and the document as JSON text, for attached collections
+        too. query: a bare predicate is not supported."""
         if query is not None:
             raise NotImplementedError("a query without a plan is not supported")
         if plan is None:
@@ -159,17 +205,37 @@ class Engine:
         docs, coll, resolve, names = self._source(db, name)
         parsed = parse_plan(plan)
         table = lambda index: self._index_table(db, name, index) if tables else None
-        out = compiled(parsed, docs, coll, resolve, table)
-        if limit is not None:
-            if limit < 0:
-                raise BadRequest("a limit is not negative")
-            if ordered and isinstance(parsed, (Scan, IndexScan)):
-                keys = [resolve(p)[0] for p in coll.indexes[parsed.index].paths if resolve(p)] if isinstance(parsed, IndexScan) else []
-                keys += [F.col(c) for c in ("__batch", "__place") if c in docs.columns] or [F.col("__id")] * ("__id" in docs.columns)
-                out = out.orderBy(*keys) if keys else out
-            out = out.limit(limit)
+        if limit is None:
+            out = compiled(parsed, docs, coll, resolve, table)
+        elif limit < 0:
+            raise BadRequest("a limit is not negative")
+        elif not ordered:
+            out = compiled(parsed, docs, coll, resolve, table).limit(limit)
+        else:
+            out = self._first(parsed, limit, docs, coll, resolve, table)
+        if as_json:
+            ids = ["__id"] if "__id" in docs.columns else []
+            own = F.col("document") if "document" in names else F.to_json(F.struct(*[f"`{n}`" for n in names if n != "__id"]))
+            return out.select(*ids, own.alias("document"))
         return out.select(*names)
 
+    def _first(self, plan: Plan, limit: int, docs: DataFrame, coll: Collection, resolve, table) -> DataFrame:
+        """The first documents of a plan: those of its branches in turn, each in insertion or key order."""
+        parts = []
+        for k, branch in enumerate(branches(plan)):
+            leaf = branch
+            while isinstance(leaf, Filter):
+                leaf = leaf.of
+            out = compiled(branch, docs, coll, resolve, table)
+            keys = [resolve(p)[0] for p in coll.indexes[leaf.index].paths if resolve(p)] if isinstance(leaf, IndexScan) else []
+            keys += [F.col(c) for c in ("__batch", "__place") if c in docs.columns] or [F.col("__id")] * ("__id" in docs.columns)
+            out = (out.orderBy(*keys) if keys else out).limit(limit)
+            parts.append((k, out))
+        if len(parts) == 1:
+            return parts[0][1]
+        turn = lambda k, df: df.withColumn("__turn", F.lit(k)).withColumn("__nth", F.monotonically_increasing_id())
+        return reduce(DataFrame.unionByName, [turn(k, df) for k, df in parts]).orderBy("__turn", "__nth").limit(limit)
+
     def get(self, db: str, name: str, doc_id: str) -> DataFrame:
         """The document of that id, in no rows or one; an unknown collection has none."""
         parse_doc_id(doc_id)
@@ -207,14 +273,15 @@ class Engine:
         return f"{self.root}/indexes/{db}/{name}/{index}"
 
     def _index_table(self, db: str, name: str, index: str) -> DataFrame | None:
-        own = self.attached.get(f"{db}.{name}")
-        if own is not None or not self._exists(path := self._index_path(db, name, index)):
+        if f"{db}.{name}" in self.attached:
             return None
-        return self.spark.read.parquet(path)
+        folders = self.catalog.collection(db, name).indexes[index].folders
+        return self.spark.read.parquet(*folders) if folders else None
 
-    def _exists(self, path: str) -> bool:
+    def _remove(self, path: str) -> None:
         where = self.store.jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+        with failures():
+            self.store.fs.delete(where, True)
 
     def _stored(self, db: str, name: str, coll: Collection) -> DataFrame:
         """All batches, with a column for each known field; older batches lack later ones."""
@@ -222,7 +289,7 @@ class Engine:
         schema = ", ".join(["__id string", "__batch int", "__place long", "document string", *leaves])
         if not coll.batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{self._path(db, name)}/{b}" for b in range(coll.batches)])
+        return self.spark.read.schema(schema).parquet(*[f"{f}/accepted" for f in dict.fromkeys(coll.folders)])
 
     def _source(self, db: str, name: str):
         """Documents, their collection, how paths resolve, and the columns that queries return."""

@@ -1,5 +1,12 @@
 """Errors of the engine."""
 
+from __future__ import annotations
+
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from py4j.protocol import Py4JJavaError
+
 
 class EngineError(RuntimeError):
     """Anything that isn't the request's fault."""
@@ -27,3 +34,12 @@ class ValidationError(ValueError):
 
 class SchemaConflict(RuntimeError):
     """The catalog changed between reading and writing it."""
+
+
+@contextmanager
+def failures() -> Iterator[None]:
+    """What goes wrong in the file system comes as an EngineError."""
+    try:
+        yield
+    except Py4JJavaError as e:
+        raise EngineError(str(e.java_exception)) from e

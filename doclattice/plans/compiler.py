@@ -14,7 +14,7 @@ from doclattice.functions.kinds import STRING
 from doclattice.functions.text import prefix_of
 from doclattice.operators.predicates import Resolve, condition
 from doclattice.operators.ranges import within
-from doclattice.plans.nodes import Bound, Filter, IndexScan, Plan, Scan
+from doclattice.plans.nodes import Bound, Filter, IndexScan, Plan, Scan, Union
 
 
 def _fields(scan: IndexScan, coll: Collection, resolve: Resolve) -> list[tuple[Column, str]] | None:
@@ -66,3 +66,12 @@ def compiled(plan: Plan, docs: DataFrame, coll: Collection, resolve: Resolve, ta
         own = table(plan.index)
         return docs.filter(within(fields, plan.bounds)) if own is None else _by_table(docs, plan, coll, own, fields)
     return reduce(DataFrame.union, [compiled(p, docs, coll, resolve, table) for p in plan.of])
+
+
+def branches(plan: Plan) -> list[Plan]:
+    """The plan's leaves in turn, each with the filters above it; all together are the plan."""
+    if isinstance(plan, Filter):
+        return [Filter(p, plan.where) for p in branches(plan.of)]
+    if isinstance(plan, Union):
+        return [b for p in plan.of for b in branches(p)]
+    return [plan]

@@ -52,13 +52,14 @@ FILTERS = {
     "ix_interval_compound": ("lineitem", '(ixscan (interval idx_lr (2 "N") (4 "A")))', "(l_linenumber > 2 or l_linenumber = 2 and l_returnflag >= 'N') and (l_linenumber < 4 or l_linenumber = 4 and l_returnflag <= 'A')"),
     "ix_sparse": ("sparse_orders", '(ixscan (ge idx_prio ("1")))', "prio is not null and prio >= '1'"),
     "ix_prefix": ("part", '(ixscan (eq idx_name ("small ring")))', "p_name = 'small ring'"),
-    "filter_union": ("customer", '(filter (union (scan (eq .c_mktsegment "BUILDING")) (scan (and (gt .c_acctbal 9000) (not (eq .c_mktsegment "BUILDING"))))) (eq .c_nationkey 3))', "(c_mktsegment = 'BUILDING' or c_acctbal > 9000) and c_nationkey = 3"),
+    "filter_union": ("customer", '(filter (union (scan (eq .c_mktsegment "BUILDING")) (scan (gt .c_acctbal 9000))) (eq .c_nationkey 3))', "c_nationkey = 3"),
     "filter_chain": ("lineitem", '(filter (filter (scan (ge .l_quantity 10)) (lt .l_tax 0.03)) (eq .l_linestatus "O"))', "l_quantity >= 10 and l_tax < cast(0.03 as double) and l_linestatus = 'O'"),
 }
 
 SOURCES = {
     "sparse_orders": "select *, nullif(o_orderpriority, '5-LOW') as prio from orders",
     "bool_orders": "select *, o_orderstatus = 'O' as open from orders",
+    "twice_customer": "select * from customer where c_mktsegment = 'BUILDING' union all select * from customer where c_acctbal > 9000",
     "nested_events": "select event_id, user_id, event_type, value, cast(json_extract(props, '$.k') as bigint) as k from events",
 }
 
@@ -73,6 +74,9 @@ def engine(spark: SparkSession, sf_dir: str) -> Engine:
     out.attach("db", "sparse_orders", read("orders").withColumn("prio", F.expr("nullif(o_orderpriority, '5-LOW')")))
     out.attach("db", "bool_orders", read("orders").withColumn("open", F.col("o_orderstatus") == "O"))
     out.attach("db", "nested_events", read("events").select("event_id", "user_id", "event_type", "value", F.from_json("props", "k bigint").alias("props")))
+    out.attach("db", "accented", read("part").select("p_partkey", F.concat(F.lit("é日"), F.col("p_name")).alias("name")), "p_partkey")
+    out.create_index("db", "accented", "idx_name", [(".name", 7)])
+    out.create_index("db", "orders", "idx_order", [".o_orderstatus", ".o_orderkey"])
     out.create_index("db", "customer", "idx_seg", [".c_mktsegment"])
     out.create_index("db", "lineitem", "idx_lr", [".l_linenumber", ".l_returnflag"])
     out.create_index("db", "part", "idx_size", [".p_size"])
@@ -105,6 +109,23 @@ def limit_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat(engine(spark, sf_dir).query("db", "orders", "(scan ())", limit=10))
 
 
+def limit_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(engine(spark, sf_dir).query("db", "orders", '(ixscan (ge idx_order ("O" 1000)))', limit=25))
+
+
+def limit_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _flat(engine(spark, sf_dir).query("db", "orders", '(filter (union (ixscan (ge idx_order ("P" 0))) (scan (le .o_orderkey 50))) (in .o_orderpriority "1-URGENT" "2-HIGH"))', limit=500))
+
+
+def documents_as_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = engine(spark, sf_dir).query("db", "part", "(scan (eq .p_size 7))", as_json=True)
+    return found.select("__id", F.get_json_object("document", "$.p_partkey").cast("long").alias("p_partkey"), F.get_json_object("document", "$.p_name").alias("p_name"))
+
+
+def multibyte_prefix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return engine(spark, sf_dir).index_entries("db", "accented", "idx_name")
+
+
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).get("db", "orders", "00000000" + f"{137:024x}")
 
@@ -126,6 +147,21 @@ def _inserted(spark: SparkSession, sf_dir: str) -> Engine:
     return out
 
 
+def inserted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of inserted documents: the schema's version, the batch, and the place in it."""
+    found = _inserted(spark, sf_dir).query("db", "events", "(scan (lt .props.k 20))")
+    return found.select("__id", F.get_json_object("document", "$.event_id").cast("long").alias("event_id"))
+
+
+def inline_index_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch that comes after the index was made is in the index's table."""
+    out = _inserted(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/events.parquet").filter("event_id <= 300").select((F.col("event_id") + 10**9).alias("place"), F.to_json(F.struct((F.col("event_id") + 10**9).alias("event_id"), "event_type", F.from_json("props", "k bigint").alias("props"))).alias("json"))
+    out.insert("db", "events", docs, order="place")
+    found = out.query("db", "events", '(ixscan (interval idx_k (10 "click") (30 "view")))', tables=True)
+    return found.select(F.get_json_object("document", "$.event_id").cast("long").alias("event_id"))
+
+
 def emergent_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _inserted(spark, sf_dir).fields("db", "events")
 
@@ -149,12 +185,20 @@ def validate_rejects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.insert("db", "ragged", REJECTED).rejected.select("place", "reason")
 
 
-OTHERS: dict[str, Query] = {f.__name__: f for f in (union_dup, union_nested, limit_ordered, get_by_id, index_entries, index_prefix_entries, emergent_schema, ingested_scan, ingested_index_table, validate_rejects)}
+OTHERS: dict[str, Query] = {f.__name__: f for f in (union_dup, union_nested, limit_ordered, limit_index, limit_union, documents_as_json, get_by_id, index_entries, index_prefix_entries, multibyte_prefix_entries, inserted_ids, inline_index_writes, emergent_schema, ingested_scan, ingested_index_table, validate_rejects)}
 _ID = "'00000000' || lpad(lower(hex({0})), 24, '0')"
 OTHER_SQL = {
     "union_dup": "select * from part where p_size <= 5 union all select * from part where p_size = 5",
     "union_nested": "select * from part where p_size = 1 union all select * from part where p_size <= 2 union all select * from part where p_size = 30 union all select * from part where p_size >= 30",
     "limit_ordered": "select * from orders order by o_orderkey limit 10",
+    "limit_index": "select * from orders where o_orderstatus > 'O' or o_orderstatus = 'O' and o_orderkey >= 1000 order by o_orderstatus, o_orderkey limit 25",
+    "limit_union": """select * exclude (turn, k) from (select *, 1 as turn, row_number() over (order by o_orderstatus, o_orderkey) as k from orders where o_orderstatus >= 'P' and o_orderpriority in ('1-URGENT', '2-HIGH')
+  union all select *, 2 as turn, o_orderkey as k from orders where o_orderkey <= 50 and o_orderpriority in ('1-URGENT', '2-HIGH')) order by turn, k limit 500""",
+    "documents_as_json": f"select {_ID.format('p_partkey')} as __id, p_partkey, p_name from part where p_size = 7",
+    "multibyte_prefix_entries": f"select 'é日' || substr(p_name, 1, 2) as k0, {_ID.format('p_partkey')} as __id from part",
+    "inserted_ids": """select '02000000' || '00000000' || lpad(lower(hex(event_id)), 16, '0') as __id, event_id from events where cast(json_extract(props, '$.k') as bigint) < 20""",
+    "inline_index_writes": """select case when late then event_id + 1000000000 else event_id end as event_id from (select *, cast(json_extract(props, '$.k') as bigint) as k, false as late from events
+  union all select *, cast(json_extract(props, '$.k') as bigint) as k, true as late from events where event_id <= 300) where (k > 10 or k = 10 and event_type >= 'click') and (k < 30 or k = 30 and event_type <= 'view')""",
     "get_by_id": f"select *, {_ID.format('o_orderkey')} as __id from orders where o_orderkey = 137",
     "index_entries": f"select c_mktsegment as k0, {_ID.format('c_custkey')} as __id from customer",
     "index_prefix_entries": f"select substr(p_name, 1, 4) as k0, {_ID.format('p_partkey')} as __id from part",
@@ -169,6 +213,7 @@ OTHER_SQL = {
 
 def _sql(name: str) -> str:
     coll, _, where = FILTERS[name]
+    coll = "twice_customer" if name == "filter_union" else coll  # the union keeps what both branches have
     return f"select * from ({SOURCES.get(coll, f'select * from {coll}')}) where {where}"
 
 

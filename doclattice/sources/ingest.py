@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import re
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,6 +18,7 @@ from doclattice.sources.shapes import Verdict, fold, shape
 
 #: Distinct shapes that a batch may have; more mean that it isn't what a schema can describe.
 MAX_SHAPES = 10_000
+BLANK = re.compile(r"[\x20\t\n\r]*")
 
 
 def json_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -22,6 +26,29 @@ def json_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter(F.trim("value") != "").select(F.col("value").alias("json"))
 
 
+def json_values(spark: SparkSession, path: str) -> DataFrame:
+    """Files with JSON values one after the other, with or without blanks between, each in the text it
+    has there. A file is read whole by one task; what can't be read ends it, as a value of its own that
+    no collection takes."""
+
+    def run(batches):
+        read = json.JSONDecoder().raw_decode
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                out, at = [], 0
+                while (at := BLANK.match(text, at).end()) < len(text):
+                    try:
+                        _, end = read(text, at)
+                    except ValueError:
+                        end = len(text)
+                    out.append(text[at:end])
+                    at = end
+                for i in range(0, len(out), 10_000):
+                    yield pa.RecordBatch.from_arrays([pa.array(out[i : i + 10_000], pa.string())], ["json"])
+
+    return spark.read.text(path, wholetext=True).mapInArrow(run, "json string")
+
+
 def numbered(docs: DataFrame, order: str | None = None) -> DataFrame:
     """place (a number that keeps the rows' order), json and its parsed value."""
     if "json" not in docs.columns:

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from doclattice import BadRequest, DocIdError, Engine, SchemaConflict, ValidationError
+from doclattice import BadRequest, DocIdError, Engine, EngineError, SchemaConflict, ValidationError
 from doclattice.functions.kinds import kind_of
 from doclattice.functions.text import byte_prefix
 from doclattice.operators.predicates import condition
@@ -71,18 +71,18 @@ def test_predicates_against_interpreter(spark):
 
 def test_validation_sequence(spark):
     e = Engine(spark)
-    e.create_collection("testdb", "testcol")
-    e.create_index("testdb", "testcol", "idx_foo", [".foo"])
-    e.create_index("testdb", "testcol", "idx_foo_barbaz", [(".foo", None), (".bar.baz", 0)])
-    docs = ["137", '{"foo": 137}', '{"foo": "bar"}', '{"bar": {"baz": "chlos"}}', '{"foo": 137, "bar": {"baz": 12.3}}', '{"foo": 138, "bar": {"baq": 12.3}}', '{"foo": 139, "bar": {"baz": "CHLOS", "baq": 12.3}}', '{"bar": {"baw": {"foo": true}}}']
-    out = e.insert("testdb", "testcol", docs)
+    e.create_collection("shop", "things")
+    e.create_index("shop", "things", "ix_one", [".foo"])
+    e.create_index("shop", "things", "ix_pair", [(".foo", None), (".bar.baz", 0)])
+    docs = ["137", '{"foo": 137}', '{"foo": "bar"}', '{"bar": {"baz": "plum"}}', '{"foo": 137, "bar": {"baz": 12.3}}', '{"foo": 138, "bar": {"baq": 12.3}}', '{"foo": 139, "bar": {"baz": "PLUM", "baq": 12.3}}', '{"bar": {"baw": {"foo": true}}}']
+    out = e.insert("shop", "things", docs)
     assert [r.place for r in out.rejected.orderBy("place").collect()] == [0, 2, 4]
-    assert {r.path: r.kind for r in e.fields("testdb", "testcol").collect()} == {".foo": "integer", ".bar.baz": "string", ".bar.baq": "float", ".bar.baw.foo": "boolean"}
-    coll = e.catalog.collection("testdb", "testcol")
+    assert {r.path: r.kind for r in e.fields("shop", "things").collect()} == {".foo": "integer", ".bar.baz": "string", ".bar.baq": "float", ".bar.baw.foo": "boolean"}
+    coll = e.catalog.collection("shop", "things")
     affected = [coll.affected(shape(s).leaves) for s in ("OBJECT<foo: BIGINT>", "OBJECT<bar: OBJECT<baz: STRING>>", "OBJECT<bar: OBJECT<baw: OBJECT<foo: BOOLEAN>>>")]
-    assert affected == [{"idx_foo", "idx_foo_barbaz"}, {"idx_foo_barbaz"}, set()]
+    assert affected == [{"ix_one", "ix_pair"}, {"ix_pair"}, set()]
     with pytest.raises(ValidationError, match="should have type integer"):
-        e.insert("testdb", "testcol", ['{"foo": "x"}'], strict=True)
+        e.insert("shop", "things", ['{"foo": "x"}'], strict=True)
 
 
 def test_rejected_documents_add_no_fields(spark):
@@ -202,6 +202,87 @@ def test_byte_prefix(spark):
         assert got == [None if s is None else s.encode()[:n].decode(errors="ignore") for s in ("héllo", "日本", "", None)]
 
 
+def test_two_writers(spark):
+    """The second of two writers from one version gets a conflict; the first one's documents stay."""
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    other, loaded = Engine(spark, e.root), e.catalog
+    e.insert("d", "c", ['{"a": 1}', '{"a": 2}'])
+    other.store.load, once = (lambda: loaded), other.store.load
+    save = other.store.save
+
+    def late(catalog, expected):
+        other.store.load = once
+        save(catalog, expected)
+
+    other.store.save = late
+    with pytest.raises(SchemaConflict):
+        other.insert("d", "c", ['{"a": "text"}'])
+    assert sorted(r.document for r in e.query("d", "c", "(scan ())").collect()) == ['{"a": 1}', '{"a": 2}']
+    folders = {f.getPath().getName() for f in e.store.fs.listStatus(e.store.jvm.org.apache.hadoop.fs.Path(f"{e.root}/collections/d/c"))}
+    assert folders == {f.split("/")[-1] for f in e.catalog.collection("d", "c").folders}
+    assert not e.store.fs.listStatus(e.store.jvm.org.apache.hadoop.fs.Path(f"{e.root}/staged"))
+    other.store.save = save
+    other.insert("d", "c", ['{"a": 3}'])
+    assert e.query("d", "c", "(scan (gt .a 0))").count() == 3
+
+
+def test_catalog_versions(spark):
+    """A version that another writer has put there is never replaced; a draft isn't read."""
+    e = Engine(spark)
+    for k in range(e.store.KEPT + 5):
+        e.create_collection("d", f"c{k}")
+    assert len(e.store.versions()) <= e.store.KEPT + 1 and e.catalog.version == e.store.KEPT + 5
+    stale = e.catalog
+    e.create_collection("d", "more")
+    with pytest.raises(SchemaConflict):
+        e._save(stale, 1)
+    assert "d.more" in e.catalog.collections
+
+
+def test_failures_are_the_engines(spark):
+    with pytest.raises(EngineError):
+        Engine(spark, "nosuchsystem://place/x").create_collection("d", "c")
+
+
+def test_compact(spark):
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    for k in range(4):
+        e.insert("d", "c", [f'{{"n": {k}}}', f'{{"k{k}": true}}'])
+    before = [tuple(r) for r in e.query("d", "c", "(scan ())", limit=100).collect()]
+    e.compact("d", "c")
+    assert [tuple(r) for r in e.query("d", "c", "(scan ())", limit=100).collect()] == before
+    e.insert("d", "c", ['{"n": 9}'])
+    assert [tuple(r) for r in e.query("d", "c", "(scan ())", limit=100).collect()][:-1] == before
+    assert e.query("d", "c", "(scan (ge .n 3))").count() == 2 and e.query("d", "c", "(scan (eq .k2 true))").count() == 1
+
+
+def test_ordered_limits(stored):
+    """Filters keep the order of what is below them, a union gives its branches in turn."""
+    e, docs = stored
+    key = lambda i: (docs[i]["n"], docs[i]["s"].encode(), i)
+    both = sorted((i for i, d in enumerate(docs) if "n" in d and "s" in d), key=key)
+    ids = [r.document for r in e.query("d", "c", "(scan ())", limit=1000).collect()]
+    got = lambda plan, n: [ids.index(r.document) for r in e.query("d", "c", plan, limit=n).collect()]
+    doc = lambda xs: [ids.index(ids[i]) for i in xs]  # noqa: E731  equal documents count as one
+    assert got("(filter (scan (ge .n 2)) (le .n 4))", 7) == doc([i for i, d in enumerate(docs) if 2 <= d.get("n", 0) <= 4][:7])
+    assert got("(ixscan (ge ix (1 \"apple\")))", 9) == doc([i for i in both if key(i)[:2] >= (1, b"apple")][:9])
+    assert got("(filter (ixscan (ge ix (1 \"apple\"))) (not (eq .s \"bean\")))", 9) == doc([i for i in both if key(i)[:2] >= (1, b"apple") and docs[i]["s"] != "bean"][:9])
+    first, second = [i for i, d in enumerate(docs) if d.get("n") == 6], [i for i in both if key(i)[:2] >= (5, b"")]
+    plan = "(union (scan (eq .n 6)) (ixscan (ge ix (5 \"\"))))"
+    for n in (0, 3, len(first), len(first) + 5, 10_000):
+        assert got(plan, n) == doc((first + second)[:n])
+    assert got(f"(filter {plan} (eq .o.t true))", 10_000) == doc([i for i in first + second if docs[i].get("o") == {"t": True}])
+
+
+def test_documents_as_json(spark):
+    e = Engine(spark)
+    e.attach("d", "part", spark.range(3).select(F.col("id").alias("size"), F.struct(F.col("id").alias("k")).alias("in")), "size")
+    got = e.query("d", "part", "(scan (gt .in.k 1))", as_json=True).collect()
+    assert [tuple(r) for r in got] == [("0" * 31 + "2", '{"size":2,"in":{"k":2}}')]
+
+
 def test_stream(spark, tmp_path):
     from doclattice.streaming.ingest import insert_stream
 
@@ -213,6 +294,16 @@ def test_stream(spark, tmp_path):
     insert_stream(e, "d", "c", docs, str(tmp_path / "check"), str(tmp_path / "rejected")).awaitTermination()
     assert e.query("d", "c", "(scan (ge .a 1))").count() == 2
     assert spark.read.parquet(str(tmp_path / "rejected")).count() == 1
+    # A failure after the insertion and before the stream's own checkpoint repeats the micro-batch.
+    for p in (tmp_path / "check" / "commits").iterdir():
+        p.unlink()
+    docs = spark.readStream.text(str(tmp_path / "in")).withColumnRenamed("value", "json")
+    insert_stream(e, "d", "c", docs, str(tmp_path / "check"), str(tmp_path / "rejected")).awaitTermination()
+    assert e.query("d", "c", "(scan (ge .a 1))").count() == 2
+    assert spark.read.parquet(str(tmp_path / "rejected")).count() == 1
+    (tmp_path / "in" / "b.txt").write_text('{"a": 3}\n')
+    insert_stream(e, "d", "c", docs, str(tmp_path / "check"), str(tmp_path / "rejected")).awaitTermination()
+    assert e.query("d", "c", "(scan (ge .a 1))").count() == 3
 
 
 def test_json_lines(spark, tmp_path):
@@ -220,3 +311,14 @@ def test_json_lines(spark, tmp_path):
 
     (tmp_path / "docs.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
     assert json_lines(spark, str(tmp_path / "docs.jsonl")).count() == 2
+
+
+def test_json_values(spark, tmp_path):
+    from doclattice.sources.ingest import json_values
+
+    (tmp_path / "docs.json").write_text('{"a": 1}{"a":\n 2}\n\n [1] "x"\t{"a": 3} {"b": ')
+    got = [r.json for r in json_values(spark, str(tmp_path / "docs.json")).collect()]
+    assert got == ['{"a": 1}', '{"a":\n 2}', "[1]", '"x"', '{"a": 3}', '{"b": ']
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    assert e.insert("d", "c", json_values(spark, str(tmp_path / "docs.json"))).rejected.count() == 3
