@@ -95,12 +95,18 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> None:
-    """Remove every scratch table; call it once results that read them are written."""
+def scratch_paths() -> list[str]:
+    """The scratch tables that are there, in the order in which they were written."""
+    return [path for _, path in _SCRATCH]
+
+
+def drop_stored(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Remove scratch tables (all, if none are named); call it once results that read them are written."""
     jvm = spark.sparkContext._jvm
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    while _SCRATCH:
-        _, path = _SCRATCH.pop()
+    gone = set(scratch_paths() if paths is None else paths)
+    _SCRATCH[:] = [x for x in _SCRATCH if x[1] not in gone]
+    for path in gone:
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(conf).delete(where, True)
 

@@ -297,3 +297,16 @@ def report(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, min_items: in
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE_SQL = r"""
+with d as (select row_number() over () as k, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from documents),
+b as (select cast(item_id as varchar) as item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as words from benchmark where item_id is not null),
+p as (select distinct item, n, array_to_string(words[i + 1:i + n], ' ') as phrase from (select *, unnest(range(len(words) - n + 1)) as i from (select *, least(len(words), 8) as n from b where len(words) > 0))),
+w as (select k, n, i, array_to_string(words[i + 1:i + n], ' ') as phrase from (select k, words, n, unnest(range(len(words) - n + 1)) as i from d, (select distinct n from p) where len(words) >= n)),
+m as (select k, i, w.n, item from w join p on w.n = p.n and w.phrase = p.phrase),
+h as (select k, count(*) as n_hit from (select distinct k, unnest(range(i, i + n)) as j from m) group by k),
+t as (select k, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct k, item from m) group by k)
+select doc_id, cast(len(words) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from d left join h using (k) left join t using (k)
+"""

@@ -6,22 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclattice.llm import lines, quality
+from doclattice.llm import contamination, lines, quality, substrings
 from doclattice.llm.bpe import op3_bpe_encode
-from doclattice.llm.contamination import op5_decontaminate
 from doclattice.llm.pii import op4_pii
 from doclattice.llm.secrets import op7_secret_scan
 from doclattice.llm.simhash import op10_simhash
-from doclattice.llm.substrings import op1_substring_dedup
 from doclattice.llm.tokens import op2_token_counts
 from doclattice.llm.toxicity import op8_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_substring_dedup": op1_substring_dedup,
+    "op1_substring_dedup": substrings.op1_substring_dedup,
     "op2_token_counts": op2_token_counts,
     "op3_bpe_encode": op3_bpe_encode,
     "op4_pii": op4_pii,
-    "op5_decontaminate": op5_decontaminate,
+    "op5_decontaminate": contamination.op5_decontaminate,
     "op6_quality_rules": quality.op6_quality_rules,
     "op7_secret_scan": op7_secret_scan,
     "op8_toxicity": op8_toxicity,
@@ -30,6 +28,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_substring_dedup": substrings.ORACLE_SQL,
+    "op5_decontaminate": contamination.ORACLE_SQL,
     "op6_quality_rules": quality.ORACLE_SQL,
     "op9_line_dedup": lines.ORACLE_SQL,
 }

@@ -579,3 +579,22 @@ def report(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+#: Windows are compared by their MD5; bytes are pairs of hexadecimal digits.
+ORACLE_SQL = r"""
+with d as (select row_number() over () as k, doc_id, hex(encode(coalesce(text, ''))) as x, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '') as words from documents),
+w as (select k, unnest(range(length(x) // 2 - 399)) as i, x from d where length(x) >= 800),
+h as (select k, i, md5_number(substr(x, 2 * i + 1, 800)) as h from w),
+r as (select k, i from (select k, i, count(*) over (partition by h) as n from h) where n > 1),
+s as (select k, i, coalesce(i > max(i) over (partition by k order by i rows between unbounded preceding and 1 preceding) + 400, true) as new from r),
+g as (select k, i, sum(new::int) over (partition by k order by i rows unbounded preceding) as g from s),
+spans as (select k, g, min(i) as a, max(i) + 400 as b from g group by k, g),
+cuts as (select k, b, lag(b, 1, 0) over (partition by k order by a) as begin, a as "end", b - a as size from spans),
+kept as (select k, string_agg(substr(x, 2 * begin + 1, 2 * ("end" - begin)), '' order by begin) || substr(any_value(x), 2 * max(b) + 1) as x, sum(size) as n_removed, count(*) as n_spans from cuts join d using (k) group by k),
+pw as (select k, i, md5_number(array_to_string(words[i + 1:i + 51], ' ')) as h from (select k, words, unnest(range(len(words) - 50)) as i from d where len(words) > 50)),
+pr as (select k, i from (select k, i, count(*) over (partition by h) as n from pw) where n > 1),
+ps as (select k, count(*) as n_passages from (select k, coalesce(i > lag(i) over (partition by k order by i) + 51, true) as new from pr) where new group by k)
+select doc_id, cast(length(d.x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256, coalesce(n_passages, 0) as n_passages
+from d left join kept using (k) left join ps using (k)
+"""

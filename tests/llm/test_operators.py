@@ -121,6 +121,11 @@ def test_substrings(spark, options):
         spark.conf.set(batch, was)
 
 
+def test_substrings_sql():
+    rows = repeat_rows() + passage_rows()
+    same(sql([(*r, "en", "s") for r in rows], substrings.ORACLE_SQL), substrings_reference(rows))
+
+
 def test_substrings_need_a_bucket(spark):
     with pytest.raises(ValueError, match="hot"):
         substrings.report(frame(spark, [(1, "x")]), hot=0)
@@ -363,6 +368,7 @@ def test_decontamination(spark, monkeypatch):
     docs, bench = frame(spark, rows), spark.createDataFrame(items, "item_id int, text string")
     expected = contamination_reference(rows, items)
     same(contamination.report(docs, bench).collect(), expected)
+    same(sql([(*r, "en", "s") for r in rows], contamination.ORACLE_SQL, items), expected)
     kept = contamination.decontaminated(docs, bench)
     assert kept.columns == docs.columns
     same([r[:2] for r in kept.collect()], [x for x, e in zip(rows, expected) if not e[-1]])
@@ -396,8 +402,11 @@ def test_proximity_ends_with_the_document(spark):
 # 6, 9
 
 
-def sql(rows, text, docs="documents"):
+def sql(rows, text, benchmark=()):
     con = duckdb.connect()
+    con.execute("create table benchmark (item_id bigint, text varchar)")
+    if benchmark:
+        con.executemany("insert into benchmark values (?, ?)", benchmark)
     con.execute("create table documents (doc_id bigint, text varchar, lang varchar, source varchar)")
     con.executemany("insert into documents values (?, ?, ?, ?)", rows)
     rel = con.sql(text)
