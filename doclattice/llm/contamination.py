@@ -4,7 +4,8 @@
 documents): the sorted list of token positions of each word, and where its documents lie. A test
 phrase is found by taking the list of its rarest word and intersecting it with the offset-adjusted
 lists of the other words, from rare to common, until it is empty or all words are met; proximity
-matches likewise, with every other word at most so many words away in the same document. As matches
+matches are places of a phrase's first word with every other word at most so many words away in the
+same document, by the same lists in the same order. As matches
 never cross documents, shards are searched where they lie, without a shuffle, by each block of the
 benchmark (of a bounded size) in turn; texts aren't read again.
 
@@ -149,10 +150,10 @@ class Shard:
         return at
 
     def near(self, phrase: np.ndarray, within: int) -> np.ndarray:
-        """Positions of the rarest word with every other word at most `within` words away."""
-        order = np.argsort(self.count[phrase], kind="stable")
-        at = self.postings(phrase[order[0]])
-        for k in order[1:]:
+        """Positions of the phrase's first word with every other word at most `within` words away; the
+        rarest word is looked for first."""
+        at = self.postings(phrase[0])
+        for k in np.argsort(self.count[phrase], kind="stable"):
             if not len(at):
                 break
             other = self.postings(phrase[k])
@@ -254,7 +255,7 @@ def _vocabulary(items: DataFrame, total: int) -> frozenset[bytes] | None:
 def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int | None = None) -> DataFrame:
     """For each document: its number of words, the word ranges [start, end) that test phrases cover,
     and the ids of the items whose phrases occur. within: proximity matches instead of exact
-    phrases; then a range is the position of the phrase's rarest word."""
+    phrases; then a range is the position of the phrase's first word."""
     items, total = _items(benchmark)
     n_blocks = 1 + total // BLOCK_BYTES
     stored_index = index(docs, _vocabulary(items, total))

@@ -81,8 +81,8 @@ def suffixes(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                got = [r for x in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True) if (r := rows(*x)) is not None]
+            for i in range(0, len(batch), 64):
+                got = [r for x in zip(*(c.to_pylist() for c in batch.slice(i, 64).columns), strict=True) if (r := rows(*x)) is not None]
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], [*PLACE, "a", "b", "n"])
 

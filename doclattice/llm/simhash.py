@@ -15,7 +15,7 @@ alternating large-star and small-star steps on the remaining links.
 `deduplicated` links texts whose sets of shingles have a Jaccard similarity of at least `least`. A
 fingerprint only estimates that, so the sets themselves are compared there: texts that agree in all
 minima of some band are candidates, and every pair of a cell of candidates that isn't joined yet is
-verified on the sets. A pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands.
+verified on the sets; large cells are dealt to parts. A pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands.
 
 Nulls: a null text has no words; texts without words have fingerprint zero and link like any other.
 Repeated rows are each answered, and a null doc_id is never a component's id unless it is alone.
@@ -45,6 +45,8 @@ LANES = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bit
 MULTIPLIER = U(0x9E3779B97F4A7C15)
 #: Members up to which a cell is compared pair by pair.
 SMALL_CELL = 256
+#: Members of a cell of shingle sets that are compared in one task.
+CELL = 1000
 
 
 @dataclass(frozen=True)
@@ -405,12 +407,14 @@ def _similar(names: list[bytes], sets: list[np.ndarray], least: float, forest: F
             flat, todo = flat[np.repeat(~good, n)], todo[~good]
 
 
-def _verified(near: Near):
+def _verified(near: Near, keys: int):
+    """Links among rows (keys, fp, shingles) that agree in their keys and follow each other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest = Forest()
-        rows = ((c, f, s) for batch in batches for c, f, s in zip(*(x.to_pylist() for x in batch.columns), strict=True))
-        for _, members in itertools.groupby(rows, key=lambda x: x[0]):
-            cell = {f: s for _, f, s in members}
+        rows = (x for batch in batches for x in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        for _, members in itertools.groupby(rows, key=lambda x: x[:keys]):
+            cell = {x[-2]: x[-1] for x in members}
             if len(cell) > 1:
                 _similar(list(cell), [np.frombuffer(s, U) for s in cell.values()], near.least, forest)
             if len(forest.up) > 200_000:
@@ -425,18 +429,42 @@ def _verified(near: Near):
     return run
 
 
-def similar_links(docs: DataFrame, distinct: DataFrame, near: Near) -> DataFrame:
+def similar_links(docs: DataFrame, distinct: DataFrame, near: Near, most: int = CELL) -> DataFrame:
     """Links (a, b) between names of shingle sets, that hold every component of similar sets together.
-    Cells with the same members are verified once."""
+    Cells with the same members are verified once. A cell of more than `most` members is dealt to
+    parts, each cell in its own way; sets of different parts are mostly held together by other cells
+    then. Where a cell's members are still in several components, those outside its largest one meet
+    every part of it, so no similar pair stays apart; what a task holds is bounded by twice `most`."""
+    n = partitions(docs.sparkSession)
     cells = distinct.select("fp", F.explode("cells").alias("cell"))
     groups = cells.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("s")).filter("n > 1")
-    chosen = groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell")
-    live = stored(cells.join(chosen, "cell"))
+    chosen = stored(groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell", F.col("n").alias("copies"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
+    part = F.pmod(F.xxhash64("cell", "fp"), F.col("parts")).cast("int").alias("part")
+    live = stored(counted(cells, chosen, ["cell"], distinct.count() * near.bands).select("cell", "fp", "parts", part))
     ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select("first.*").withColumnsRenamed({"doc_id": "_id", "key": "_key"}).distinct())
     few = docs.select("doc_id", "text").hint("merge").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_semi")
-    dealt = live.hint("merge").join(shingle_sets(few, near).dropDuplicates(["fp"]), "fp").select("cell", "fp", "shingles")
-    dealt = dealt.repartition(partitions(docs.sparkSession), "cell").sortWithinPartitions("cell")
-    return dealt.mapInArrow(_verified(near), "a binary, b binary")
+
+    def verified(rows: DataFrame, *keys: str) -> DataFrame:
+        sets = shingle_sets(few, near).dropDuplicates(["fp"])
+        dealt = rows.hint("merge").join(sets, "fp").select(*keys, "fp", "shingles").repartition(n, *keys).sortWithinPartitions(*keys)
+        return stored(dealt.mapInArrow(_verified(near, len(keys)), "a binary, b binary"))
+
+    links = verified(live, "cell", "part")
+    if not chosen.filter("parts > 1").head(1):
+        return links
+    roots = connected(links)
+    large = live.filter("parts > 1").join(roots, F.col("fp") == F.col("node"), "left").select("cell", "fp", "parts", "part", F.coalesce("root", "fp").alias("root"))
+    large = stored(large)
+    trees = large.groupBy("cell", "root").agg(F.count("*").alias("n"))
+    split = trees.groupBy("cell").agg(F.max_by("root", F.struct("n", "root")).alias("largest"), F.count("*").alias("trees"), F.sum("n").alias("copies"), F.max("n").alias("most"))
+    split = stored(split.filter("trees > 1").select("cell", "largest", "copies", F.ceil((F.col("copies") - F.col("most")) / most).cast("int").alias("chunks")))
+    if not split.head(1):
+        return links
+    apart = stored(counted(large, split, ["cell"], large.count()))
+    chunk = F.pmod(F.xxhash64("fp", "cell"), F.col("chunks")).cast("int")
+    probes = apart.filter("root <> largest").select("cell", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), chunk.alias("chunk"), "fp")
+    members = apart.select("cell", "part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), "fp")
+    return links.unionByName(verified(probes.unionByName(members).distinct(), "cell", "part", "chunk"))
 
 
 def kept_keys(docs: DataFrame, near: Near = NEAR) -> DataFrame:

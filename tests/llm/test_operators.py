@@ -396,7 +396,24 @@ def test_proximity_ends_with_the_document(spark):
     docs = frame(spark, [(1, "alpha"), (2, "beta x"), (3, "gamma"), (4, "beta alpha"), (5, "gamma " + "x " * 40 + "alpha beta")], parts=1)
     for within in (10, 41, 100):
         got = {r.doc_id: list(r["items"]) for r in contamination.matches(docs, bench, within=within).collect()}
-        assert got == {1: [], 2: [], 3: [], 4: [], 5: ["i"] if within > 41 else []}
+        assert got == {1: [], 2: [], 3: [], 4: [], 5: ["i"] if within >= 41 else []}
+
+
+def test_proximity_by_brute_force(spark, monkeypatch):
+    """Whatever documents lie in a shard together."""
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choice("abcdefgh") for _ in range(r.randint(0, 40)))) for i in range(60)]
+    items = [(i, " ".join(r.choice("abcdefghi") for _ in range(r.randint(1, 5)))) for i in range(40)]
+    bench = spark.createDataFrame(items, "item_id int, text string")
+    expected = {}
+    for d, t in rows:
+        w = t.split()
+        near = lambda p, x: x in w[max(0, p - 4) : p + 5]
+        expected[d] = sorted(str(i) for i, t in items if any(w[p] == t.split()[0] and all(near(p, x) for x in t.split()) for p in range(len(w))))
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(contamination, "SHARD_BYTES", size)
+        got = {x.doc_id: list(x["items"]) for x in contamination.matches(frame(spark, rows), bench, within=4).collect()}
+        assert got == expected
 
 
 # 6, 9
@@ -790,6 +807,42 @@ def test_near_copies_by_brute_force(spark):
     assert 80 < len(joined) < 160
 
 
+def test_large_cells_lose_no_link(spark):
+    """Cells that are dealt to parts, with sets outside their largest component, give what whole cells give."""
+    r = random.Random(23)
+    word = lambda: "".join(r.choice("aeinorsthlmd") for _ in range(r.randint(3, 9)))
+    rows = []
+    for g in range(3):
+        base = [word() for _ in range(120)]
+        for k in range(60):
+            w = list(base)
+            for _ in range(r.choice((0, 1, 2, 3, 6))):
+                w[r.randrange(len(w))] = word()
+            rows.append((100 * g + k, " ".join(w)))
+    near = simhash.Near(bands=6, rows=2)
+    docs = frame(spark, rows)
+    sets = {d: {tuple(t.split()[i : i + 5]) for i in range(116)} for d, t in rows}
+    label = {d: d for d in sets}
+    for _ in range(6):
+        for a in sets:
+            for b in sets:
+                if label[b] > label[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]):
+                    label[b] = label[a]
+    marked = simhash.sketches(docs, near)
+    from pyspark.sql import functions as F
+
+    distinct = marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first"), F.first("cells").alias("cells")).cache()
+    roots = {}
+    for most in (1000, 7, 3):
+        found = simhash.connected(simhash.similar_links(docs, distinct, near, most))
+        roots[most] = sorted((bytes(x.node), bytes(x.root)) for x in found.collect())
+    assert roots[7] == roots[3] == roots[1000]
+    root = dict(roots[3])
+    tree = {x.doc_id: root.get(bytes(x.fp), bytes(x.fp)) for x in marked.collect()}
+    assert len(rows) > len(set(label.values())) > 3
+    assert {frozenset(d for d in tree if tree[d] == x) for x in tree.values()} == {frozenset(d for d in label if label[d] == x) for x in label.values()}
+
+
 def test_similar_members_of_a_cell():
     r = np.random.default_rng(4)
     sets = []
