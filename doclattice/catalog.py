@@ -17,6 +17,8 @@ class Index:
     ready: bool = False
     #: Batches of the collection that the index table has.
     batches: int = 0
+    #: When a worker last took the index's building on (seconds), 0 if none is at it.
+    locked: float = 0.0
     #: Folders of the index table, in the order in which they were added.
     folders: list[str] = field(default_factory=list)
 
@@ -67,7 +69,7 @@ class Catalog:
         raw = json.loads(text)
         found = {}
         for name, c in raw["collections"].items():
-            indexes = {n: Index([tuple(f) for f in i["fields"]], i["ready"], i["batches"], i["folders"]) for n, i in c["indexes"].items()}
+            indexes = {n: Index([tuple(f) for f in i["fields"]], i["ready"], i["batches"], i["locked"], i["folders"]) for n, i in c["indexes"].items()}
             found[name] = Collection(c["fields"], indexes, c["folders"], {k: tuple(v) for k, v in c["streams"].items()})
         return cls(raw["version"], found)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import tempfile
+import time
 import uuid
 from dataclasses import dataclass
 from functools import reduce
@@ -14,13 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doclattice.catalog import Catalog, Collection, Index, Store
-from doclattice.errors import BadRequest, EngineError, ValidationError, failures
+from doclattice.errors import BadRequest, EngineError, SchemaConflict, ValidationError, failures
 from doclattice.functions.kinds import SQL_TYPE, STRING, kind_of_type
 from doclattice.functions.text import byte_prefix, parse_doc_id
+from doclattice.operators.legacy import legacy_condition
 from doclattice.plans.compiler import branches, compiled
 from doclattice.plans.nodes import Filter, IndexScan, Plan, parse_plan
 from doclattice.sources.ingest import numbered, validated
 
+#: Batches of a collection that a step of an index's building takes.
+BACKFILL = 1000
+
 
 @dataclass
 class Inserted:
@@ -106,25 +111,55 @@ class Engine:
             self.refresh_index(db, name, index)
 
     def refresh_index(self, db: str, name: str, index: str) -> None:
-        """Bring the index's table up to date and make the index ready. Batches that it has are not
-        read again; a field that is unknown so far is missing everywhere."""
+        """Bring the index's table up to date and make the index ready. Batches are taken BACKFILL at a
+        time, and the catalog tells after each step how far the table is: batches that it has are not
+        read again, also after a failure. A field that is unknown so far is missing everywhere."""
         if (own := self.attached.get(f"{db}.{name}")) is not None:
             own.coll.indexes[index].ready = True
             return
-        catalog = self.catalog
-        coll = catalog.collection(db, name)
-        if index not in coll.indexes:
-            raise BadRequest(f"no index {index}")
-        entry = coll.indexes[index]
-        if entry.batches < coll.batches and all(p in coll.fields for p in entry.paths):
-            docs = self._stored(db, name, coll).filter(F.col("__batch") >= entry.batches)
-            rows = self._entries(docs, entry, lambda p: (F.col(coll.column(p)), coll.fields[p]))
-            keys = [f"k{i}" for i in range(len(entry.fields))]
-            folder = f"{self._index_path(db, name, index)}/{uuid.uuid4().hex}"
-            rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "__id").write.parquet(folder)
-            entry.folders.append(folder)
-        entry.batches, entry.ready = coll.batches, True
-        self._save(catalog, 1)
+        while True:
+            catalog = self.catalog
+            coll = catalog.collection(db, name)
+            if index not in coll.indexes:
+                raise BadRequest(f"no index {index}")
+            entry = coll.indexes[index]
+            upto = min(coll.batches, entry.batches + BACKFILL)
+            if entry.batches < upto and all(p in coll.fields for p in entry.paths):
+                docs = self._stored(db, name, coll, entry.batches, upto)
+                rows = self._entries(docs, entry, lambda p: (F.col(coll.column(p)), coll.fields[p]))
+                keys = [f"k{i}" for i in range(len(entry.fields))]
+                folder = f"{self._index_path(db, name, index)}/{uuid.uuid4().hex}"
+                rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "__id").write.parquet(folder)
+                entry.folders.append(folder)
+            entry.batches = upto
+            entry.ready = entry.ready or upto == coll.batches
+            entry.locked = time.time() if upto < coll.batches else 0.0
+            self._save(catalog, 1)
+            if upto == coll.batches:
+                return
+
+    def build_pending(self, timeout: float = 10.0) -> list[tuple[str, str, str]]:
+        """Build the indexes that aren't ready and that no other worker has taken within `timeout`
+        seconds; those that were built are returned. A worker takes an index by its mark in the
+        catalog, which only one of several gets saved."""
+        built = []
+        for full, coll in self.catalog.collections.items():
+            db, name = full.split(".", 1)
+            for index, entry in coll.indexes.items():
+                if entry.ready or time.time() - entry.locked < timeout:
+                    continue
+                try:
+                    catalog = self.catalog
+                    mine = catalog.collections[full].indexes[index]
+                    if mine.ready or time.time() - mine.locked < timeout:
+                        continue
+                    mine.locked = time.time()
+                    self._save(catalog, 1)
+                    self.refresh_index(db, name, index)
+                except SchemaConflict:
+                    continue  # another writer was first; the index's turn comes again
+                built.append((db, name, index))
+        return built
 
     # -- writing -------------------------------------------------------------------------------
 
@@ -193,16 +228,19 @@ class Engine:
 
     # -- reading -------------------------------------------------------------------------------
 
-    def query(self, db: str, name: str, plan: str | None = None, limit: int | None = None, query: str | None = None, ordered: bool = True, tables: bool = False, as_json: bool = False) -> DataFrame:
+    def query(self, db: str, name: str, plan: str | None = None, limit: int | None = None, query: str | None = None, ordered: bool = True, tables: bool = False, as_json: bool = False, legacy: bool = False) -> DataFrame:
         """The documents of a plan. limit: at most so many, the first in the plan's order (insertion
         or index keys; a union's branches in turn) unless ordered is false. tables: index scans read
         the index's own table. as_json: __id and the document as JSON text, for attached collections
-        too. query: a bare predicate is not supported."""
-        if query is not None:
+        too. query: a bare predicate; it is only supported in the older dialect, with legacy=True."""
+        if query is not None and not legacy:
             raise NotImplementedError("a query without a plan is not supported")
-        if plan is None:
-            raise BadRequest("a plan is needed")
+        if (plan is None) == (query is None):
+            raise BadRequest("either a plan or a query is needed")
         docs, coll, resolve, names = self._source(db, name)
+        if query is not None:
+            known = lambda p: (F.col("__id"), STRING) if p == ".__id" and "__id" in docs.columns else resolve(p)
+            docs, plan = docs.filter(legacy_condition(query, known)), "(scan ())"
         parsed = parse_plan(plan)
         table = lambda index: self._index_table(db, name, index) if tables else None
         if limit is None:
@@ -283,13 +321,15 @@ class Engine:
         with failures():
             self.store.fs.delete(where, True)
 
-    def _stored(self, db: str, name: str, coll: Collection) -> DataFrame:
-        """All batches, with a column for each known field; older batches lack later ones."""
+    def _stored(self, db: str, name: str, coll: Collection, begin: int = 0, end: int | None = None) -> DataFrame:
+        """Batches (all, or from begin to before end), with a column for each known field; older
+        batches lack later ones."""
         leaves = [f"f{i} {SQL_TYPE[k]}" for i, k in enumerate(coll.fields.values())]
         schema = ", ".join(["__id string", "__batch int", "__place long", "document string", *leaves])
         if not coll.batches:
             return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*[f"{f}/accepted" for f in dict.fromkeys(coll.folders)])
+        docs = self.spark.read.schema(schema).parquet(*[f"{f}/accepted" for f in dict.fromkeys(coll.folders[begin:end])])
+        return docs if end is None else docs.filter(F.col("__batch").between(begin, end - 1))
 
     def _source(self, db: str, name: str):
         """Documents, their collection, how paths resolve, and the columns that queries return."""

@@ -126,6 +126,20 @@ def multibyte_prefix_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).index_entries("db", "accented", "idx_name")
 
 
+LEGACY = {
+    "legacy_ne": ("sparse_orders", '(ne .prio "1-URGENT")', "prio is distinct from '1-URGENT'"),
+    "legacy_fields": ("lineitem", "(gt .l_quantity .l_suppkey)", "l_quantity > l_suppkey"),
+    "legacy_in_list": ("part", '(and (in .p_size (3 "x" 7)) (not (eq .p_brand "Brand#3")))', "p_size in (3, 7) and p_brand <> 'Brand#3'"),
+    "legacy_bool_order": ("bool_orders", "(gt .open false)", "open"),
+    "legacy_id": ("part", '(eq .__id "000000000000000000000000000000ff")', "p_partkey = 255"),
+}
+
+
+def _legacy(name: str) -> Query:
+    coll, query, _ = LEGACY[name]
+    return lambda spark, sf_dir: _flat(engine(spark, sf_dir).query("db", coll, query=query, legacy=True))
+
+
 def get_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).get("db", "orders", "00000000" + f"{137:024x}")
 
@@ -217,5 +231,10 @@ def _sql(name: str) -> str:
     return f"select * from ({SOURCES.get(coll, f'select * from {coll}')}) where {where}"
 
 
-QUERIES: dict[str, Query] = {name: _filter(name) for name in FILTERS} | OTHERS
-ORACLE_SQL: dict[str, str] = {name: _sql(name) for name in FILTERS} | OTHER_SQL
+def _legacy_sql(name: str) -> str:
+    coll, _, where = LEGACY[name]
+    return f"select * from ({SOURCES.get(coll, f'select * from {coll}')}) where {where}"
+
+
+QUERIES: dict[str, Query] = {name: _filter(name) for name in FILTERS} | {name: _legacy(name) for name in LEGACY} | OTHERS
+ORACLE_SQL: dict[str, str] = {name: _sql(name) for name in FILTERS} | {name: _legacy_sql(name) for name in LEGACY} | OTHER_SQL

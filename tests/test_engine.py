@@ -322,3 +322,64 @@ def test_json_values(spark, tmp_path):
     e = Engine(spark)
     e.create_collection("d", "c")
     assert e.insert("d", "c", json_values(spark, str(tmp_path / "docs.json"))).rejected.count() == 3
+
+
+def test_older_dialect(spark):
+    """Cases of both dialects' differences, each with the documents for which it holds."""
+    from doclattice.operators.legacy import referred_fields
+
+    docs = [{"n": 3, "f": 3.0, "s": "plum", "b": True}, {"n": 4, "f": 3.5, "s": "apple", "b": False, "o": {"s": "apple"}}, {"s": "x"}]
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    e.insert("d", "c", docs)
+    ids = [r["__id"] for r in e.query("d", "c", "(scan ())", limit=9).collect()]
+    cases = {
+        "(eq .n .f)": [0], "(ne .n .f)": [1, 2], "(eq .s .o.s)": [1], "(gt .n .f)": [1], "(ne .n 3)": [1, 2], "(in .n (1 3 \"x\"))": [0], "(in .s (\"x\" \"plum\"))": [0, 2],
+        "(in .n 3)": [], "(ge .b false)": [0, 1], "(gt .b false)": [0], f'(eq .__id "{ids[2]}")': [2], f'(ne .__id "{ids[2]}")': [0, 1], "(eq 1 1.0)": [0, 1, 2], "(lt 2 1)": [],
+        "true": [0, 1, 2], "false": [], "nil": [], "#f": [], "7": [0, 1, 2], '"text"': [0, 1, 2], "word": [0, 1, 2], "()": [0, 1, 2], "(not (eq .n 3) whatever)": [1, 2],
+        "(and (le .n 4) true)": [0, 1], "(or false (eq .s 5) (eq .s \"x\"))": [2], "(gt .s 5)": [], "(lt .nope 5)": [], "(not (lt .nope 5))": [0, 1, 2],
+    }
+    for text, expected in cases.items():
+        got = e.query("d", "c", query=text, legacy=True, limit=9).collect()
+        assert [ids.index(r["__id"]) for r in got] == expected, text
+    for bad in ("(and true)", "(in .n (1) (2))", "(nope .n 1)", "(eq .n)", "((eq) 1)", "(eq .n (1))"):
+        with pytest.raises(BadRequest):
+            e.query("d", "c", query=bad, legacy=True)
+    assert referred_fields('(and (eq .s "a") (in .o.s (1 2)) (not .n))') == {".s", ".o.s", ".n"}
+
+
+def test_worker_builds_indexes(spark, monkeypatch):
+    """In steps, from where another one stopped; an index that a worker has just taken is left to it."""
+    import threading
+    import time
+
+    from doclattice import engine as module
+    from doclattice.streaming.worker import run_worker
+
+    monkeypatch.setattr(module, "BACKFILL", 2)
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    for k in range(5):
+        e.insert("d", "c", [f'{{"n": {k}}}', f'{{"n": {k + 10}}}'])
+    e.create_index("d", "c", "ix", [".n"], build=False)
+    catalog = e.catalog
+    catalog.collection("d", "c").indexes["ix"].locked = time.time()
+    e._save(catalog, 1)
+    assert e.build_pending(timeout=1000) == []
+    failing, n = Engine(spark, e.root), []
+    entries = failing._entries
+    failing._entries = lambda *a: n.append(1) or (entries(*a) if len(n) < 2 else 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        failing.build_pending(timeout=0)
+    assert e.catalog.collection("d", "c").indexes["ix"].batches == 2
+    stop = threading.Event()
+    t = threading.Thread(target=run_worker, args=(e, stop, 0.1, 0))
+    t.start()
+    for _ in range(300):
+        if e.catalog.collection("d", "c").indexes["ix"].ready:
+            break
+        time.sleep(0.1)
+    stop.set()
+    t.join()
+    assert len(e.catalog.collection("d", "c").indexes["ix"].folders) == 3
+    assert e.query("d", "c", "(ixscan (ge ix (3)))", tables=True).count() == 7
