@@ -186,7 +186,7 @@ class Engine:
         try:
             numbered(docs, order).write.parquet(staged)
             rows = self.spark.read.parquet(staged)
-            batch = validated(rows, coll, catalog.version, coll.batches)
+            batch = validated(rows, coll, catalog.version, coll.batches, f"{staged}-shapes")
             if strict and (bad := batch.rejected.orderBy("place").first()):
                 raise ValidationError(bad["reason"])
             batch.accepted.write.parquet(f"{folder}/accepted")
@@ -199,6 +199,7 @@ class Engine:
             saved = True
         finally:
             self._remove(staged)
+            self._remove(f"{staged}-shapes")
             if not saved:
                 self._remove(folder)
         for index, entry in coll.indexes.items():

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from dataclasses import dataclass
@@ -14,9 +15,9 @@ from doclattice.catalog import Collection
 from doclattice.errors import BadRequest
 from doclattice.functions.kinds import SQL_TYPE, STRING
 from doclattice.functions.text import doc_id
-from doclattice.sources.shapes import Verdict, fold, shape
+from doclattice.sources.shapes import fold, shape
 
-#: Distinct shapes that a batch may have; more mean that it isn't what a schema can describe.
+#: Distinct shapes that are judged at once; the verdicts of so many are broadcast.
 MAX_SHAPES = 10_000
 BLANK = re.compile(r"[\x20\t\n\r]*")
 
@@ -75,26 +76,34 @@ def _leaf(path: str, kind: str) -> Column:
 class Batch:
     accepted: DataFrame
     rejected: DataFrame
-    verdicts: list[Verdict]
     fields: dict[str, str]
     changes: int
 
 
-def validated(rows: DataFrame, coll: Collection, version: int, batch: int) -> Batch:
+def validated(rows: DataFrame, coll: Collection, version: int, batch: int, scratch: str) -> Batch:
     """Split rows (place, json) into those the collection takes, with ids and leaves, and the others,
-    with the reason. Only distinct shapes come to the driver."""
+    with the reason. Only distinct shapes come to the driver, MAX_SHAPES at a time; where there are
+    more, their verdicts are written to the folder `scratch` and joined from there."""
     docs = parsed(rows)
-    shapes = docs.groupBy("shape").agg(F.min("place").alias("first")).orderBy("first").limit(MAX_SHAPES + 1).collect()
-    if len(shapes) > MAX_SHAPES:
-        raise BadRequest(f"over {MAX_SHAPES} distinct shapes in one batch")
-    verdicts, fields = fold([shape(s["shape"]) for s in shapes], coll.fields)
     spark = rows.sparkSession
-    told = spark.createDataFrame([(s["shape"], v.error) for s, v in zip(shapes, verdicts, strict=True)], "told string, error string")
-    joined = docs.join(F.broadcast(told), docs["shape"].eqNullSafe(told["told"])).drop("told")
+    ordered = docs.groupBy("shape").agg(F.min("place").alias("first")).orderBy("first")
+    fields, starts, found = coll.fields, [], ordered.toLocalIterator()
+    schema, wrote, told = "told string, error string", False, None
+    while chunk := list(itertools.islice(found, MAX_SHAPES)):
+        judged, fields = fold([shape(s["shape"]) for s in chunk], fields)
+        starts += [s["first"] for s, v in zip(chunk, judged, strict=True) if v.new]
+        part = spark.createDataFrame([(s["shape"], v.error) for s, v in zip(chunk, judged, strict=True)], schema)
+        if not wrote and len(chunk) < MAX_SHAPES:
+            told = F.broadcast(part)
+            break
+        part.write.mode("append").parquet(scratch)
+        wrote = True
+    if told is None:
+        told = spark.read.schema(schema).parquet(scratch) if wrote else spark.createDataFrame([], schema)
+    joined = docs.join(told, docs["shape"].eqNullSafe(told["told"])).drop("told")
     rejected = joined.filter("error is not null").select("place", "json", F.col("error").alias("reason"))
-    starts = [s["first"] for s, v in zip(shapes, verdicts, strict=True) if v.new]
     grown = F.size(F.filter(F.array([F.lit(x).cast("long") for x in starts]), lambda x: x <= F.col("place"))) if starts else F.lit(0)
     own = F.lit(version) + grown
     leaves = [_leaf(p, k).alias(f"f{i}") for i, (p, k) in enumerate(fields.items())]
     accepted = joined.filter("error is null").select(doc_id(own, F.lit(batch), F.col("place")).alias("__id"), F.lit(batch).alias("__batch"), F.col("place").alias("__place"), F.col("json").alias("document"), *leaves)
-    return Batch(accepted, rejected, verdicts, fields, len(starts))
+    return Batch(accepted, rejected, fields, len(starts))

@@ -383,3 +383,17 @@ def test_worker_builds_indexes(spark, monkeypatch):
     t.join()
     assert len(e.catalog.collection("d", "c").indexes["ix"].folders) == 3
     assert e.query("d", "c", "(ixscan (ge ix (3)))", tables=True).count() == 7
+
+
+@pytest.mark.parametrize("most", [1, 3, 10_000])
+def test_many_shapes(spark, monkeypatch, most):
+    """Shapes that are judged in several rounds get the verdicts of one round."""
+    from doclattice.sources import ingest
+
+    monkeypatch.setattr(ingest, "MAX_SHAPES", most)
+    docs = ['{"a": 1}', '{"a": "x"}', '{"b": 1}', '{"a": 2, "b": "x"}', '{"c": true, "a": 5}', "7", '{"b": 2.5}', '{"a": 3}', '{"d": {"e": 1}}']
+    e = Engine(spark)
+    e.create_collection("d", "c")
+    assert sorted(r.place for r in e.insert("d", "c", docs).rejected.collect()) == [1, 3, 5, 6]
+    assert {r.path: r.kind for r in e.fields("d", "c").collect()} == {".a": "integer", ".b": "integer", ".c": "boolean", ".d.e": "integer"}
+    assert e.insert("d", "c", []).ids.count() == 0
