@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doclattice.llm.common import counted, ship, stored, table
+from doclattice.llm.common import counted, ship, stored, table, tidy
 
 MIN_LINES = 4
 MIN_WORDS = 50
@@ -87,7 +87,7 @@ def suffixes(docs: DataFrame) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*got, strict=True)], [*PLACE, "a", "b", "n"])
 
     ship(docs.sparkSession)
-    return docs.select(*_keys(), _text().alias("text")).mapInArrow(run, "doc long, h long, at int, a long, b long, n int")
+    return docs.select(*_keys(), _text().alias("text")).mapInArrow(tidy(run), "doc long, h long, at int, a long, b long, n int")
 
 
 def _ranked(df: DataFrame, once: bool = True) -> DataFrame:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from doclattice.llm.common import partitions, stored, table, texts
+from doclattice.llm.common import partitions, stored, table, texts, tidy
 from doclattice.llm.tokens import _pack, _ranges, _unpack
 
 LENGTH = 400
@@ -60,9 +60,10 @@ class Unit:
 
 BYTES, WORDS = 0, 1
 UNITS = (Unit(LENGTH, 128, 100, "u1"), Unit(51, 8, 13, "<u8"))
-CHUNK = 1 << 18  # symbols that are hashed at once; what is left of them may come to it
-MOST = 1 << 20  # symbols that a Rolling can have
+CHUNK = 120_000  # symbols that are hashed at once; what is left of them may come to it
+MOST = 1 << 18  # symbols that a Rolling can have
 HOT = 20_000  # contexts of one q-gram that are gathered at most
+HOT_CONTEXTS = 350  # whose windows are hashed at once; they have less than MOST symbols
 NONE = -(1 << 63)  # stands for a null doc_id
 U = np.uint64
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
@@ -356,9 +357,9 @@ PACK = "part long, last boolean, data binary"
 def _met(notes: DataFrame, docs: DataFrame, reader, schema: str) -> DataFrame:
     """Run reader over each partition's notes and then its documents."""
     n = partitions(docs.sparkSession)
-    packs = docs.mapInArrow(_packs(4 * n), PACK)
-    rows = notes.select(*NAMES).mapInArrow(_notes(4 * n), PACK).unionByName(packs)
-    return rows.repartition(n, "part").sortWithinPartitions("part", "last").mapInArrow(reader, schema)
+    packs = docs.mapInArrow(tidy(_packs(4 * n)), PACK)
+    rows = notes.select(*NAMES).mapInArrow(tidy(_notes(4 * n)), PACK).unionByName(packs)
+    return rows.repartition(n, "part").sortWithinPartitions("part", "last").mapInArrow(tidy(reader), schema)
 
 
 def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, list[tuple[int, int, bytes]]]]:
@@ -402,7 +403,7 @@ def _contexts(n: int):
                     lo, unit, span = _from_at(at)
                     if texts[unit] is None:
                         texts[unit] = symbols(raw, unit)
-                    context = texts[unit][lo : lo + span + UNITS[unit].length]
+                    context = texts[unit][lo : lo + span + UNITS[unit].length].copy()
                     (hot if f else plain)[unit].append((h, d, t, lo, span, at & 1, context))
             for unit in (BYTES, WORDS):
                 if plain[unit]:
@@ -412,8 +413,8 @@ def _contexts(n: int):
                     for p in np.unique(to).tolist():
                         i = np.flatnonzero(to == p)
                         yield packed(2 * int(p) + unit, False, *[c[i] for c in cols], np.concatenate([parts[k] for k in i.tolist()]))
-                for a in range(0, len(hot[unit]), 500):
-                    yield from windows(hot[unit][a : a + 500], unit)
+                for a in range(0, len(hot[unit]), HOT_CONTEXTS):
+                    yield from windows(hot[unit][a : a + HOT_CONTEXTS], unit)
 
     def windows(some: list, unit: int) -> Iterator[pa.RecordBatch]:
         h, d, t, lo, span, dup, parts = zip(*some, strict=True)
@@ -513,11 +514,11 @@ def covers(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     if hot < 1:
         raise ValueError("hot is at least 1")
     n = partitions(docs.sparkSession)
-    rows = docs.mapInArrow(_bucketed(chunk), ROWS)
+    rows = docs.mapInArrow(tidy(_bucketed(chunk)), ROWS)
     dealt = rows.repartition(n, F.when(F.col("kind") == CLASS, F.col("h")).otherwise(F.col("text"))).sortWithinPartitions("kind", "h", "f")
-    told = stored(dealt.mapInArrow(_settled(hot), ROWS))
+    told = stored(dealt.mapInArrow(tidy(_settled(hot)), ROWS))
     contexts = _met(told.filter(F.col("kind") == ACTIVE), docs, _contexts(4 * n), PACK)
-    looked = contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(_found, ROWS)
+    looked = contexts.repartition(n, "part").sortWithinPartitions("part").mapInArrow(tidy(_found), ROWS)
     return told.filter(F.col("kind") == COVER).unionByName(looked)
 
 
