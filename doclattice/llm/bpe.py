@@ -36,13 +36,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.common import partitions, stored, table, texts
+from doclattice.llm.common import partitions, stored, table, texts, tidy
 from doclattice.llm.tokens import _pack, _ranges, _unpack
 
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Documents and pre-tokens of a block (a longer document is a block of its own).
 BLOCK_DOCS = 16_384
-BLOCK_TOKENS = 4_000_000
+BLOCK_TOKENS = 8_000_000
+#: Of the compression of what is stored and shuffled.
+LEVEL = 3
 #: Pre-tokens asked for, by all blocks together, after which a task replays those that are new.
 WAITING = 4_000_000
 
@@ -171,9 +173,30 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*arrays, np.zeros(0, np.int32)])))
 
 
-def _planes(x: np.ndarray) -> list[np.ndarray]:
-    """Numbers as four arrays of bytes, which compress well where small ones abound."""
-    return [(x >> k & 255).astype("u1") for k in (0, 8, 16, 24)]
+#: Streams of bytes that a column of numbers below 2**28 is stored in.
+STREAMS = ["u1"] * 4
+
+
+def _streams(x: np.ndarray) -> list[np.ndarray]:
+    """Seven bits of each number, lowest first, with a mark where more follow; the further bits of
+    those alone in the next stream. Small numbers take little room, and streams compress well."""
+    out = []
+    for _ in STREAMS:
+        more = x >= 128
+        out.append((x & 127 | more * 128).astype("u1"))
+        x = x[more] >> 7
+    if len(x):
+        raise ValueError("numbers of 2**28 and more can't be stored")
+    return out
+
+
+def _whole(streams: list[np.ndarray]) -> np.ndarray:
+    x = np.zeros(0, np.int32)
+    for s in reversed(streams):
+        now = (s & 127).astype(np.int32)
+        now[s >= 128] |= x << 7
+        x = now
+    return x
 
 
 def _blocks(pattern: str, n_parts: int):
@@ -199,14 +222,15 @@ def _blocks(pattern: str, n_parts: int):
                 number[common] = np.arange(len(words), dtype=np.int32)
                 own = ids.slice(first, i - first)
                 sizes = np.array([len(x) for x in got], "<i8")
-                meta = _pack(np.array(own.fill_null(0), "<i8"), np.array(own.is_null()).astype("u1"), sizes, *_planes(number[flat]))
+                meta = _pack(np.array(own.fill_null(0), "<i8"), np.array(own.is_null()).astype("u1"), sizes, *_streams(number[flat]), level=LEVEL)
                 raw = [w.encode() for w in words]
                 to = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(n_parts)
                 rows = [(-1, meta)]
                 for p in np.unique(to).tolist():
                     mine = np.flatnonzero(to == p)
+                    mine = mine[np.argsort(number[mine])]
                     part = [raw[k] for k in mine.tolist()]
-                    rows.append((int(p), _pack(number[mine].astype("<u4"), np.array([len(w) for w in part], "<u4"), np.frombuffer(b"".join(part), "u1"))))
+                    rows.append((int(p), _pack(*_streams(np.diff(number[mine], prepend=0)), *_streams(np.array([len(w) for w in part])), np.frombuffer(b"".join(part), "u1"), level=LEVEL)))
                 parts, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
 
@@ -247,7 +271,7 @@ def _replayed(path: str):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Known(encoder(path))
-        held: list[tuple[int, np.ndarray, list[bytes]]] = []
+        held: list[tuple[int, list[np.ndarray], list[bytes]]] = []
         fresh: dict[bytes, None] = {}
         waiting = 0
 
@@ -256,13 +280,13 @@ def _replayed(path: str):
             data = []
             for _, number, words in held:
                 size, ids = known(words)
-                data.append(_pack(number, size.astype("<u4"), ids.astype("<i4")))
+                data.append(_pack(*number, *_streams(size), *_streams(ids), level=LEVEL))
             return pa.RecordBatch.from_arrays([pa.array([b for b, _, _ in held], pa.int64()), pa.array([False] * len(held), pa.bool_()), pa.array(data, pa.binary())], ["block", "meta", "data"])
 
         for batch in batches:
             for block, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                number, size, raw = _unpack(data, "<u4", "<u4", "u1")
-                ends, text = np.cumsum(size, dtype=np.int64).tolist(), raw.tobytes()
+                *streams, raw = _unpack(data, *STREAMS, *STREAMS, "u1")
+                number, ends, text = streams[:4], np.cumsum(_whole(streams[4:]), dtype=np.int64).tolist(), raw.tobytes()
                 words = [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
                 held.append((block, number, words))
                 fresh.update((w, None) for w in words if w not in known.number)
@@ -283,7 +307,8 @@ def _encoded(path: str, with_ids: bool):
         meta, answers = None, []
 
         def done() -> Iterator[pa.RecordBatch]:
-            doc, null, sizes, *planes = meta
+            doc, null, sizes, *streams = meta
+            words = _whole(streams)
             number, size, ids = (np.concatenate(x) for x in zip(*answers, strict=True)) if answers else (np.zeros(0, np.int64),) * 3
             at = np.zeros(len(number) + 1, np.int64)
             length = np.zeros(len(number), np.int64)
@@ -293,7 +318,7 @@ def _encoded(path: str, with_ids: bool):
             for i in range(0, len(doc), 1024):
                 n, s1, s2, seqs = [], [], [], []
                 for a, b in zip([0, *ends][i : i + 1024], ends[i : i + 1024], strict=False):
-                    w = sum(x[a:b].astype(np.int64) << 8 * k for k, x in enumerate(planes))
+                    w = words[a:b]
                     seq = ids[_ranges(at[w], length[w])] if b > a else np.zeros(0, np.int32)
                     listed = seq.tolist()
                     n.append(len(listed))
@@ -313,9 +338,10 @@ def _encoded(path: str, with_ids: bool):
                 if is_meta:
                     if meta is not None:
                         yield from done()
-                    meta, answers = _unpack(data, "<i8", "u1", "<i8", "u1", "u1", "u1", "u1"), []
+                    meta, answers = _unpack(data, "<i8", "u1", "<i8", *STREAMS), []
                 else:
-                    answers.append(_unpack(data, "<u4", "<u4", "<i4"))
+                    streams = _unpack(data, *STREAMS, *STREAMS, *STREAMS)
+                    answers.append((np.cumsum(_whole(streams[:4])), _whole(streams[4:8]), _whole(streams[8:])))
         if meta is not None:
             yield from done()
 
@@ -327,12 +353,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     where = path or public_tokenizers.path(VOCABULARY)
     n = partitions(docs.sparkSession)
-    blocks = stored(texts(docs).mapInArrow(_blocks(pattern, 4 * n), "part int, block long, data binary"))
+    blocks = stored(texts(docs).mapInArrow(tidy(_blocks(pattern, 4 * n)), "part int, block long, data binary"))
     asked = blocks.filter("part >= 0").repartition(n, "part").select("block", "data")
-    answers = asked.mapInArrow(_replayed(where), ANSWERS)
+    answers = asked.mapInArrow(tidy(_replayed(where)), ANSWERS)
     own = blocks.filter("part < 0").select("block", F.lit(True).alias("meta"), "data")
     met = own.unionByName(answers).repartition(n, "block").sortWithinPartitions("block", F.desc("meta"))
-    return met.mapInArrow(_encoded(where, with_ids), schema)
+    return met.mapInArrow(tidy(_encoded(where, with_ids)), schema)
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
