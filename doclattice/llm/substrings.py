@@ -1,8 +1,8 @@
 """Removal of long repeated byte strings by a sparse suffix array with bucket-pointer refinement.
 
 A byte goes if a 400-byte string that covers it also starts anywhere else in the corpus. Passages of
-over 50 words that also start elsewhere are found beside that, in the same passes, by the same steps
-over the texts' words instead of their bytes (UNITS); they are counted and nothing is removed for them.
+over 50 words that also start in another document are found beside that, in the same passes, by the same
+steps over the texts' words instead of their bytes (UNITS); they are counted, nothing is removed for them.
 
 1. Each window of 400 bytes (or 51 words) has an anchor: the leftmost of its smallest q-gram hashes. Equal
    windows have their anchors at the same place, so only suffixes near anchors are sorted. An anchor
@@ -19,7 +19,8 @@ Words, buckets of the first depth and contexts are named by hashes (64 bits besi
 by 128). Texts travel as compressed packs with many documents each.
 
 Nulls: a null text is empty; null ids are answered as such. Repeated rows are documents of their
-own, so that a repeated long text goes as a whole. Texts under 400 bytes lose nothing. Empty
+own, so that a repeated long text goes as a whole; for passages, rows of one doc_id and text are one
+document. Texts under 400 bytes lose nothing. Empty
 tables give no rows; further columns are not read.
 """
 
@@ -224,6 +225,35 @@ def _chunks(raw: list[bytes], most: int, unit: int) -> Iterator[tuple[list[tuple
         yield pieces, np.concatenate(parts), np.cumsum([len(p) for p in parts])
 
 
+def _several(start: np.ndarray, size: np.ndarray, doc: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Whether each group of rows that follow each other is of several documents."""
+    first = np.repeat(start, size)
+    return np.logical_or.reduceat((doc != doc[first]) | (text != text[first]), start) if len(start) else np.zeros(0, bool)
+
+
+def _owners(doc: np.ndarray, text: np.ndarray, dup: np.ndarray) -> np.ndarray:
+    """A number for each document; what is known to be in several ones has a number of its own."""
+    order = np.lexsort((text, doc))
+    d, t = doc[order], text[order]
+    out = np.empty(len(doc), np.int64)
+    out[order] = np.cumsum(np.append(False, (d[1:] != d[:-1]) | (t[1:] != t[:-1]))[: len(d)])
+    out[dup == 1] = -1 - np.arange(int((dup == 1).sum()))
+    return out
+
+
+def _shared(name: np.ndarray, owner: np.ndarray | None) -> np.ndarray:
+    """Whether each name is there twice or, with owners, has two of them."""
+    if owner is None:
+        return np.bincount(name)[name] > 1
+    out = np.zeros(len(name), bool)
+    if len(name):
+        order = np.argsort(name, kind="stable")
+        start = np.flatnonzero(np.append(True, np.diff(name[order]) != 0))
+        low, high = np.minimum.reduceat(owner[order], start), np.maximum.reduceat(owner[order], start)
+        out[order] = np.repeat(low != high, np.diff(np.append(start, len(name))))
+    return out
+
+
 def _bucketed(chunk: int):
     """Anchors of documents. Those with equal contexts in a batch are settled; one of them goes on."""
 
@@ -247,10 +277,13 @@ def _bucketed(chunk: int):
         order = np.lexsort((lo, row, f, h))
         hs, fs = h[order], f[order]
         new = np.append(True, (hs[1:] != hs[:-1]) | (fs[1:] != fs[:-1]))[: len(hs)]
-        size = np.diff(np.append(np.flatnonzero(new), len(hs)))
-        twice = np.repeat(size > 1, size)
-        one = order[new]
-        yield _rows(CLASS, h[one], f[one], doc[row[one]], text[row[one]], _at(lo[one], unit, span[one], size > 1))
+        start = np.flatnonzero(new)
+        size = np.diff(np.append(start, len(hs)))
+        found_twice = _several(start, size, doc[row[order]], text[row[order]]) if unit else size > 1
+        twice = np.repeat(found_twice, size)
+        go = new | ~twice
+        one = order[go]
+        yield _rows(CLASS, h[one], f[one], doc[row[one]], text[row[one]], _at(lo[one], unit, span[one], twice[go]))
         known = np.sort(order[twice])
         known = known[np.lexsort((lo[known], row[known]))]
         r, a, b = _merged(row[known], lo[known], lo[known] + span[known] + UNITS[unit].length)
@@ -265,6 +298,7 @@ def _settled(hot: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] | None = None
         hot_h: int | None = None
+        waited = 0
 
         def settle(cols: list[np.ndarray], on: bool) -> Iterator[pa.RecordBatch]:
             """on: the last bucket goes on in further batches, as a hot one."""
@@ -275,28 +309,28 @@ def _settled(hot: int):
             class_new = np.append(True, (h[1:] != h[:-1]) | (f[1:] != f[:-1]))
             start = np.flatnonzero(class_new)
             size = np.diff(np.append(start, len(h)))
-            dup = (size > 1) | (np.add.reduceat(at & 1, start) > 0)
-            whole = np.repeat(size > 1, size) & (at & 1 == 0)
             lo, unit, span = _from_at(at)
+            twice = np.where(unit[start] == WORDS, _several(start, size, doc, text), size > 1)
+            dup = twice | (np.add.reduceat(at & 1, start) > 0)
+            of = np.cumsum(class_new) - 1
+            whole = dup[of] & (at & 1 == 0)
             yield _rows(COVER, unit[whole], (lo + span + LENGTHS[unit])[whole], doc[whole], text[whole], lo[whole])
             bucket = np.cumsum(np.append(True, h[start][1:] != h[start][:-1])) - 1
-            classes = np.bincount(bucket)
-            many = classes[bucket]
+            many = np.bincount(bucket)[bucket]
             if hot_h is not None:
                 many = np.where(h[start] == hot_h, hot + 1, many)
             go = many > 1
             if on:
-                go[-1] = False  # its class may go on too
                 hot_h = int(h[-1])
                 many = np.where(h[start] == hot_h, hot + 1, many)
                 go[h[start] == hot_h] = True
-                go[-1] = False
-                last = start[-1]
-                keep = [c[last : last + 1].copy() for c in cols]
-                keep[4] = keep[4] | int(dup[-1])
-                held = keep
-            s = start[go]
-            yield _rows(ACTIVE, h[s], (many[go] > hot).astype(np.int64), doc[s], text[s], (at[s] & ~1) | dup[go])
+                go[-1] = False  # the last class may go on too
+                kept = slice(start[-1], start[-1] + 1 if dup[-1] else len(h))
+                held = [c[kept].copy() for c in cols]
+                held[4] |= int(dup[-1])
+            # One of each class that is settled goes on, and all of others.
+            s = np.flatnonzero(go[of] & (class_new | ~dup[of]))
+            yield _rows(ACTIVE, h[s], (many[of[s]] > hot).astype(np.int64), doc[s], text[s], (at[s] & ~1) | dup[of[s]])
 
         for batch in batches:
             kind = np.array(batch.column(0))
@@ -311,8 +345,9 @@ def _settled(hot: int):
             cut = int(np.searchsorted(cols[0], cols[0][-1]))
             held = [c[cut:] for c in cols]
             yield from settle([c[:cut] for c in cols], False)
-            if len(held[0]) > hot:
+            if len(held[0]) > hot and len(held[0]) > waited:
                 yield from settle(held, True)
+                waited = 2 * len(held[0])  # the rows of one class stay; don't look at them too often
         if held is not None:
             yield from settle(held, False)
 
@@ -445,8 +480,9 @@ def refined(bucket: np.ndarray, later: np.ndarray) -> np.ndarray:
     return out
 
 
-def repeated_windows(x: np.ndarray, spans: np.ndarray, unit: Unit) -> np.ndarray:
-    """Whether each window of the contexts in x (of span + length symbols each) is there twice."""
+def repeated_windows(x: np.ndarray, spans: np.ndarray, unit: Unit, owner: np.ndarray | None = None) -> np.ndarray:
+    """Whether each window of the contexts in x (of span + length symbols each) is there twice; with
+    the contexts' owners, whether it has two."""
     size = spans + unit.length
     start = np.cumsum(size) - size
     # Buckets of the first depth, at the places that windows lead to.
@@ -465,7 +501,7 @@ def repeated_windows(x: np.ndarray, spans: np.ndarray, unit: Unit) -> np.ndarray
         bucket[at] = refined(bucket[at], bucket[at + further])
         depth += further
     windows = bucket[_ranges(start, spans + 1)]
-    return np.bincount(windows)[windows] > 1
+    return _shared(windows, None if owner is None else np.repeat(owner, spans + 1))
 
 
 def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,7 +509,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def plain(packs: list, unit: int) -> pa.RecordBatch:
         doc, text, lo, span, dup, x = (np.concatenate(c) for c in zip(*packs, strict=True))
-        hit = repeated_windows(x, span, UNITS[unit])
+        hit = repeated_windows(x, span, UNITS[unit], _owners(doc, text, dup) if unit else None)
         context = np.repeat(np.arange(len(span)), span + 1)
         at = np.repeat(lo, span + 1) + _ranges(np.zeros(len(span), np.int64), span + 1)
         hit &= dup[context] == 0
@@ -483,7 +519,7 @@ def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def hot(packs: list, unit: int) -> pa.RecordBatch:
         doc, text, dup, s, w0, w1 = (np.concatenate(c) for c in zip(*packs, strict=True))
         name = refined(w0.view(np.int64), w1.view(np.int64))
-        hit = np.flatnonzero((np.bincount(name)[name] > 1) & (dup == 0))
+        hit = np.flatnonzero(_shared(name, _owners(doc, text, dup) if unit else None) & (dup == 0))
         hit = hit[np.lexsort((s[hit], text[hit], doc[hit]))]
         same = np.cumsum(np.append(False, (doc[hit][1:] != doc[hit][:-1]) | (text[hit][1:] != text[hit][:-1])))[: len(hit)]
         length = UNITS[unit].length
@@ -573,7 +609,7 @@ def kept_bytes(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame, hot: int = HOT, chunk: int = CHUNK) -> DataFrame:
     """Digest columns for each document; n_passages: maximal runs of words that 51-word windows cover
-    which also start elsewhere."""
+    which also start in another document."""
     docs = texts(docs)
     return _met(covers(docs, hot, chunk), docs, _reported, REPORT)
 
@@ -593,8 +629,9 @@ g as (select k, i, sum(new::int) over (partition by k order by i rows unbounded
 spans as (select k, g, min(i) as a, max(i) + 400 as b from g group by k, g),
 cuts as (select k, b, lag(b, 1, 0) over (partition by k order by a) as begin, a as "end", b - a as size from spans),
 kept as (select k, string_agg(substr(x, 2 * begin + 1, 2 * ("end" - begin)), '' order by begin) || substr(any_value(x), 2 * max(b) + 1) as x, sum(size) as n_removed, count(*) as n_spans from cuts join d using (k) group by k),
+o as (select k, dense_rank() over (order by doc_id, x) as owner from d),
 pw as (select k, i, md5_number(array_to_string(words[i + 1:i + 51], ' ')) as h from (select k, words, unnest(range(len(words) - 50)) as i from d where len(words) > 50)),
-pr as (select k, i from (select k, i, count(*) over (partition by h) as n from pw) where n > 1),
+pr as (select k, i from (select k, i, min(owner) over (partition by h) as low, max(owner) over (partition by h) as high from pw join o using (k)) where low <> high),
 ps as (select k, count(*) as n_passages from (select k, coalesce(i > lag(i) over (partition by k order by i) + 51, true) as new from pr) where new group by k)
 select doc_id, cast(length(d.x) // 2 as bigint) as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept.x, d.x))) as kept_sha256, coalesce(n_passages, 0) as n_passages
 from d left join kept using (k) left join ps using (k)

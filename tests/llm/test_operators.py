@@ -65,26 +65,29 @@ def repeat_rows():
 
 
 def substrings_reference(docs, length=400):
-    """Rows of the report from a table of every window of bytes and of 51 words."""
+    """Rows of the report from a table of every window of bytes and of 51 words; passages are repeated
+    if they are in two documents."""
 
-    def covered(texts, n):
+    def covered(texts, n, owners):
         seen = {}
-        for x in texts:
+        for x, o in zip(texts, owners):
             for i in range(len(x) - n + 1):
-                seen[x[i : i + n]] = seen.get(x[i : i + n], 0) + 1
+                seen.setdefault(x[i : i + n], []).append(o)
+        often = {w for w, o in seen.items() if len(o if owners is places else set(o)) > 1}
         out = []
         for x in texts:
             gone = np.zeros(len(x) + 1, bool)
             for i in range(len(x) - n + 1):
-                if seen[x[i : i + n]] > 1:
+                if x[i : i + n] in often:
                     gone[i : i + n] = True
             out.append(gone)
         return out
 
+    places = list(range(len(docs)))
     raw = [(t or "").encode() for _, t in docs]
     words = [tuple(r.split()) for r in raw]  # bytes split at the six ASCII blanks
     out = []
-    for (d, _), r, gone, passages in zip(docs, raw, covered(raw, length), covered(words, 51)):
+    for (d, _), r, gone, passages in zip(docs, raw, covered(raw, length, places), covered(words, 51, docs)):
         kept = bytes(b for b, g in zip(r, gone) if not g)
         out.append((d, len(r), int(gone.sum()), int((gone[1:] < gone[:-1]).sum()), hashlib.sha256(kept).hexdigest(), int((passages[1:] < passages[:-1]).sum())))
     return out
@@ -104,7 +107,9 @@ def passage_rows():
                 p = p[:30] + [word()] + p[31:]
             w += p + [word() for _ in range(r.randint(0, 20))]
         rows.append((500 + i, "".join(x + r.choice([" ", " ", "\n", "  ", "\t"]) for x in w)))
-    return [*rows, (700, "ab " * 400), (701, "a b c " * 10)]
+    twice = " ".join(passages[6]) + " x " + " ".join(word() for _ in range(70))
+    alone = " ".join(word() for _ in range(90))
+    return [*rows, (700, "ab " * 400), (701, "a b c " * 10), (702, twice + " y " + twice), (703, alone + " z " + alone), (704, alone[:-3]), (704, alone[:-3]), (705, "ab " * 90)]
 
 
 @pytest.mark.parametrize("options", [{}, {"hot": 3}, {"hot": 1}, {"chunk": 1500, "hot": 5}, {"batch": 40, "hot": 1}, {"batch": 7, "hot": 20, "chunk": 600}])
@@ -448,6 +453,7 @@ def test_quality(spark):
     wide = docs.selectExpr("*", "1 as n_words", "2 as kept", "3 as m", "4 as low_dup_lines", "5 as ratio", "6 as n_short", "7 as _salt", "8 as _lang", "9 as n")
     kept = quality.filtered(wide)
     assert kept.columns == wide.columns
+    same(quality.verdicts(wide).collect(), expected)
     same([(r.doc_id,) for r in kept.collect()], [(e[0],) for e in expected if e[-1]])
     assert quality.verdicts(docs.limit(0)).count() == 0 == quality.filtered(docs.limit(0)).count()
 
