@@ -69,9 +69,9 @@ def pre_tokens(text: str, split, added: re.Pattern | None) -> list[str]:
     return out
 
 
-def _pack(*arrays: np.ndarray) -> bytes:
+def _pack(*arrays: np.ndarray, level: int = 1) -> bytes:
     sizes = np.array([a.nbytes for a in arrays], "<u8")
-    return zstandard.ZstdCompressor(level=1).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=level).compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
