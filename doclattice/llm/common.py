@@ -96,7 +96,6 @@ def scratch_dir(spark: SparkSession) -> str:
         if not is_local(spark):
             raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         where = Path(tempfile.gettempdir(), "doclattice-scratch").as_uri()
-        spark.conf.set("spark.checkpoint.dir", where)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(where)
     return where

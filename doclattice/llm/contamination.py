@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from doclattice.llm.common import stored, table, texts
+from doclattice.llm.common import ship, stored, table, texts
 from doclattice.llm.tokens import _pack, _unpack
 
 WINDOW = 8
@@ -39,6 +39,8 @@ MIN_ITEMS = 2
 SHARD_BYTES = 4 << 20
 #: The driver holds, and each task gets, at most about this many bytes of benchmark at once.
 BLOCK_BYTES = 8 << 20
+#: Longer items are taken in pieces.
+PIECE_BYTES = 1 << 20
 #: Words of a benchmark up to this many bytes are sent to the tasks that make an index.
 VOCABULARY_BYTES = 16 << 20
 #: Found documents (16 bytes each) that are broadcast at most.
@@ -238,9 +240,33 @@ def _regroup(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _items(benchmark: DataFrame) -> tuple[DataFrame, int]:
-    """Items with an id, and their bytes."""
+def _pieces(n: int, most: int):
+    """Texts of over `most` bytes in pieces, in which each of their phrases of n words lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                out, w, a = [text], [], 0
+                if len(text) > most or len(text.encode()) > most:
+                    w = [x.decode(errors="replace") for x in words(text)]
+                    ends = np.cumsum([len(x.encode()) + 1 for x in w]) if w else np.zeros(0, np.int64)
+                    out = []
+                    while a < len(w):
+                        b = max(int(np.searchsorted(ends, (ends[a - 1] if a else 0) + most, side="right")), a + 2 * n)
+                        out.append(" ".join(w[a:b]))
+                        a = len(w) if b >= len(w) else b - n + 1
+                for i in range(0, len(out), 64):
+                    part = out[i : i + 64]
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(part), pa.string()), pa.array(part, pa.string())], ["item", "text"])
+
+    return run
+
+
+def _items(benchmark: DataFrame, n: int) -> tuple[DataFrame, int]:
+    """Items with an id, long ones in pieces, and their bytes."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item"), F.coalesce(F.col("text"), F.lit("")).alias("text")).filter("item is not null")
+    ship(benchmark.sparkSession)
+    items = items.mapInArrow(_pieces(n, PIECE_BYTES), "item string, text string")
     total = items.agg(F.sum(F.octet_length("text") + F.octet_length("item"))).first()[0] or 0
     return items, total
 
@@ -256,7 +282,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, within: int
     """For each document: its number of words, the word ranges [start, end) that test phrases cover,
     and the ids of the items whose phrases occur. within: proximity matches instead of exact
     phrases; then a range is the position of the phrase's first word."""
-    items, total = _items(benchmark)
+    items, total = _items(benchmark, n)
     n_blocks = 1 + total // BLOCK_BYTES
     stored_index = index(docs, _vocabulary(items, total))
     out = None

@@ -379,6 +379,7 @@ def test_decontamination(spark, monkeypatch):
     same([r[:2] for r in kept.collect()], [x for x, e in zip(rows, expected) if not e[-1]])
     monkeypatch.setattr(contamination, "VOCABULARY_BYTES", 0)  # all words have lists
     monkeypatch.setattr(contamination, "SHARD_BYTES", 300)
+    monkeypatch.setattr(contamination, "PIECE_BYTES", 40)
     monkeypatch.setattr(contamination, "BROADCAST_DOCS", 0)
     same(contamination.report(docs, bench).collect(), expected)
     monkeypatch.setattr(contamination, "BLOCK_BYTES", 700)
@@ -894,6 +895,25 @@ def test_pipeline(spark):
         assert not any(tuple(w[i : i + 8]) in phrases for i in range(len(w)))
 
 
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    class Unset:
+        sparkContext = spark.sparkContext
+        conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+    assert common.scratch_dir(Unset).startswith("file:")  # local mode
+    monkeypatch.setattr(common, "is_local", lambda _: False)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.scratch_dir(Unset)
+
+
+def test_scratch_tables_go(spark):
+    kept, gone = common.stored(spark.range(3)), common.stored(spark.range(4))
+    common.drop_stored(spark, common.scratch_paths()[-1:])
+    assert kept.count() == 3
+    with pytest.raises(Exception, match="(?i)exist"):
+        gone.count()
+
+
 def test_registry():
     from doclattice.llm import registry
 
