@@ -219,9 +219,9 @@ OTHER_SQL = {
     "emergent_schema": f"select * from (values ('.event_id', '{INTEGER}'), ('.event_type', '{STRING}'), ('.props.k', '{INTEGER}'), ('.user_id', '{INTEGER}')) t(path, kind)",
     "ingested_scan": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events where cast(json_extract(props, '$.k') as bigint) > 50 and event_type = 'click'",
     "ingested_index_table": "select event_id from (select *, cast(json_extract(props, '$.k') as bigint) as k from events) where (k > 10 or k = 10 and event_type >= 'click') and (k < 12 or k = 12 and event_type <= 'view')",
-    "validate_rejects": f"""select cast(place as bigint) as place, reason from (values (0, 'a document is an object'), (2, 'field .foo should have type {INTEGER}, but has {STRING}'),
-  (3, 'field .foo should have type {INTEGER}, but has {FLOAT}'), (5, 'field .foo is null'), (6, 'field .foo is an array'), (7, 'field name ''_x'' is not allowed'),
-  (10, 'not a JSON value with distinct names'), (11, 'field .foo should have type {INTEGER}, but has {STRING}')) t(place, reason)""",
+    "validate_rejects": f"""select cast(place as bigint) as place, reason from (values (0, 'a document is an object'), (2, 'field .foo holds {INTEGER} values, not {STRING}'),
+  (3, 'field .foo holds {INTEGER} values, not {FLOAT}'), (5, 'field .foo is null'), (6, 'field .foo is an array'), (7, 'field name ''_x'' is not allowed'),
+  (10, 'not a JSON value with distinct names'), (11, 'field .foo holds {INTEGER} values, not {STRING}')) t(place, reason)""",
 }
 
 

@@ -99,7 +99,7 @@ def shape(text: str | None) -> Shape:
 def conflict(leaves: tuple[tuple[str, str], ...], fields: dict[str, str]) -> str | None:
     for path, kind in leaves:
         if fields.get(path, kind) != kind:
-            return f"field {path} should have type {fields[path]}, but has {kind}"
+            return f"field {path} holds {fields[path]} values, not {kind}"
     return None
 
 
