@@ -448,3 +448,29 @@ def report(docs: DataFrame, net: Network | None) -> DataFrame:
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return report(docs, trained(docs))
+
+
+def pii_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4_pii that its patterns decide, for comparison with SQL."""
+    return report(table(spark, sf_dir, "documents"), None).drop("spans", "n_spans")
+
+
+def _kind_sql(number: int, kind: str, pattern: str) -> str:
+    return f"select k, {number} as ord, '{kind}' as kind, string_split_regex(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as found from d"
+
+
+_DIGIT_SQL = "cast(digits[length(digits) - i] as int)"
+BASE_SQL = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+m as ({_kind_sql(0, "email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")} union all {_kind_sql(1, "ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")}
+  union all {_kind_sql(2, "card", r"[0-9]([\x20-]?[0-9])+")} union all {_kind_sql(3, "phone", r"\+[0-9][\x20().0-9-]+[0-9]")}),
+s as (select k, ord, kind, unnest(found) as v, unnest(range(len(found))) as i, gaps, found from m),
+p as (select k, ord, kind, v, regexp_replace(v, '[^0-9]', '', 'g') as digits,
+  cast(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i], lambda x: length(x))), 0) as bigint) as start from s),
+b as (select *, case kind when 'email' then true when 'phone' then length(digits) between 10 and 15
+    when 'ip' then len(list_filter(string_split(v, '.'), lambda x: length(ltrim(x, '0')) > 3 or cast('0' || right(x, 3) as int) > 255)) = 0
+    when 'card' then length(digits) between 14 and 19 and list_sum(list_transform(range(length(digits)),
+      lambda i: case when i % 2 = 0 then {_DIGIT_SQL} else 2 * {_DIGIT_SQL} // 10 + 2 * {_DIGIT_SQL} % 10 end)) % 10 = 0 end as good from p),
+g as (select k, {", ".join(f"count(*) filter (kind = '{x}') as n_{x}" for x in KINDS)}, string_agg(kind || ':' || start || ':' || (start + length(v)), ',' order by start, ord) as listed from b where good group by k)
+select doc_id, {", ".join(f"coalesce(n_{x}, 0) as n_{x}" for x in KINDS)}, sha256(coalesce(listed, '')) as base_sha256 from d left join g using (k)
+"""

@@ -156,3 +156,21 @@ def report(docs: DataFrame) -> DataFrame:
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+def secrets_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_secret_scan that its patterns decide, for comparison with SQL."""
+    return report(table(spark, sf_dir, "documents")).drop("spans")
+
+
+_ASSIGN_SQL = ASSIGN.replace("'", "''")
+BASE_SQL = rf"""
+with d as (select row_number() over () as k, doc_id, coalesce(text, '') as text from documents),
+m as (select k, 0 as ord, 'assign' as kind, 12 as least, string_split_regex(text, '{_ASSIGN_SQL}') as gaps, regexp_extract_all(text, '{_ASSIGN_SQL}') as found, regexp_extract_all(text, '{_ASSIGN_SQL}', 1) as value from d
+  union all select k, 1, 'access', 18, string_split_regex(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+'), regexp_extract_all(text, 'AKIA[A-Z0-9]+') from d
+  union all select k, 2, 'hex', 16, string_split_regex(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+'), regexp_extract_all(text, '[0-9a-f]+') from d),
+s as (select k, ord, kind, least, unnest(found) as v, unnest(value) as value, unnest(range(len(found))) as i, gaps, found from m),
+b as (select k, ord, kind, v, cast(list_sum(list_transform(gaps[1:i + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:i], lambda x: length(x))), 0) as bigint) as start from s where length(value) >= least),
+g as (select k, {", ".join(f"count(*) filter (kind = '{x[0]}') as n_{x[0]}" for x in BASE)}, string_agg(kind || ':' || start || ':' || (start + length(v)), ',' order by start, ord) as listed from b group by k)
+select doc_id, {", ".join(f"coalesce(n_{x[0]}, 0) as n_{x[0]}" for x in BASE)}, sha256(coalesce(listed, '')) as base_sha256 from d left join g using (k)
+"""
