@@ -903,6 +903,31 @@ def test_pipeline(spark):
         assert not any(tuple(w[i : i + 8]) in phrases for i in range(len(w)))
 
 
+@pytest.mark.parametrize("kind", ["empty", "nulls", "odd"])
+def test_pipeline_on_odd_tables(spark, tmp_path, kind):
+    """No rows, nothing but nulls, and odd rows with columns whose names clash; columns stay through
+    all stages but the last, and rows of one doc_id are told apart by their texts."""
+    import corpus_pipeline
+
+    r = random.Random(3)
+    plain = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(r.randint(2, 7))) for _ in range(n))
+    good = [(1000 + i, plain(60)) for i in range(40)]
+    rows = {"empty": [], "nulls": [(None, None)] * 3, "odd": [*odd_rows(3), *good, (1000, plain(70)), (None, good[1][1]), (1001, good[1][1])]}[kind]
+    docs = empty(spark) if not rows else frame(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such phrase is here at all today ever"), (None, None)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for name, stage in corpus_pipeline.STAGES:
+        columns = docs.columns
+        out = stage(spark, docs, str(tmp_path))
+        out.write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert name == "bpe_encode" or docs.columns == columns
+    got = sorted(x.doc_id for x in docs.collect() if x.doc_id is not None and x.doc_id >= 1000)
+    assert got == ([1000, *range(1000, 1040)] if kind == "odd" else [])
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == docs.count()
+
+
 def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
     class Unset:
         sparkContext = spark.sparkContext
