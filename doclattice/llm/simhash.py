@@ -1,11 +1,10 @@
 """SimHash near-duplicates found through a segment-popcount embedding.
 
-A fingerprint of one or more 64-bit words is cut into bands, each band into segments; a band's
-embedding is its vector of bits set per segment. The Manhattan distance of two embeddings is at most
-the Hamming distance of the bands, so texts within `radius` bits in some band lie within that
-distance on the grid. A range join on the grid with radius 2 meets in the middle: each fingerprint
-is put into its own cell and into those one step away, and two vectors within distance 2 share a
-cell. Pairs in a cell are then verified on the whole fingerprint.
+A fingerprint of 64 bits is cut into segments; its embedding is its vector of bits set per segment. The
+Manhattan distance of two embeddings is at most the Hamming distance of the fingerprints, so texts
+within `most` bits lie within that distance on the grid. A range join on the grid with radius 2 meets
+in the middle: each fingerprint is put into its own cell and into those one step away, and two vectors
+within distance 2 share a cell. Pairs in a cell are then verified on the whole fingerprint.
 
 Only distinct fingerprints take part. A cell's members are compared without listing pairs: small
 cells by shifted comparison, large ones by looking every member's neighbours up among the members,
@@ -51,19 +50,15 @@ CELL = 1000
 
 @dataclass(frozen=True)
 class Plan:
-    """shingle: words; words: 64-bit words of a fingerprint; bands: of equal width in bits, none
-    across two words; segment: bits; radius: of a band, at most 2; most: differing bits of a link."""
+    """shingle: words; segment: bits; most: differing bits of a link, 1 or 2."""
 
     shingle: int = 3
-    words: int = 1
-    bands: int = 1
     segment: int = 4
-    radius: int = 2
     most: int = 2
 
-    @property
-    def width(self) -> int:
-        return 64 * self.words // self.bands
+    def __post_init__(self) -> None:
+        if self.most not in (1, 2) or not 1 <= self.segment <= 16 or (self.segment + 3) ** (-(-64 // self.segment)) >= 1 << 61:
+            raise ValueError("links have 1 or 2 differing bits, and cells fit into 61 bits")
 
 
 @dataclass(frozen=True)
@@ -97,46 +92,30 @@ def shingle_hashes(text: str, shingle: int) -> np.ndarray:
     return np.fromiter((h(joined[a : b - 1], 42) for a, b in zip(starts, ends[k:], strict=False)), U, len(w) - k)
 
 
-def mixed(h: np.ndarray, i: int) -> np.ndarray:
-    """The hash for the i-th word of a fingerprint; the first is the hash itself."""
-    if i == 0:
-        return h
-    z = h + U((0x9E3779B97F4A7C15 * i) % 2**64)
-    z = (z ^ (z >> U(30))) * U(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> U(27))) * U(0x94D049BB133111EB)
-    return z ^ (z >> U(31))
-
-
-def fingerprint(h: np.ndarray, words: int = 1) -> list[int]:
+def fingerprint(h: np.ndarray) -> int:
     """A bit is set if it is in over half of the hashes; no hashes: zero."""
-    out = []
-    for i in range(words):
-        if not len(h):
-            out.append(0)
-            continue
-        total = np.zeros(64, np.int64)
-        for a in range(0, len(h), 16320):
-            lanes = LANES[mixed(h[a : a + 16320], i).view(np.uint8).reshape(-1, 8)]
-            sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # no byte overflows
-            total += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
-        out.append(int(np.packbits(total * 2 > len(h), bitorder="little").view(U)[0]))
-    return out
+    total = np.zeros(64, np.int64)
+    for a in range(0, len(h), 16320):
+        lanes = LANES[h[a : a + 16320].view(np.uint8).reshape(-1, 8)]
+        sums = np.add.reduceat(lanes, np.arange(0, len(lanes), 255), axis=0)  # no byte overflows
+        total += sums.view(np.uint8).reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(total * 2 > len(h), bitorder="little").view(U)[0])
 
 
 def fingerprints(docs: DataFrame, plan: Plan) -> DataFrame:
-    """doc_id and fp, the words of the fingerprint as bytes, the lowest byte of each first."""
+    """doc_id and fp, the fingerprint as bytes, the lowest first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(shingle_hashes(t.as_py(), plan.shingle), plan.words) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(np.array(fp, U).reshape(-1, plan.words))], ["doc_id", "fp"])
+            fp = [fingerprint(shingle_hashes(t.as_py(), plan.shingle)) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _binary(np.array(fp, U))], ["doc_id", "fp"])
 
     return texts(docs).mapInArrow(run, "doc_id long, fp binary")
 
 
-def _popcounts(band: np.ndarray, width: int, segment: int) -> np.ndarray:
+def _popcounts(fp: np.ndarray, segment: int) -> np.ndarray:
     mask = U((1 << segment) - 1)
-    return np.stack([np.bitwise_count((band >> U(i)) & mask) for i in range(0, width, segment)], axis=1).astype(np.int64)
+    return np.stack([np.bitwise_count((fp >> U(i)) & mask) for i in range(0, 64, segment)], axis=1).astype(np.int64)
 
 
 #: What a fingerprint is in a cell: at its centre, one step up from the cell, or one step down.
@@ -144,38 +123,32 @@ CENTRE, ABOVE, BELOW = 0, 1, 2
 
 
 def _cells(fp: np.ndarray, plan: Plan) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each band, cells (the counts, the band and the role in one number) and the rows in them."""
-    per_word, base = plan.bands // plan.words, plan.segment + 3
-    rows = np.arange(len(fp))
-    for b in range(plan.bands):
-        word, k = divmod(b, per_word)
-        v = _popcounts((fp[:, word] >> U(k * plan.width)) & U((1 << plan.width) - 1), plan.width, plan.segment)
-        scale = np.array([base**i for i in range(v.shape[1])], np.int64) * (4 * plan.bands)
-        own = (v + 1) @ scale + 4 * b
-        yield own + CENTRE, rows
-        for i in range(v.shape[1]):
-            has, free = v[:, i] > 0, v[:, i] < plan.segment
-            yield own[has] - scale[i] + ABOVE, rows[has]
-            if plan.radius > 1:
-                yield own[free] + scale[i] + BELOW, rows[free]
+    """Cells (the counts and the role in one number) and the rows in them."""
+    rows, v = np.arange(len(fp)), _popcounts(fp, plan.segment)
+    scale = np.array([(plan.segment + 3) ** i for i in range(v.shape[1])], np.int64) * 4
+    own = (v + 1) @ scale
+    yield own + CENTRE, rows
+    for i in range(v.shape[1]):
+        has, free = v[:, i] > 0, v[:, i] < plan.segment
+        yield own[has] - scale[i] + ABOVE, rows[has]
+        if plan.most > 1:
+            yield own[free] + scale[i] + BELOW, rows[free]
 
 
 def _binary(fp: np.ndarray) -> pa.Array:
-    """Rows of 64-bit words as bytes."""
-    width = 8 * fp.shape[1]
-    offsets = np.arange(0, width * len(fp) + 1, width, dtype=np.int32)
+    """64-bit words as bytes."""
+    offsets = np.arange(0, 8 * len(fp) + 1, 8, dtype=np.int32)
     return pa.Array.from_buffers(pa.binary(), len(fp), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(fp))])
 
 
-def _words(column: pa.Array, words: int) -> np.ndarray:
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, U).reshape(-1, words)
+def _words(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), U)
 
 
 def _placed(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            whole = _words(batch.column(0), plan.words)
+            whole = _words(batch.column(0))
             for a in range(0, len(whole), 4096):
                 fp = whole[a : a + 4096]
                 for cell, rows in _cells(fp, plan):
@@ -185,12 +158,12 @@ def _placed(plan: Plan):
 
 
 class Forest:
-    """Spanning forest of links between fingerprints, each named by the smallest of its tree."""
+    """Spanning forest of links between fingerprints, or names, each named by the smallest of its tree."""
 
     def __init__(self) -> None:
-        self.up: dict[tuple, tuple] = {}
+        self.up: dict = {}
 
-    def root(self, x: tuple) -> tuple:
+    def root(self, x):
         path = []
         while (y := self.up.get(x, x)) != x:
             path.append(x)
@@ -199,50 +172,32 @@ class Forest:
             self.up[p] = x
         return x
 
-    def link(self, x: tuple, y: tuple) -> None:
+    def link(self, x, y) -> None:
         a, b = self.root(x), self.root(y)
         if a != b:
             self.up[max(a, b)] = min(a, b)
 
-    def links(self) -> list[tuple[tuple, tuple]]:
+    def links(self) -> list[tuple]:
         return [(x, r) for x in self.up if (r := self.root(x)) != x]
 
 
-def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1)
-
-
 def _large(fp: np.ndarray, plan: Plan, forest: Forest) -> None:
-    """Links among the members of a large cell, in time that is linear in their number where a
-    link is a few bits of one word; else by rows against blocks, joining trees as they are found."""
-    fp = np.unique(fp, axis=0)
-    if plan.words == 1 and plan.most <= 2:
-        key = fp[:, 0]
-        bits = [U(1 << i) for i in range(64)]
-        for flip in itertools.chain(bits, (a ^ b for a, b in itertools.combinations(bits, 2))):
-            other = key ^ flip
-            i = np.searchsorted(key, other)
-            i[i == len(key)] = 0
-            for j in np.flatnonzero((key[i] == other) & (key < other)).tolist():
-                forest.link((int(key[j]),), (int(other[j]),))
-        return
-    todo = np.arange(len(fp))
-    name = lambda i: tuple(fp[i].tolist())
-    # A member that links to the pivot's tree is still compared with all that are in no tree yet.
-    while len(todo):
-        queue, todo = [int(todo[0])], todo[1:]
-        while queue and len(todo):
-            p = queue.pop()
-            near = _far(fp[todo], fp[p]) <= plan.most
-            for j in todo[near].tolist():
-                forest.link(name(p), name(j))
-                queue.append(j)
-            todo = todo[~near]
+    """Links among the members of a large cell, in time that is linear in their number: each member's
+    neighbours are looked up among the members."""
+    key = np.unique(fp)
+    bits = [U(1 << i) for i in range(64)]
+    pairs = (a ^ b for a, b in itertools.combinations(bits, 2)) if plan.most > 1 else ()
+    for flip in itertools.chain(bits, pairs):
+        other = key ^ flip
+        i = np.searchsorted(key, other)
+        i[i == len(key)] = 0
+        for j in np.flatnonzero((key[i] == other) & (key < other)).tolist():
+            forest.link(int(key[j]), int(other[j]))
 
 
 def _linked(plan: Plan):
     roles = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 0]], bool)  # centre and above with each other
-    if plan.radius > 1:
+    if plan.most > 1:
         roles[ABOVE, BELOW] = roles[BELOW, ABOVE] = True
 
     def groups(cell: np.ndarray, role: np.ndarray, fp: np.ndarray, forest: Forest) -> None:
@@ -257,16 +212,16 @@ def _linked(plan: Plan):
             if not len(same):
                 break
             same = same[roles[role[same], role[same + o]]]
-            far = _far(fp[same], fp[same + o])
+            far = np.bitwise_count(fp[same] ^ fp[same + o])
             good = same[(far <= plan.most) & (far > 0)]
             for x, y in zip(fp[good].tolist(), fp[good + o].tolist(), strict=True):
-                forest.link(tuple(x), tuple(y))
+                forest.link(x, y)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forest, held = Forest(), None
         for batch in itertools.chain(batches, [None]):
             if batch is not None:
-                now = [np.array(batch.column(0)), _words(batch.column(1), plan.words)]
+                now = [np.array(batch.column(0)), _words(batch.column(1))]
                 held = now if held is None else [np.concatenate(x) for x in zip(held, now, strict=True)]
             if held is not None and len(held[0]):
                 # The last cell may go on in the next batch.
@@ -277,7 +232,7 @@ def _linked(plan: Plan):
                     held = [x[cut:] for x in held]
             if batch is None or len(forest.up) > 200_000:
                 links = forest.links()
-                yield pa.RecordBatch.from_arrays([_binary(np.array([x[i] for x in links], U).reshape(-1, plan.words)) for i in (0, 1)], ["a", "b"])
+                yield pa.RecordBatch.from_arrays([_binary(np.array([x[i] for x in links], U)) for i in (0, 1)], ["a", "b"])
                 forest = Forest()
 
     return run
@@ -402,7 +357,7 @@ def _similar(names: list[bytes], sets: list[np.ndarray], least: float, forest: F
         good = shared >= least * (n + size[p] - shared) - 1e-9
         if good.any():
             for j in todo[good].tolist():
-                forest.link((names[p],), (names[j],))
+                forest.link(names[p], names[j])
                 queue.append(j)
             flat, todo = flat[np.repeat(~good, n)], todo[~good]
 
@@ -424,7 +379,7 @@ def _verified(near: Near, keys: int):
 
     def found(forest: Forest) -> pa.RecordBatch:
         links = forest.links()
-        return pa.RecordBatch.from_arrays([pa.array([x[i][0] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
     return run
 

@@ -745,7 +745,7 @@ def test_cells_lose_no_link(cell):
             for b in r.integers(0, 64, r.integers(1, 4)):
                 y ^= 1 << int(b)
             fps.add(y)
-    fp = np.array(sorted(fps), np.uint64).reshape(-1, 1)
+    fp = np.array(sorted(fps), np.uint64)
     forest = simhash.Forest()
     if cell == "large":
         simhash._large(fp, simhash.EXACT, forest)
@@ -756,10 +756,10 @@ def test_cells_lose_no_link(cell):
         rows.sort()
         batch = pa.RecordBatch.from_arrays([pa.array([c for c, _ in rows], pa.int64()), simhash._binary(fp[[i for _, i in rows]])], ["cell", "fp"])
         for out in simhash._linked(simhash.EXACT)(iter([batch.slice(0, 500), batch.slice(500)])):
-            for a, b in zip(simhash._words(out.column(0), 1), simhash._words(out.column(1), 1)):
-                forest.link((int(a[0]),), (int(b[0]),))
-    expected = near_components({int(x): int(x) for x in fp[:, 0]}, 2)
-    assert {int(x): forest.root((int(x),))[0] for x in fp[:, 0]} == expected
+            for a, b in zip(simhash._words(out.column(0)), simhash._words(out.column(1))):
+                forest.link(int(a), int(b))
+    expected = near_components({int(x): int(x) for x in fp}, 2)
+    assert {int(x): forest.root(int(x)) for x in fp} == expected
 
 
 def test_near_copies(spark):
@@ -875,7 +875,7 @@ def test_similar_members_of_a_cell():
             for j, b in enumerate(as_sets):
                 if label[j] > label[i] and 5 * len(a & b) >= 4 * len(a | b):
                     label[j] = label[i]
-    assert [forest.root((n,))[0] for n in names] == [names[x] for x in label]
+    assert [forest.root(n) for n in names] == [names[x] for x in label]
     assert 12 < len(set(label)) < len(sets)
 
 
