@@ -953,3 +953,15 @@ def test_registry():
     assert {int(m[1]) for q in registry.QUERIES if (m := re.match(r"op(\d+)_", q))} == set(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
     assert regex.compile(public_tokenizers.PATTERN)
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no tables here")
+def test_pipelines_side_by_side(spark, tmp_path):
+    """A result that hasn't been written yet outlives a second run."""
+    import corpus_pipeline
+
+    docs = frame(spark, [(i, f"some words of document {i} " * 3 + "and others that no other text has in it at all") for i in range(20)])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{DATA}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first = corpus_pipeline.run(spark, str(tmp_path))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == first.count()
