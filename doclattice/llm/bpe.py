@@ -29,6 +29,7 @@ from heapq import heapify, heappop, heappush
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import xxhash
 from pyspark import TaskContext
@@ -46,7 +47,7 @@ BLOCK_TOKENS = 8_000_000
 #: Of the compression of what is stored and shuffled.
 LEVEL = 3
 #: Pre-tokens asked for, by all blocks together, after which a task replays those that are new.
-WAITING = 4_000_000
+WAITING = 1_000_000
 
 NONE = np.iinfo(np.int64).max
 
@@ -217,20 +218,22 @@ def _blocks(pattern: str, n_parts: int):
                     size += len(got[-1])
                     i += 1
                 flat = np.concatenate([np.frombuffer(x, np.int32) for x in got if len(x)] or [np.zeros(0, np.int32)])
-                common = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for common ones
-                number = np.empty(len(words), np.int32)
-                number[common] = np.arange(len(words), dtype=np.int32)
+                to = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words)) % np.uint64(n_parts)
+                raw = pa.array(words.keys(), pa.string())
+                alphabetic, number = np.empty((2, len(raw)), np.int32)
+                alphabetic[np.array(pc.sort_indices(raw))] = np.arange(len(raw))
+                # Small numbers for common ones; of those that are equally common, a part's lie together in order.
+                number[np.lexsort((alphabetic, to, -np.bincount(flat, minlength=len(raw))))] = np.arange(len(raw))
                 own = ids.slice(first, i - first)
                 sizes = np.array([len(x) for x in got], "<i8")
                 meta = _pack(np.array(own.fill_null(0), "<i8"), np.array(own.is_null()).astype("u1"), sizes, *_streams(number[flat]), level=LEVEL)
-                raw = [w.encode() for w in words]
-                to = np.fromiter(map(xxhash.xxh64_intdigest, raw), np.uint64, len(raw)) % np.uint64(n_parts)
                 rows = [(-1, meta)]
                 for p in np.unique(to).tolist():
                     mine = np.flatnonzero(to == p)
                     mine = mine[np.argsort(number[mine])]
-                    part = [raw[k] for k in mine.tolist()]
-                    rows.append((int(p), _pack(*_streams(np.diff(number[mine], prepend=0)), *_streams(np.array([len(w) for w in part])), np.frombuffer(b"".join(part), "u1"), level=LEVEL)))
+                    _, ends, data = raw.take(pa.array(mine)).buffers()
+                    ends = np.frombuffer(ends, np.int32, len(mine) + 1)
+                    rows.append((int(p), _pack(*_streams(np.diff(number[mine], prepend=0)), *_streams(np.diff(ends)), np.frombuffer(data, "u1", ends[-1]), level=LEVEL)))
                 parts, data = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array([block] * len(rows), pa.int64()), pa.array(data, pa.binary())], ["part", "block", "data"])
 
