@@ -116,8 +116,7 @@ def _entropy_span(candidate: Column, alphabet: str, bits: float) -> Column:
 
 def _entropy(text: Column, kind: str, alphabet: str, bits: float) -> Column:
     run = "[" + alphabet.replace("-", "\\-") + "]{%d,}" % WINDOW
-    open_text = reduce(lambda t, a: F.regexp_replace(t, "(?i)" + a, " " * len(a)), ALLOW, text)
-    candidates = F.filter(_located(open_text, run, kind), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
+    candidates = F.filter(_located(text, run, kind), lambda s: s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]"))
 
     def judged(s: Column) -> Column:
         value = lambda e: F.substr(s["value"], e["first"] + 1, e["last"] - e["first"] + WINDOW)
@@ -129,6 +128,13 @@ def _entropy(text: Column, kind: str, alphabet: str, bits: float) -> Column:
     return F.when(text.rlike(run), F.filter(F.transform(candidates, judged), lambda s: s.isNotNull())).otherwise(_no_spans())
 
 
+def _more(text: Column) -> Column:
+    """Spans of the entropy kinds, with what the allow list matches taken out of the text once."""
+    run = "[" + "".join(sorted({c for _, letters, _ in CLASSES for c in letters} - {"-"})) + "-]{%d,}" % WINDOW
+    open_text = reduce(lambda t, a: F.regexp_replace(t, "(?i)" + a, " " * len(a)), ALLOW, text)
+    return F.when(text.rlike(run), _let(open_text, lambda t: F.concat(*[_entropy(t, *c) for c in CLASSES]))).otherwise(_no_spans())
+
+
 def _listed(spans: Column, kinds: list[str]) -> Column:
     """kind:start:end by start, then by the order of kinds."""
     order = F.array(*map(F.lit, kinds))
@@ -140,7 +146,7 @@ def found(docs: DataFrame) -> DataFrame:
     """doc_id, base and extra: arrays of (kind, start, end, value)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     base = F.concat(*[_matches(text, *b) for b in BASE])
-    more = F.concat(*[_entropy(text, *c) for c in CLASSES])
+    more = _more(text)
     once = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _let(base, lambda b: F.struct(b.alias("base"), more.alias("more"))).alias("s"))
     outside = F.filter("s.more", lambda m: ~F.exists("s.base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
     return once.select("doc_id", F.col("s.base").alias("base"), outside.alias("extra"))
