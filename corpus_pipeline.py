@@ -46,7 +46,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @_stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays."""
+    """Of each group of near copies (five-word shingles, similarity 0.8) the smallest doc_id stays. SimHash
+    fingerprints find them on the popcount grid, and the sets of shingles decide."""
     return simhash.deduplicated(docs, simhash.NEAR)
 
 

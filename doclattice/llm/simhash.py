@@ -11,10 +11,12 @@ cells by shifted comparison, large ones by looking every member's neighbours up
 and only a spanning forest of the links of each batch leaves a task. Components come from
 alternating large-star and small-star steps on the remaining links.
 
-`deduplicated` links texts whose sets of shingles have a Jaccard similarity of at least `least`. A
-fingerprint only estimates that, so the sets themselves are compared there: texts that agree in all
-minima of some band are candidates, and every pair of a cell of candidates that isn't joined yet is
-verified on the sets; large cells are dealt to parts. A pair of similarity s is a candidate with probability 1 - (1 - s^rows)^bands.
+`deduplicated` links texts whose sets of shingles have a Jaccard similarity of at least `least`, found
+in the same way on longer fingerprints and then checked on the sets. A fingerprint has bits for each of
+several bands, and bits for a check. Texts are candidates if in some band the first bits agree, the
+popcount vectors of the others are within Manhattan distance 2 on the grid, and the bits for the check
+differ in `most` places at most. Candidates that hang together are a cell, and every pair of a cell
+that isn't joined yet is verified on the sets; large cells are dealt to parts.
 
 Nulls: a null text has no words; texts without words have fingerprint zero and link like any other.
 Repeated rows are each answered, and a null doc_id is never a component's id unless it is alone.
@@ -40,10 +42,14 @@ BLANK = re.compile(rb"[\x20\x09-\x0D]+")
 U = np.uint64
 #: The bits of a byte, each in a byte of its own.
 LANES = np.unpackbits(np.arange(256, dtype=np.uint8).reshape(-1, 1), axis=1, bitorder="little").view(U).ravel()
-#: Spreads the bits of a hash upwards; odd.
-MULTIPLIER = U(0x9E3779B97F4A7C15)
+#: Mix the bits of a hash; odd.
+MULTIPLIER, MULTIPLIER_2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 #: Members up to which a cell is compared pair by pair.
 SMALL_CELL = 256
+#: Bits of a fingerprint of `deduplicated` that are for the check alone.
+CHECK = 128
+#: Rows whose grid cells are made at once, and rows that a bucket of regions has about.
+AT_ONCE, BUCKET = 50_000, 500_000
 #: Members of a cell of shingle sets that are compared in one task.
 CELL = 1000
 
@@ -63,16 +69,29 @@ class Plan:
 
 @dataclass(frozen=True)
 class Near:
-    """shingle: words; bands of `rows` minima each; least: Jaccard similarity of a link."""
+    """shingle: words; bands of `rows` segments of `segment` bits, of which the first quarter agrees and
+    the others are a grid; most: differing bits of the check; least: Jaccard similarity of a link."""
 
     shingle: int = 5
-    bands: int = 32
-    rows: int = 5
+    bands: int = 104
+    rows: int = 15
+    segment: int = 2
+    most: int = 40
     least: float = 0.8
 
+    def __post_init__(self) -> None:
+        if not 1 <= self.rows <= 15 or not 1 <= self.segment <= 2 or not 1 <= self.bands < 256:
+            raise ValueError("bands have 1 to 15 segments of 1 or 2 bits, and there are up to 255")
+
+    @property
+    def grid(self) -> int:
+        """Segments of the grid."""
+        return self.rows - self.rows // 4
+
 
-#: The contract of op10, and near copies for pipelines: five words and similarity 0.8. A pair of just
-#: that similarity is a candidate with probability 0.999997.
+#: The contract of op10, and near copies for pipelines: five words and similarity 0.8. A bit of two
+#: sets of that similarity differs with probability 0.1515, so a band has such a pair with probability
+#: 0.119, and bands and check miss one with probability 0.0000033.
 EXACT = Plan()
 NEAR = Near()
 
@@ -293,34 +312,183 @@ def _name(found: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(found.tobytes())
 
 
-def band_keys(found: np.ndarray, near: Near, salt: np.ndarray) -> np.ndarray:
-    """A hash for each band of the minima of a set that isn't empty."""
-    least = np.full(len(salt), U(2**64 - 1))
-    for a in range(0, len(found), 128):
-        least = np.minimum(least, ((found[a : a + 128, None] ^ salt) * MULTIPLIER).min(axis=0))
-    rows = np.ascontiguousarray(least.reshape(near.bands, near.rows))
-    return np.array([xxhash.xxh64_intdigest(rows[b].tobytes(), b) for b in range(near.bands)], U)
+def _set_bits(hashes: np.ndarray, salt: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, after they are mixed once for each word of a fingerprint."""
+    total = np.zeros(64 * len(salt), np.int64)
+    for a in range(0, len(hashes), 255):  # no byte of the lanes overflows
+        x = (hashes[a : a + 255, None] ^ salt) * MULTIPLIER
+        x = (x ^ (x >> U(32))) * MULTIPLIER_2
+        x ^= x >> U(29)
+        total += LANES[x.view(np.uint8)].sum(axis=0).view(np.uint8)
+    return total
+
+
+def near_bits(found: np.ndarray, near: Near, salt: np.ndarray) -> np.ndarray:
+    """The SimHash fingerprint of a sorted set that isn't empty: two words for the check, and a number
+    for each band. A bit is set if it is in over half of the hashes; in ties, which few hashes often
+    have, the successor of the smallest hash decides, so that half of the bits are set on average."""
+    bits = _set_bits(found, salt) * 2 + _set_bits(found[:1] + U(1), salt) > len(found)
+    width = near.rows * near.segment
+    bands = bits[CHECK : CHECK + near.bands * width].reshape(near.bands, width) @ (1 << np.arange(width))
+    return np.concatenate([np.packbits(bits[:CHECK], bitorder="little").view(np.int64), bands])
 
 
 def salts(near: Near) -> np.ndarray:
-    """What each permutation xors hashes with before they are multiplied."""
-    return np.random.default_rng(42).integers(0, 2**64, near.bands * near.rows, U, endpoint=False)
+    """What hashes are xored with before they are mixed, for each word of a fingerprint."""
+    return np.random.default_rng(42).integers(0, 2**64, -(-(CHECK + near.bands * near.rows * near.segment) // 64), U, endpoint=False)
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, key (a hash of the text), fp, the name of its set of shingles, and its cells, one a
-    band; no words: no cells."""
+    """doc_id, key (a hash of the text), fp, the name of its set of shingles, and its cells: the
+    SimHash fingerprint as in near_bits, the place in each band's grid; no words: no cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = salts(near)
         for batch in batches:
             sets = [_set(t.as_py(), near.shingle) for t in batch.column(1)]
-            cells = [band_keys(x, near, salt).view(np.int64).tolist() if len(x) else [] for x in sets]
+            cells = [near_bits(x, near, salt) if len(x) else [] for x in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "cells"])
 
     return texts(docs, _key().alias("key")).mapInArrow(run, "doc_id long, key long, fp binary, cells array<long>")
 
 
+#: Columns of a row in a band: its band and bits there, the two words of its name, the check's two.
+PLACE, NAME, BITS = 0, slice(1, 3), slice(3, 5)
+
+
+def _regions(near: Near, buckets: int):
+    """The bands' rows of (fp, cells), packed by buckets of regions. A region is a band with the bits that agree."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, len(batch), 2048):
+                part = batch.slice(a, 2048)
+                cells = np.array(part.column(1).flatten()).reshape(len(part), 2 + near.bands)
+                rows = np.empty((len(part), near.bands, 5), np.int64)
+                rows[:, :, PLACE] = cells[:, 2:] | (np.arange(near.bands) << 32)
+                rows[:, :, NAME] = _words(part.column(0)).view(np.int64).reshape(-1, 1, 2)
+                rows[:, :, BITS] = cells[:, None, :2]
+                rows = rows.reshape(-1, 5)
+                region = (rows[:, PLACE] >> near.grid * near.segment).view(U)
+                bucket = ((region * MULTIPLIER >> U(32)) % U(buckets)).astype(np.int32)
+                order = np.argsort(bucket, kind="stable")
+                rows, bucket = rows[order], bucket[order]
+                edge = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+                packs = [rows[i:j].tobytes() for i, j in itertools.pairwise(edge)]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]]), pa.array(packs, pa.binary())], ["bucket", "pack"])
+
+    return run
+
+
+def _grid_cells(place: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Grid cells (with the kind of step in the lowest five bits), and the rows in them: a row's own
+    cell and those one step around it. Kinds are 0, then a step down in each segment, then up."""
+    n, m = near.grid, near.segment
+    at = (place[:, None] >> np.arange(0, n * m, m)) & ((1 << m) - 1)
+    v = np.bitwise_count(at).astype(np.int64)
+    scale = (m + 3) ** np.arange(n, dtype=np.int64)
+    own = (place >> n * m) * (m + 3) ** n + (v + 1) @ scale
+    cells, rows = [own << 5], [np.arange(len(place))]
+    for i in range(n):
+        for has, step, kind in ((v[:, i] > 0, -scale[i], 1 + i), (v[:, i] < m, scale[i], 1 + n + i)):
+            rows.append(np.flatnonzero(has))
+            cells.append((own[rows[-1]] + step) << 5 | kind)
+    return np.concatenate(cells), np.concatenate(rows)
+
+
+def _candidates(rows: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that hold everything together whose vectors are within distance 2 in a region and
+    whose check differs in near.most bits at most."""
+    bits, n = rows[:, BITS].view(U), near.grid
+    far = lambda x, y: np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64)
+    cell, at = _grid_cells(rows[:, PLACE], near)
+    order = np.argsort(cell)
+    cell, at = cell[order], at[order]
+    kind, cell = cell & 31, cell >> 5
+    edge = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1], [True]]))
+    size = np.diff(edge)
+    for a, k in zip(edge[:-1][size > SMALL_CELL].tolist(), size[size > SMALL_CELL].tolist(), strict=True):
+        # Trees grow from a member at a time, so that a group of copies takes linear time.
+        todo, queue = np.unique(at[a : a + k]), []
+        while len(todo):
+            if not queue:
+                queue, todo = [todo[0]], todo[1:]
+                continue
+            p = queue.pop()
+            good = far(p, todo) <= near.most
+            if good.any():
+                yield np.full(int(good.sum()), p), todo[good]
+                queue.extend(todo[good])
+                todo = todo[~good]
+    for low, high in itertools.pairwise((1, 8, 32, SMALL_CELL)):
+        some = np.repeat((size > low) & (size <= high), size)
+        c, k, r = cell[some], kind[some], at[some]
+        for o in range(1, high):
+            i = np.flatnonzero(c[o:] == c[:-o])
+            if not len(i):
+                break
+            x, y = k[i], k[i + o]  # x <= y
+            # Own cells, one step apart, and two steps apart; rows of one vector meet in their own cell.
+            i = i[(x <= n) & ((x == 0) & (y <= n) | (x > 0) & (x != y))]
+            x, y = r[i], r[i + o]
+            good = far(x, y) <= near.most
+            yield x[good], y[good]
+
+
+def _components(n: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest row that each of n rows is joined to by the pairs (x, y)."""
+    label = np.arange(n)
+    while True:
+        low = np.minimum(label[x], label[y])
+        if (label[x] == low).all() and (label[y] == low).all():
+            return label
+        before = label.copy()
+        np.minimum.at(label, before[x], low)
+        np.minimum.at(label, before[y], low)
+        label = np.minimum(label, label[label])
+
+
+def _grid_groups(near: Near):
+    """cell and fp of the members of each group of candidates, from packs that are sorted by bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packs = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+        for _, bucket in itertools.groupby(packs, key=lambda x: x[0]):
+            rows = np.frombuffer(b"".join(x[1] for x in bucket), np.int64).reshape(-1, 5)
+            rows = rows[np.argsort(rows[:, PLACE], kind="stable")]
+            region = rows[:, PLACE] >> near.grid * near.segment
+            a = 0
+            while a < len(rows):  # whole regions
+                b = int(np.searchsorted(region, region[min(a + AT_ONCE, len(rows)) - 1], "right"))
+                yield groups(rows[a:b])
+                a = b
+
+    def groups(rows: np.ndarray) -> pa.RecordBatch:
+        pairs = list(_candidates(rows, near))
+        x, y = (np.concatenate([p[i] for p in pairs]) if pairs else np.zeros(0, np.int64) for i in (0, 1))
+        label = _components(len(rows), x, y)
+        live = np.flatnonzero(np.isin(np.arange(len(rows)), np.concatenate([x, y])))
+        live = live[np.lexsort((rows[live, 2], rows[live, 1], label[live]))]
+        names = np.ascontiguousarray(rows[live, NAME])
+        edge = np.flatnonzero(np.diff(label[live], prepend=-1, append=-1))
+        ids = np.array([xxhash.xxh64_intdigest(names[i:j].tobytes(), 42) for i, j in itertools.pairwise(edge)], U).view(np.int64)
+        offsets = np.arange(0, 16 * len(names) + 1, 16, dtype=np.int32)
+        fp = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(offsets), pa.py_buffer(names)])
+        return pa.RecordBatch.from_arrays([fp, pa.array(np.repeat(ids, np.diff(edge)))], ["fp", "cell"])
+
+    return run
+
+
+def candidate_cells(distinct: DataFrame, near: Near) -> DataFrame:
+    """fp and cell of distinct (fp, cells): a cell is what hangs together in a region by candidate pairs
+    of the grid, named by its members. Every candidate pair is in some cell."""
+    n = partitions(distinct.sparkSession)
+    placed = distinct.filter("size(cells) > 0").select("fp", "cells")
+    buckets = max(4 * n, distinct.count() * near.bands // BUCKET)
+    packs = placed.mapInArrow(_regions(near, buckets), "bucket int, pack binary")
+    return packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grid_groups(near), "fp binary, cell long").distinct()
+
+
 def _key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
 
@@ -386,16 +554,16 @@ def _verified(near: Near, keys: int):
 
 def similar_links(docs: DataFrame, distinct: DataFrame, near: Near, most: int = CELL) -> DataFrame:
     """Links (a, b) between names of shingle sets, that hold every component of similar sets together.
-    Cells with the same members are verified once. A cell of more than `most` members is dealt to
+    Their cells are groups of candidates of the grid. Cells with the same members are verified once. A cell of more than `most` members is dealt to
     parts, each cell in its own way; sets of different parts are mostly held together by other cells
     then. Where a cell's members are still in several components, those outside its largest one meet
     every part of it, so no similar pair stays apart; what a task holds is bounded by twice `most`."""
     n = partitions(docs.sparkSession)
-    cells = distinct.select("fp", F.explode("cells").alias("cell"))
+    cells = stored(candidate_cells(distinct, near))
     groups = cells.groupBy("cell").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("fp")).alias("x"), F.sum(F.xxhash64("fp").cast("decimal(20,0)")).alias("s")).filter("n > 1")
     chosen = stored(groups.groupBy("n", "x", "s").agg(F.min("cell").alias("cell")).select("cell", F.col("n").alias("copies"), F.ceil(F.col("n") / most).cast("int").alias("parts")))
     part = F.pmod(F.xxhash64("cell", "fp"), F.col("parts")).cast("int").alias("part")
-    live = stored(counted(cells, chosen, ["cell"], distinct.count() * near.bands).select("cell", "fp", "parts", part))
+    live = stored(counted(cells, chosen, ["cell"], cells.count()).select("cell", "fp", "parts", part))
     ids = stored(distinct.join(live.select("fp").distinct(), "fp", "left_semi").select("first.*").withColumnsRenamed({"doc_id": "_id", "key": "_key"}).distinct())
     few = docs.select("doc_id", "text").hint("merge").join(ids, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (_key() == F.col("_key")), "left_semi")
 

@@ -822,6 +822,83 @@ def test_near_copies_by_brute_force(spark):
     assert 80 < len(joined) < 160
 
 
+def test_near_copies_are_found_by_simhash(spark, monkeypatch):
+    """The pipeline's stage takes its candidates from SimHash fingerprints of the sets of shingles."""
+    import corpus_pipeline
+
+    r = random.Random(31)
+    rows = [(i, " ".join(r.choice(["ab", "cd", "efg", "h", "Ij", "äÖ"]) for _ in range(n))) for i, n in enumerate([1, 4, 6, 7, 9, 60, 300, 900])]
+    near, mask = simhash.Near(bands=4), 2**64 - 1
+
+    def mixed(h, salt):
+        x = (h ^ salt) * int(simhash.MULTIPLIER) & mask
+        x = (x ^ x >> 32) * int(simhash.MULTIPLIER_2) & mask
+        return x ^ x >> 29
+
+    def reference(text):
+        w = [re.sub("[A-Z]", lambda m: m[0].lower(), x) for x in text.split()]
+        hashes = sorted({xxhash.xxh64_intdigest(" ".join(w[i : i + 5]).encode(), 42) for i in range(max(1, len(w) - 4))})
+        bits = []
+        for salt in simhash.salts(near).tolist():
+            words, tie = [mixed(h, salt) for h in hashes], mixed(hashes[0] + 1, salt)
+            bits += [2 * sum(x >> b & 1 for x in words) + (tie >> b & 1) > len(words) for b in range(64)]
+        number = lambda part: sum(x << i for i, x in enumerate(part))
+        return [number(bits[:64]), number(bits[64:128]), *(number(bits[128 + 30 * b : 158 + 30 * b]) for b in range(4))]
+
+    got = {x.doc_id: [c & mask for c in x.cells] for x in simhash.sketches(frame(spark, rows), near).collect()}
+    assert got == {d: reference(t) for d, t in rows}
+    whole, asked = simhash.candidate_cells, []
+    monkeypatch.setattr(simhash, "candidate_cells", lambda distinct, near: asked.append(near) or whole(distinct, near))
+    copy = (99, rows[-1][1] + " one more")
+    assert {x.doc_id for x in corpus_pipeline.near_dedup(spark, frame(spark, [*rows, copy]), "").collect()} == {d for d, _ in rows}
+    assert asked == [simhash.NEAR]
+
+
+@pytest.mark.parametrize("cell", ["small", "large"])
+def test_near_grid_loses_no_candidate(cell, monkeypatch):
+    """What is within distance 2 on the grid of a region, and near by the check, is in one group."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(simhash, "AT_ONCE", 100)
+    if cell == "large":
+        monkeypatch.setattr(simhash, "SMALL_CELL", 2)
+    near, r = simhash.Near(bands=3, rows=8), random.Random(8)  # 2 segments agree, 6 are the grid
+    flipped = lambda x, width, n: x ^ sum(1 << b for b in r.sample(range(width), n))
+    fps = []
+    for _ in range(30):
+        check, bands = r.getrandbits(128), [r.getrandbits(16) for _ in range(3)]
+        fps += [(flipped(check, 128, r.randint(0, 60)), [flipped(x, 16, r.randint(0, 4)) for x in bands]) for _ in range(12)]
+    names = [r.randbytes(16) for _ in fps]
+    signed = lambda x: x - (x >> 63 << 64)
+    cells = [[signed(c & 2**64 - 1), signed(c >> 64), *b] for c, b in fps]
+    packed = simhash._regions(near, 5)(iter([pa.RecordBatch.from_arrays([pa.array(names), pa.array(cells)], ["fp", "cells"])]))
+    packs = pa.Table.from_batches(packed).sort_by("bucket").to_batches()
+    got = {}
+    for out in simhash._grid_groups(near)(iter(packs)):
+        for name, c in zip(out.column(0).to_pylist(), out.column(1).to_pylist(), strict=True):
+            got.setdefault(c, set()).add(name)
+    close = lambda x, y: (fps[x][0] ^ fps[y][0]).bit_count() <= near.most
+    counts = [[[(b >> i & 3).bit_count() for i in range(0, 12, 2)] for b in bands] for _, bands in fps]
+    expected = set()
+    for band in range(3):
+        forest = simhash.Forest()
+        for x in range(len(fps)):
+            for y in range(x):
+                if fps[x][1][band] >> 12 == fps[y][1][band] >> 12 and sum(abs(a - b) for a, b in zip(counts[x][band], counts[y][band], strict=True)) <= 2 and close(x, y):
+                    forest.link(x, y)
+        trees = {}
+        for x in range(len(fps)):
+            trees.setdefault(forest.root(x), set()).add(names[x])
+        expected |= {frozenset(t) for t in trees.values() if len(t) > 1}
+    assert len(expected) > 30
+    if cell == "small":
+        assert {frozenset(g) for g in got.values()} == expected
+    else:  # members of a large cell may be further apart on the grid
+        assert all(any(e <= g for g in got.values()) for e in expected)
+        at = {n: i for i, n in enumerate(names)}
+        assert all(any(close(at[a], at[b]) for b in g if a != b) for g in got.values() for a in g)
+
+
 def test_large_cells_lose_no_link(spark):
     """Cells that are dealt to parts, with sets outside their largest component, give what whole cells give."""
     r = random.Random(23)
