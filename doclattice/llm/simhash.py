@@ -15,8 +15,9 @@ alternating large-star and small-star steps on the remaining links.
 in the same way on longer fingerprints and then checked on the sets. A fingerprint has bits for each of
 several bands, and bits for a check. Texts are candidates if in some band the first bits agree, the
 popcount vectors of the others are within Manhattan distance 2 on the grid, and the bits for the check
-differ in `most` places at most. Candidates that hang together are a cell, and every pair of a cell
-that isn't joined yet is verified on the sets; large cells are dealt to parts.
+differ in `most` places at most. Pairs that can't be similar by the parities of their sets (an exact
+bound, see `possible`) are no candidates. Candidates that hang together are a cell, and every pair of a
+cell that isn't joined yet is verified on the sets; large cells are dealt to parts.
 
 Nulls: a null text has no words; texts without words have fingerprint zero and link like any other.
 Repeated rows are each answered, and a null doc_id is never a component's id unless it is alone.
@@ -48,6 +49,8 @@ MULTIPLIER, MULTIPLIER_2 = U(0x9E3779B97F4A7C15), U(0xBF58476D1CE4E5B9)
 SMALL_CELL = 256
 #: Bits of a fingerprint of `deduplicated` that are for the check alone.
 CHECK = 128
+#: Parities of a set of shingles; with the set's size in 16 bits they are two words.
+PARITIES = 112
 #: Rows whose grid cells are made at once, and rows that a bucket of regions has about.
 AT_ONCE, BUCKET = 50_000, 500_000
 #: Members of a cell of shingle sets that are compared in one task.
@@ -333,42 +336,64 @@ def near_bits(found: np.ndarray, near: Near, salt: np.ndarray) -> np.ndarray:
     return np.concatenate([np.packbits(bits[:CHECK], bitorder="little").view(np.int64), bands])
 
 
+def parities(found: np.ndarray) -> bytes:
+    """For each of PARITIES classes of hashes whether the set has an odd number of them, then the set's
+    size in 16 bits; 0 stands for a size that doesn't fit."""
+    odd = np.packbits(np.bincount(((found >> U(32)) % U(PARITIES)).view(np.int64), minlength=PARITIES) & 1, bitorder="little")
+    return odd.tobytes() + (len(found) if len(found) < 2**16 else 0).to_bytes(2, "little")
+
+
+def possible(x: np.ndarray, y: np.ndarray, least: float) -> np.ndarray:
+    """Whether sets may have a Jaccard similarity of at least least, by the two words of their parities.
+    A class whose parities differ has a hash that is in one set only. Of sets of that similarity
+    (1 - least) / (1 + least) of the sum of their sizes at most are such hashes, so none of them is lost."""
+    size = [(w[:, 1] >> U(48)).astype(np.int64) for w in (x, y)]
+    differ = x ^ y
+    differ[:, 1] &= U(2**48 - 1)
+    apart = np.bitwise_count(differ).sum(axis=1, dtype=np.int64)
+    return (apart * (1 + least) <= (size[0] + size[1]) * (1 - least) + 1e-6) | (size[0] == 0) | (size[1] == 0)
+
+
 def salts(near: Near) -> np.ndarray:
     """What hashes are xored with before they are mixed, for each word of a fingerprint."""
     return np.random.default_rng(42).integers(0, 2**64, -(-(CHECK + near.bands * near.rows * near.segment) // 64), U, endpoint=False)
 
 
 def sketches(docs: DataFrame, near: Near) -> DataFrame:
-    """doc_id, key (a hash of the text), fp, the name of its set of shingles, and its cells: the
-    SimHash fingerprint as in near_bits, the place in each band's grid; no words: no cells."""
+    """doc_id, key (a hash of the text), fp, the name of its set of shingles, its cells: the SimHash
+    fingerprint as in near_bits, the place in each band's grid; no words: no cells; and its parities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = salts(near)
         for batch in batches:
             sets = [_set(t.as_py(), near.shingle) for t in batch.column(1)]
             cells = [near_bits(x, near, salt) if len(x) else [] for x in sets]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64()))], ["doc_id", "key", "fp", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(map(_name, sets), pa.binary()), pa.array(cells, pa.list_(pa.int64())), pa.array(map(parities, sets), pa.binary())], ["doc_id", "key", "fp", "cells", "parities"])
 
-    return texts(docs, _key().alias("key")).mapInArrow(run, "doc_id long, key long, fp binary, cells array<long>")
+    return texts(docs, _key().alias("key")).mapInArrow(run, "doc_id long, key long, fp binary, cells array<long>, parities binary")
 
 
-#: Columns of a row in a band: its band and bits there, the two words of its name, the check's two.
-PLACE, NAME, BITS = 0, slice(1, 3), slice(3, 5)
+#: Columns of a row in a band: its band and bits there, the two words of its name, the check's two, those of its parities.
+PLACE, NAME, BITS, ODD = 0, slice(1, 3), slice(3, 5), slice(5, 7)
+WIDTH = 7
 
 
 def _regions(near: Near, buckets: int):
-    """The bands' rows of (fp, cells), packed by buckets of regions. A region is a band with the bits that agree."""
+    """The bands' rows of (fp, cells, parities), packed by buckets of regions. A region is a band with the bits
+    that agree. Without parities any pair may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, len(batch), 2048):
                 part = batch.slice(a, 2048)
                 cells = np.array(part.column(1).flatten()).reshape(len(part), 2 + near.bands)
-                rows = np.empty((len(part), near.bands, 5), np.int64)
+                rows = np.zeros((len(part), near.bands, WIDTH), np.int64)
                 rows[:, :, PLACE] = cells[:, 2:] | (np.arange(near.bands) << 32)
                 rows[:, :, NAME] = _words(part.column(0)).view(np.int64).reshape(-1, 1, 2)
                 rows[:, :, BITS] = cells[:, None, :2]
-                rows = rows.reshape(-1, 5)
+                if part.num_columns > 2:
+                    rows[:, :, ODD] = _words(part.column(2)).view(np.int64).reshape(-1, 1, 2)
+                rows = rows.reshape(-1, WIDTH)
                 region = (rows[:, PLACE] >> near.grid * near.segment).view(U)
                 bucket = ((region * MULTIPLIER >> U(32)) % U(buckets)).astype(np.int32)
                 order = np.argsort(bucket, kind="stable")
@@ -397,10 +422,16 @@ def _grid_cells(place: np.ndarray, near: Near) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(rows: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows that hold everything together whose vectors are within distance 2 in a region and
-    whose check differs in near.most bits at most."""
-    bits, n = rows[:, BITS].view(U), near.grid
-    far = lambda x, y: np.bitwise_count(bits[x] ^ bits[y]).sum(axis=-1, dtype=np.int64)
+    """Pairs of rows that hold everything together whose vectors are within distance 2 in a region, whose
+    check differs in near.most bits at most, and whose sets may be similar by their parities."""
+    bits, odd, n = rows[:, BITS].view(U), rows[:, ODD].view(U), near.grid
+
+    def close(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= near.most
+        at = np.flatnonzero(good)
+        good[at] = possible(odd[x[at]], odd[y[at]], near.least)
+        return good
+
     cell, at = _grid_cells(rows[:, PLACE], near)
     order = np.argsort(cell)
     cell, at = cell[order], at[order]
@@ -415,7 +446,7 @@ def _candidates(rows: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.n
                 queue, todo = [todo[0]], todo[1:]
                 continue
             p = queue.pop()
-            good = far(p, todo) <= near.most
+            good = close(np.full(len(todo), p), todo)
             if good.any():
                 yield np.full(int(good.sum()), p), todo[good]
                 queue.extend(todo[good])
@@ -431,7 +462,7 @@ def _candidates(rows: np.ndarray, near: Near) -> Iterator[tuple[np.ndarray, np.n
             # Own cells, one step apart, and two steps apart; rows of one vector meet in their own cell.
             i = i[(x <= n) & ((x == 0) & (y <= n) | (x > 0) & (x != y))]
             x, y = r[i], r[i + o]
-            good = far(x, y) <= near.most
+            good = close(x, y)
             yield x[good], y[good]
 
 
@@ -454,7 +485,7 @@ def _grid_groups(near: Near):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packs = (x for batch in batches for x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
         for _, bucket in itertools.groupby(packs, key=lambda x: x[0]):
-            rows = np.frombuffer(b"".join(x[1] for x in bucket), np.int64).reshape(-1, 5)
+            rows = np.frombuffer(b"".join(x[1] for x in bucket), np.int64).reshape(-1, WIDTH)
             rows = rows[np.argsort(rows[:, PLACE], kind="stable")]
             region = rows[:, PLACE] >> near.grid * near.segment
             a = 0
@@ -480,10 +511,10 @@ def _grid_groups(near: Near):
 
 
 def candidate_cells(distinct: DataFrame, near: Near) -> DataFrame:
-    """fp and cell of distinct (fp, cells): a cell is what hangs together in a region by candidate pairs
-    of the grid, named by its members. Every candidate pair is in some cell."""
+    """fp and cell of distinct (fp, cells, and parities if they are there): a cell is what hangs together in a
+    region by candidate pairs of the grid, named by its members. Every candidate pair is in some cell."""
     n = partitions(distinct.sparkSession)
-    placed = distinct.filter("size(cells) > 0").select("fp", "cells")
+    placed = distinct.filter("size(cells) > 0").select("fp", "cells", *[c for c in distinct.columns if c == "parities"])
     buckets = max(4 * n, distinct.count() * near.bands // BUCKET)
     packs = placed.mapInArrow(_regions(near, buckets), "bucket int, pack binary")
     return packs.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_grid_groups(near), "fp binary, cell long").distinct()
@@ -596,8 +627,8 @@ def kept_keys(docs: DataFrame, near: Near = NEAR) -> DataFrame:
     least near.least. Documents without an id stand after the others."""
     marked = stored(sketches(docs, near))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    distinct = stored(marked.groupBy("fp").agg(F.min(place).alias("first"), F.first("cells").alias("cells")))
-    named = _rooted(distinct.drop("cells"), similar_links(docs, distinct, near))
+    distinct = stored(marked.groupBy("fp").agg(F.min(place).alias("first"), F.first("cells").alias("cells"), F.first("parities").alias("parities")))
+    named = _rooted(distinct.drop("cells", "parities"), similar_links(docs, distinct, near))
     one = named.groupBy("root").agg(F.min("first").alias("first"))
     return one.select(F.col("first.doc_id").alias("_id"), F.col("first.key").alias("_key"))
 

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, with odd inputs."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -935,6 +936,48 @@ def test_large_cells_lose_no_link(spark):
     assert {frozenset(d for d in tree if tree[d] == x) for x in tree.values()} == {frozenset(d for d in label if label[d] == x) for x in label.values()}
 
 
+def test_parities_lose_no_similar_pair():
+    """Sets of similarity 0.8 and more may be similar by their parities, of any size; unlike small ones may not."""
+    r = np.random.default_rng(5)
+    words = lambda *sets: [np.frombuffer(simhash.parities(np.unique(s)), np.uint64).reshape(1, 2) for s in sets]
+    unlike = 0
+    for k in range(2000):
+        both = r.integers(0, 2**64, 8 * (1 + k % 60), np.uint64)  # 8 shared, 1 and 1 or 0 and 2 else: just 0.8
+        else_ = r.integers(0, 2**64, len(both) // 4, np.uint64)
+        i = (0, len(else_) // 2)[k % 2]
+        pair = words(np.concatenate([both, else_[:i]]), np.concatenate([both, else_[i:]]))
+        assert simhash.possible(*pair, 0.8).all()
+        if len(both) <= 200:  # the parities of larger sets tell less
+            unlike += bool(simhash.possible(*words(both, r.integers(0, 2**64, len(both), np.uint64)), 0.8)[0])
+    large = r.integers(0, 2**64, 70_000, np.uint64)
+    assert simhash.possible(*words(large, large[:100]), 0.8).all()  # its size isn't known
+    assert unlike < 20
+
+
+def test_unlike_members_of_a_group_make_no_candidates(spark):
+    """Versions of a text that aren't similar to each other are not verified in each band, and what is similar stays."""
+    r = random.Random(29)
+    word = lambda: "".join(r.choice("aeinorsthlmd") for _ in range(r.randint(3, 9)))
+    base, rows = [word() for _ in range(150)], []
+    for g in range(120):
+        w = list(base)
+        for p in r.sample(range(150), 12):
+            w[p] = word()
+        rows.append((2 * g, " ".join(w)))
+        if g < 20:
+            rows.append((2 * g + 1, " ".join([*w[:-1], word()])))
+    assert max(jaccard(a, b) for (_, a), (_, b) in itertools.combinations(rows[::2][20:], 2)) < 0.8
+    docs = frame(spark, rows)
+    marked = simhash.sketches(docs, simhash.NEAR).withColumnRenamed("doc_id", "first").cache()
+    cells = {}
+    for x in marked.select("fp", "first").join(simhash.candidate_cells(marked, simhash.NEAR), "fp").collect():
+        cells.setdefault(x.cell, set()).add(x.first)
+    without = simhash.candidate_cells(marked.drop("parities"), simhash.NEAR).count()
+    assert sum(map(len, cells.values())) < 0.5 * without
+    assert all(any({2 * g, 2 * g + 1} <= c for c in cells.values()) for g in range(20))
+    assert {x.doc_id for x in simhash.deduplicated(docs).collect()} == {2 * g for g in range(120)}
+
+
 def test_similar_members_of_a_cell():
     r = np.random.default_rng(4)
     sets = []
